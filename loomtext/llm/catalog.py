@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import simhash
+from loomtext.llm import packing, simhash, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": simhash.query}
+    return {
+        "op1_simhash": simhash.query,
+        "op5_packing": packing.query,
+        "op7_token_counts": tokencount.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
