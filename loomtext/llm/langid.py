@@ -29,7 +29,7 @@ SLICE = 2_000_000
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each n-gram that holds a letter, in lower-case text with one blank around each run of letters;
     and the number of each n-gram's text."""
-    joined = "  ".join(texts).lower()
+    joined = ("  ".join(texts) + "  ").lower()
     sizes = [len(t) if t.isascii() else len(t.lower()) for t in texts]
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), np.array(sizes) + 2)[: len(code)]
