@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import langid, licenses, packing, secrets, simhash, tokencount
+from loomtext.llm import decontaminate, langid, licenses, packing, secrets, simhash, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op2_decontamination": decontaminate.query,
         "op3_language": langid.query,
         "op5_packing": packing.query,
         "op6_secrets": secrets.query,

@@ -172,6 +172,25 @@ def predicted(docs: DataFrame, model: SlicedBloom | None) -> DataFrame:
     return texts.mapInArrow(apply, "doc_id long, lang_pred string, score double, coverage double")
 
 
+def kept(docs: DataFrame, model: SlicedBloom | None, long_enough: int, least_coverage: float) -> DataFrame:
+    """The rows of docs whose text has a letter and, from long_enough characters on, at least least_coverage of its n-grams
+    in the predicted language's filter. All columns stay; the rows pass through as they are. Without a model, texts with
+    a letter stay."""
+    at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            if model:
+                lang, _, cover = model.predict(texts)
+                keep = [x != "und" and (len(t) < long_enough or c >= least_coverage) for x, t, c in zip(lang, texts, cover, strict=True)]
+            else:
+                keep = [any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def model_of(docs: DataFrame) -> SlicedBloom | None:
     """Learned from the rows that are not held out."""
     return train(docs.where(fold("doc_id") != 0))

@@ -142,5 +142,12 @@ def simhash_components(docs: DataFrame, threshold: int = 2) -> DataFrame:
     )
 
 
+def representatives(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """One row of each component: a row of its smallest doc_id. Rows with a null doc_id, which no id can name, stay."""
+    found = simhash_components(docs, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    one = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
