@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, langid, licenses, packing, secrets, simhash, tokencount
+from loomtext.llm import decontaminate, langid, licenses, packing, reshard, secrets, simhash, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.query,
         "op6_secrets": secrets.query,
         "op7_token_counts": tokencount.query,
+        "op8_topk": topk.query,
+        "op9_reshard": reshard.query,
         "op10_licenses": licenses.query,
     }
 
