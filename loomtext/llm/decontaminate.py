@@ -25,7 +25,7 @@ WINDOW, STRIDE, RATE, LEAST = 96, 48, 0.08, 20
 #: Odd multipliers that mix q-grams (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 #: Code points and shared q-grams that one step handles.
-SLICE, PAIRS = 1_000_000, 4_000_000
+SLICE, PAIRS = 250_000, 1_000_000
 
 
 def plain(text: str | None) -> str:

@@ -23,7 +23,7 @@ from loomtext.llm.common import fold, table
 N = 3
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Code points that one step handles.
-SLICE = 2_000_000
+SLICE = 250_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from loomtext.llm.common import table
 from loomtext.llm.transducer import TokenCounter
 
 #: Code points that one step handles, so that its arrays stay small beside the batch.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
