@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, langid, licenses, packing, reshard, secrets, simhash, tokencount, topk
+from loomtext.llm import decontaminate, langid, lattice, licenses, packing, reshard, secrets, simhash, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.query,
         "op2_decontamination": decontaminate.query,
         "op3_language": langid.query,
+        "op4_lattice": lattice.query,
         "op5_packing": packing.query,
         "op6_secrets": secrets.query,
         "op7_token_counts": tokencount.query,
