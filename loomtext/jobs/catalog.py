@@ -1,15 +1,14 @@
-"""Named queries over the given tables and the SQL they are held against."""
+"""All named queries over the given tables and the SQL they are held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomtext.jobs import chunking, governance, operations, retrieval, texts, vectors  # noqa: F401
+from loomtext.jobs.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
