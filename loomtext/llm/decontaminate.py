@@ -54,6 +54,7 @@ class Index:
     items: list
     of_item: np.ndarray
     patterns: list[np.ndarray]
+    texts: list[str]
     edits: np.ndarray
     least: np.ndarray
     hashes: np.ndarray
@@ -84,7 +85,8 @@ class Index:
         bits = max(16, int(len(hashes) * 32).bit_length())
         present = np.zeros(1 << bits, bool)
         present[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return cls(ids, np.array(of_item, np.int64), patterns, edits, m - Q + 1 - edits * Q, hashes, np.append(starts, len(h)), window[order].astype(np.int64), place[order].astype(np.int64), present)
+        texts = [p.tobytes().decode("utf-32-le") for p in patterns]
+        return cls(ids, np.array(of_item, np.int64), patterns, texts, edits, m - Q + 1 - edits * Q, hashes, np.append(starts, len(h)), window[order].astype(np.int64), place[order].astype(np.int64), present)
 
     def bands(self, code: np.ndarray) -> list[tuple[int, int]]:
         """(window, lowest diagonal) of each band that shares enough q-grams. Bands are two steps wide and one step apart."""
@@ -92,7 +94,7 @@ class Index:
             return []
         h = qgrams(code)
         shift = np.uint64(64 - (len(self.filter).bit_length() - 1))
-        at = np.flatnonzero(self.filter[(h >> shift).astype(np.int64)])
+        at = self._dense(np.flatnonzero(self.filter[(h >> shift).astype(np.int64)]))
         if not len(at):
             return []
         j = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
@@ -125,6 +127,18 @@ class Index:
         found += list(zip(window[alone].tolist(), (low[alone] - 1).tolist(), strict=True))
         return [(w, b * self.step - WINDOW) for w, b in set(found)]
 
+    def _dense(self, at: np.ndarray) -> np.ndarray:
+        """Those of the places that lie, with as many others as the least demanding window asks for, within the longest
+        stretch that any window can match. The shared q-grams of a match stand at different places of such a stretch."""
+        t, span = int(self.least.min()), max(map(len, self.patterns)) + int(self.edits.max()) - Q
+        if t <= 1 or len(at) < t:
+            return at if t <= 1 else at[:0]
+        first = np.flatnonzero(at[t - 1 :] - at[: len(at) - t + 1] <= span)
+        change = np.zeros(len(at) + 1, np.int64)
+        change[first] += 1
+        change[first + t] -= 1
+        return at[np.cumsum(change[:-1]) > 0]
+
     @property
     def step(self) -> int:
         return int(WINDOW * RATE) + 1
@@ -186,14 +200,20 @@ def _scan(shared):
                 begins = np.cumsum([0, *(len(t) + 1 for t in part)])
                 code = codes(joined)
                 hits: dict = defaultdict(list)
+                exact: set = set()
                 for w, low in index.bands(code):
                     pattern = index.patterns[w]
                     middle = low + index.step + len(pattern) // 2
                     k = int(np.clip(np.searchsorted(begins, middle, "right") - 1, 0, len(part) - 1))
                     for doc in {max(k - 1, 0), k, min(k + 1, len(part) - 1)}:  # the band may reach into a neighbour
                         start, end = int(begins[doc]), int(begins[doc]) + len(part[doc])
-                        x, y = max(start, low - len(pattern)), min(end, low + 2 * index.step + 2 * len(pattern))
-                        if y > x and (got := banded(pattern, code[x:y], low - x, 2 * index.step, int(index.edits[w]))):
+                        x, y = max(start, low - index.step), min(end, low + 3 * index.step + len(pattern))
+                        if y - x < len(pattern) - index.edits[w] or (doc, w) in exact:
+                            continue
+                        if (place := joined.find(index.texts[w], x, y)) >= 0:
+                            exact.add((doc, w))
+                            hits[doc, int(index.of_item[w])].append((0, place - start, place - start + len(pattern), w))
+                        elif got := banded(pattern, code[x:y], low - x, 2 * index.step, int(index.edits[w])):
                             hits[doc, int(index.of_item[w])].append((got[0], x - start + got[1], x - start + got[2], w))
                 for (doc, item), found in sorted(hits.items()):
                     t = part[doc]
