@@ -117,7 +117,7 @@ def lsh_buckets(vectors: DataFrame, dims: int, planes: int, tables: int, seed: i
     return vectors.select("vec_id", "embedding").mapInArrow(assign, "vec_id long, table long, bucket long")
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 6, tables: int = 12) -> DataFrame:
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 3, tables: int = 14) -> DataFrame:
     """Approximate nearest neighbours by cosine: candidates share a bucket with the query in some table."""
     from loomtext.functions.vector import cosine
 

@@ -92,7 +92,7 @@ def test_mmr(spark):
 
 
 def test_lsh_recall_and_pca(spark):
-    assert catalog.queries()["lsh_recall"](spark, SMALL).first().recall >= 0.5
+    assert catalog.queries()["lsh_recall"](spark, SMALL).first().recall >= 0.9
     import numpy as np
 
     p = np.array([[r.pc1, r.pc2] for r in catalog.queries()["pca_2d"](spark, SMALL).collect()])
