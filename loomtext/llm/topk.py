@@ -118,3 +118,11 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, vector:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL = """
+with v as (select vec_id, list_transform(embedding::double[], lambda x: floor(256 * x)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""

@@ -22,6 +22,16 @@ def test_query(spark):
     assert got == plain(ids, [r.embedding for r in rows], sorted(i for i in ids if i % 50 == 0))
 
 
+def test_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{MIDDLE}/embeddings.parquet')")
+    want = con.execute(topk.SQL).df()
+    got = topk.query(spark, MIDDLE).toPandas()
+    assert sorted(map(tuple, got[want.columns].to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist())) and len(got) > 0
+
+
 def test_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 40)
     monkeypatch.setattr(topk, "QUERIES", 7)
