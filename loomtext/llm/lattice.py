@@ -58,61 +58,71 @@ class Lattice:
         self.table: dict[str, tuple[int, float] | None] = {p[:i]: None for p in value for i in range(1, len(p))}
         self.table |= value
 
-    def _edges(self, s: str) -> list[list[tuple[int, float, int]]]:
-        """By place: (next place, log probability, piece) of the pieces that begin there; a character that is no piece
-        goes by its bytes (piece -1)."""
-        get, n, out = self.table.get, len(s), []
+    def _fallback(self, c: str) -> float:
+        """The log probability of a character that is no piece, by its bytes."""
+        return sum(self.bytes[b][1] for b in c.encode())
+
+    def forward(self, word: str) -> float:
+        """The log of the word's probability, over all segmentations."""
+        s, get = MARK + word, self.table.get
+        n = len(s)
+        alpha = [-inf] * (n + 1)
+        alpha[0] = 0.0
         for i in range(n):
-            edges, single = [], False
+            here, single = alpha[i], False
             for j in range(i + 1, n + 1):
                 hit = get(s[i:j], 0)
-                if hit is None:
-                    continue
-                if hit == 0:
+                if hit:
+                    x, y = here + hit[1], alpha[j]
+                    alpha[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+                    if j == i + 1:
+                        single = True
+                elif hit == 0:
                     break
-                edges.append((j, hit[1], hit[0]))
-                single |= j == i + 1
             if not single:
-                edges.append((i + 1, sum(self.bytes[b][1] for b in s[i].encode()), -1))
-            out.append(edges)
-        return out
-
-    def forward(self, word: str) -> float:
-        """The log of the word's probability, over all segmentations."""
-        s = MARK + word
-        alpha = [-inf] * (len(s) + 1)
-        alpha[0] = 0.0
-        for i, edges in enumerate(self._edges(s)):
-            here = alpha[i]
-            for j, w, _ in edges:
-                x, y = here + w, alpha[j]
-                alpha[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+                x, y = here + self._fallback(s[i]), alpha[i + 1]
+                alpha[i + 1] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
         return alpha[-1]
 
-    def expect(self, word: str, count: float, into: np.ndarray) -> None:
+    def expect(self, word: str, count: float, into: np.ndarray | list) -> None:
         """Adds to each piece's place in `into` its expected number in the word, `count` times."""
-        s = MARK + word
-        every, n = self._edges(s), len(s)
-        alpha, beta = [-inf] * (n + 1), [-inf] * (n + 1)
-        alpha[0] = beta[n] = 0.0
-        for i, edges in enumerate(every):
-            for j, w, _ in edges:
-                x, y = alpha[i] + w, alpha[j]
-                alpha[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-        for i in range(n - 1, -1, -1):
-            for j, w, _ in every[i]:
-                x, y = beta[j] + w, beta[i]
-                beta[i] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-        total = alpha[n]
-        for i, edges in enumerate(every):
-            for j, w, piece in edges:
-                part = count * exp(alpha[i] + w + beta[j] - total)
-                if piece >= 0:
-                    into[piece] += part
-                else:
-                    for b in s[i].encode():
-                        if self.bytes[b][0] >= 0:
-                            into[self.bytes[b][0]] += part
+        s, get = MARK + word, self.table.get
+        n = len(s)
+        edges: list[tuple[int, int, float, int]] = []  # place, next place, log probability, piece (-1: by its bytes)
+        alpha = [-inf] * (n + 1)
+        alpha[0] = 0.0
+        for i in range(n):
+            here, single = alpha[i], False
+            for j in range(i + 1, n + 1):
+                hit = get(s[i:j], 0)
+                if hit:
+                    piece, w = hit
+                    edges.append((i, j, w, piece))
+                    x, y = here + w, alpha[j]
+                    alpha[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+                    if j == i + 1:
+                        single = True
+                elif hit == 0:
+                    break
+            if not single:
+                w = self._fallback(s[i])
+                edges.append((i, i + 1, w, -1))
+                x, y = here + w, alpha[i + 1]
+                alpha[i + 1] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+        # Backwards, in shares of the whole: the part of all segmentations that goes on from a place.
+        rest = [0.0] * n + [1.0]
+        for i, j, w, piece in reversed(edges):
+            if rest[j] == 0.0:
+                continue
+            # Of what reaches j, the share that comes by this edge.
+            part = rest[j] * exp(alpha[i] + w - alpha[j])
+            rest[i] += part
+            if piece >= 0:
+                into[piece] += count * part
+            else:
+                for b in s[i].encode():
+                    if self.bytes[b][0] >= 0:
+                        into[self.bytes[b][0]] += count * part
 
 
 _READ = "kind int, grp long, idx int, word binary, c long, doc_id long, held_out boolean, n_words long, vec binary"
@@ -176,10 +186,11 @@ def _written(df: DataFrame) -> DataFrame:
 def _expected(path: str, logs: np.ndarray):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)[0]
-        lattice, total = Lattice(pieces, logs), np.zeros(len(pieces))
+        lattice, total = Lattice(pieces, logs), [0.0] * len(pieces)
         for batch in batches:
             for word in batch.column(0).to_pylist():
                 lattice.expect(word.decode(), 1, total)
+        total = np.array(total)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "n"])
 
