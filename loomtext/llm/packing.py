@@ -12,6 +12,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -45,13 +46,15 @@ class TokenIds:
             self.start.append(len(self.flat))
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > self.most:
-            self._forget()
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = len(self.start) - 1
-            self.flat.extend(e.ids)
-            self.start.append(len(self.flat))
+        """Asks the library for many pieces at a time, each as a word of its own."""
+        new = list(pieces)
+        for a in range(0, len(new), 1000):
+            words = new[a : a + 1000]
+            got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+            size = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)) if got.ids else np.zeros(len(words), np.int64)
+            self.known.update(zip(words, range(len(self.start) - 1, len(self.start) - 1 + len(words)), strict=True))
+            self.start.extend((self.start[-1] + np.cumsum(size)).tolist())
+            self.flat.extend(got.ids)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the strings of special tokens are those tokens."""
@@ -66,16 +69,18 @@ class TokenIds:
                 owner.append(i)
                 token.append(after)
         pieces, many = pretokens(parts)
-        at = list(map(self.known.get, pieces))
-        if None in at:
-            self._learn({p for p, n in zip(pieces, at, strict=True) if n is None} if len(self.known) <= self.most else set(pieces))
-            at = list(map(self.known.get, pieces))
-        at = np.array(at, np.int64)
+        if len(self.known) > self.most:
+            self._forget()
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn({pieces[i] for i in missing})
+            at[missing] = [self.known[pieces[i]] for i in missing]
         after = np.array(token, np.int64)
         if (after >= 0).any():
             at = np.insert(at, np.cumsum(many)[after >= 0], after[after >= 0])
             many = many + (after >= 0)
-        flat, start = np.array(self.flat, np.uint32), np.array(self.start, np.int64)
+        flat, start = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64)
         size = start[at + 1] - start[at]
         ends = np.cumsum(size)
         out = flat[np.repeat(start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
