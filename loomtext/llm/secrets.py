@@ -1,9 +1,9 @@
 """Secrets in texts: assignments, access keys, long hexadecimal runs, and strings of high local entropy.
 
-Beside the three base patterns, candidate strings (runs of key characters) are judged by character class. A window
-slides over the candidate; the counts of its characters, and with them the sum of c log2 c, change by two terms a
+Beside the three base patterns, candidate strings (runs of key characters, less base spans) are judged by character class:
+each run of a class inside a candidate by that class's threshold. A window slides over the run; the counts of its characters, and with them the sum of c log2 c, change by two terms a
 step, so the window's Shannon entropy is known everywhere in linear time. A stretch of windows above the class's
-threshold becomes a span, unless the allow-list explains the candidate.
+threshold becomes a span, unless the allow-list explains the run or the stretch.
 """
 
 from __future__ import annotations
@@ -25,23 +25,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is the same match as without the minimum
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: Character classes in the order in which they are tried, with their window's least entropy in bits a character.
+#: Character classes, narrow ones first, with their window's least entropy in bits a character.
 WINDOW = 20
 CLASSES = (
-    ("hex", re.compile(r"[0-9A-Fa-f]+"), 3.0),
-    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 3.8),
-    ("base64", re.compile(r"[A-Za-z0-9+/=]+"), 3.9),
-    ("url-safe", re.compile(r"[A-Za-z0-9_=-]+"), 3.9),
-    ("mixed", re.compile(r"[A-Za-z0-9+/_=-]+"), 4.0),
+    ("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 3.0),
+    ("alphanumeric", re.compile(r"[A-Za-z0-9]{20,}"), 3.8),
+    ("base64", re.compile(r"[A-Za-z0-9+/=]{20,}"), 3.9),
+    ("url-safe", re.compile(r"[A-Za-z0-9_=-]{20,}"), 3.9),
+    ("mixed", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 4.0),
 )
-#: Candidates that are no secrets: ids by design, counters, words joined by marks, placeholders.
+#: Runs that are no secrets: ids by design, counters, words joined by marks.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[^0-9]*|[^A-Za-z]*"  # letters alone or figures alone
     r"|[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,4}"  # words and a number
     r"|[-_/=+]*(([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)([-_/=+]+(([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+))*[-_/=+]*"  # plain parts between marks
-    r"|.*(EXAMPLE|example|xxxxxx|XXXXXX|placeholder|PLACEHOLDER).*"
 )
+#: A stretch that holds a placeholder is none; where the placeholder is a part of its own between marks, it only ends a run.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|xxxxxx|XXXXXX|placeholder|PLACEHOLDER")
+PART = re.compile(r"(?<![A-Za-z0-9])(EXAMPLE|example|x{6,}|X{6,}|placeholder|PLACEHOLDER)(?![A-Za-z0-9])")
 _TERM = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -80,15 +82,40 @@ def base_spans(text: str, lower: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def pieces(a: int, end: int, holes: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the holes leave of a stretch, where it is long enough for a window."""
+    for x, y in [*sorted(h for h in holes if h[0] < end and a < h[1]), (end, end)]:
+        if x - a >= WINDOW:
+            yield a, x
+        a = max(a, y)
+
+
 def entropy_spans(text: str, covered: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of high entropy that no base span touches."""
+    """Spans of high entropy outside base spans. A candidate's runs are judged class by class, those of a narrow class
+    inside those of wider ones too; what overlaps is one span."""
     found = []
+    base = [(x, y) for _, x, y in covered]
     for m in CANDIDATE.finditer(text):
-        s, a = m.group(), m.start()
-        if ALLOWED.fullmatch(s) or any(x < m.end() and a < y for _, x, y in covered):
-            continue
-        least = next(t for _, shape, t in CLASSES if shape.fullmatch(s))
-        found += [("entropy", a + x, a + y) for x, y in entropic(s, least)]
+        holes = [h for h in base if h[0] < m.end() and m.start() < h[1]] + [p.span() for p in PART.finditer(text, m.start(), m.end())]
+        spans: list[tuple[int, int]] = []
+        for a, end in pieces(m.start(), m.end(), holes):
+            piece, judged = text[a:end], set()
+            for _, shape, least in CLASSES:
+                for run in shape.finditer(piece):
+                    s, at = run.group(), a + run.start()
+                    if run.span() in judged:  # a run of a narrower class
+                        continue
+                    judged.add(run.span())
+                    if not ALLOWED.fullmatch(s):
+                        spans += [(at + x, at + y) for x, y in entropic(s, least) if not PLACEHOLDER.search(s, x, y)]
+        last = -1
+        for x, y in sorted(spans):
+            if x < last:
+                last = max(last, y)
+                found[-1] = ("entropy", found[-1][1], last)
+            else:
+                found.append(("entropy", x, y))
+                last = y
     return found
 
 

@@ -85,3 +85,24 @@ def test_redaction_and_odd_rows(spark):
     assert secrets.redacted(docs).columns == docs.columns
     assert [len(r.spans) for r in secrets.secret_spans(docs).collect()] == [0, 0, 2, 2, 0, 0]
     assert secrets.secret_spans(docs.limit(0)).count() == secrets.redacted(docs.limit(0)).count() == 0
+
+
+def test_each_run_by_its_class():
+    import random
+
+    rng = random.Random(4)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    figures, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    see = lambda t: secrets.entropy_spans(t, secrets.base_spans(t, t.lower()))
+    for prefix in ("key-", "sk_live_", "a/b/", "id_"):
+        caught = sum(bool(see(f"{prefix}{of(figures, 28)}")) for _ in range(300))
+        assert caught >= 290, (prefix, caught)
+    for _ in range(100):
+        key = of(letters, 40)
+        for before in (f"AKIA{of('ABCDEFGHIJ', 16)}/", f"{of(figures, 32)}_", "docs/example/", "xxxxxxxx-"):
+            t = before + key
+            spans = see(t)
+            assert spans and spans[-1][2] > len(t) - 20, t
+            assert not any(x < b and a < y for _, a, b in spans for _, x, y in secrets.base_spans(t, t.lower()))
+    for t in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x/550e8400-e29b-41d4-a716-446655440000", "example/placeholder/of/a/longer/path"):
+        assert not see(t), t
