@@ -4,6 +4,8 @@ Items are cut into overlapping windows. If a stretch of a document is within k e
 it shares at least m - q + 1 - k q of the window's q-grams, on diagonals that differ by k at most. The shared q-grams
 are counted in overlapping bands of diagonals, so that one band holds all of them; bands with too few cannot hold
 such a stretch. The rest is verified by an alignment confined to the band. Nothing within the budget is missed.
+Items longer than a window have shorter windows close to each other too, so that a passage of 83 characters of such an item
+holds one wherever it was cut. Items too short for q-grams are found as they are, between word borders.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,11 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import table
 
 Q = 8
-#: Characters of a window and from one to the next; edits allowed for each character; least characters of an item.
+#: Characters of a window and from one to the next; edits allowed for each character; least characters of an item that is
+#: found by q-grams.
 WINDOW, STRIDE, RATE, LEAST = 96, 48, 0.08, 20
+#: The same of the shorter windows of items longer than WINDOW.
+PART, PART_STRIDE = 72, 12
 #: Odd multipliers that mix q-grams (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 #: Code points and shared q-grams that one step handles.
@@ -49,9 +55,11 @@ def qgrams(code: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows (item, place, pattern, edits, least shared q-grams) and where each q-gram stands in them."""
+    """Windows (item, place, pattern, edits, least shared q-grams) and where each q-gram stands in them; and the items
+    that are too short for it, by text."""
 
     items: list
+    short: dict[str, list]
     of_item: np.ndarray
     patterns: list[np.ndarray]
     texts: list[str]
@@ -65,15 +73,18 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[object, str]]) -> Index:
-        ids, of_item, patterns = [], [], []
+        ids, of_item, patterns, short = [], [], [], {}
         for item_id, text in items:
-            p = codes(plain(text))
+            p = codes(t := plain(text))
             if len(p) < LEAST:
+                if t:
+                    short.setdefault(t, []).append(item_id)
                 continue
-            last = max(0, len(p) - WINDOW)
-            for a in sorted({*range(0, last, STRIDE), last}):
-                of_item.append(len(ids))
-                patterns.append(p[a : a + WINDOW])
+            for size, stride in ((WINDOW, STRIDE), (PART, PART_STRIDE))[: 1 + (len(p) > WINDOW)]:
+                last = max(0, len(p) - size)
+                for a in sorted({*range(0, last, stride), last}):
+                    of_item.append(len(ids))
+                    patterns.append(p[a : a + size])
             ids.append(item_id)
         m = np.array([len(p) for p in patterns], np.int64)
         edits = np.minimum((m * RATE).astype(np.int64), (m - Q) // Q)
@@ -86,7 +97,7 @@ class Index:
         present = np.zeros(1 << bits, bool)
         present[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
         texts = [p.tobytes().decode("utf-32-le") for p in patterns]
-        return cls(ids, np.array(of_item, np.int64), patterns, texts, edits, m - Q + 1 - edits * Q, hashes, np.append(starts, len(h)), window[order].astype(np.int64), place[order].astype(np.int64), present)
+        return cls(ids, short, np.array(of_item, np.int64), patterns, texts, edits, m - Q + 1 - edits * Q, hashes, np.append(starts, len(h)), window[order].astype(np.int64), place[order].astype(np.int64), present)
 
     def bands(self, code: np.ndarray) -> list[tuple[int, int]]:
         """(window, lowest diagonal) of each band that shares enough q-grams. Bands are two steps wide and one step apart."""
@@ -172,6 +183,20 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, width: int, most: in
     return int(cost[best]), int(begin[best]), int(low + best + len(pattern))
 
 
+def _borders(text: str, a: int, end: int) -> bool:
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
+def _short(index: Index) -> ahocorasick.Automaton | None:
+    if not index.short:
+        return None
+    automaton = ahocorasick.Automaton()
+    for t in index.short:
+        automaton.add_word(t, t)
+    automaton.make_automaton()
+    return automaton
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     at = size = 0
     for i, t in enumerate(texts):
@@ -190,6 +215,7 @@ def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         of_windows = np.bincount(index.of_item, minlength=len(index.items))
+        automaton = _short(index)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [plain(t.as_py()) for t in batch.column(1)]
@@ -217,8 +243,15 @@ def _scan(shared):
                             hits[doc, int(index.of_item[w])].append((got[0], x - start + got[1], x - start + got[2], w))
                 for (doc, item), found in sorted(hits.items()):
                     t = part[doc]
-                    first, end = min(f[1] for f in found), max(f[2] for f in found)
-                    rows.append((ids[a + doc], index.items[item], len({f[3] for f in found}), int(of_windows[item]), min(f[0] for f in found), t.count(" ", 0, first), t.count(" ", 0, max(end - 1, 0)) + 1))
+                    first, end, longest = min(f[1] for f in found), max(f[2] for f in found), max(len(index.patterns[f[3]]) for f in found)
+                    rows.append((ids[a + doc], index.items[item], len({f[3] for f in found}), int(of_windows[item]), min(f[0] for f in found if len(index.patterns[f[3]]) == longest), t.count(" ", 0, first), t.count(" ", 0, max(end - 1, 0)) + 1))
+            for doc, t in enumerate(texts if automaton else ()):
+                places: dict[str, int] = {}
+                for last, p in automaton.iter(t):
+                    if p not in places and _borders(t, last + 1 - len(p), last + 1):
+                        places[p] = last + 1 - len(p)
+                for p, a in sorted(places.items()):
+                    rows += [(ids[doc], item, 1, 1, 0, t.count(" ", 0, a), t.count(" ", 0, a + len(p) - 1) + 1) for item in index.short[p]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
@@ -227,11 +260,12 @@ def _scan(shared):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 8_000_000) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text), other columns ignored. A row for each document and item of which it
-    holds a window of up to 96 characters within 8 % edits: how many windows of the item's, the fewest edits, and the words
-    that they span (by white space, end exclusive).
+    holds a window within 8 % edits: how many windows of the item's, the fewest edits of the longest of these windows, and
+    the words that they span (by white space, end exclusive). An item of up to 96 characters is one window; a longer one has
+    windows of 96 characters every 48 and of 72 every 12.
 
-    Case and white space don't matter. Null or empty texts match nothing; items of fewer than 20 characters are left out,
-    as chance would find them. Repeated rows give repeated findings; items with equal ids are taken one by one. Either
+    Case and white space don't matter. Null or empty texts match nothing; items of fewer than 20 characters are found
+    without edits, between word borders. Repeated rows give repeated findings; items with equal ids are taken one by one. Either
     table may be empty. The benchmark goes to the executors whole only up to most_bytes of text; a larger one is taken in
     parts of about that size, by a hash of the item, one pass over the documents each."""
     spark = docs.sparkSession

@@ -85,3 +85,15 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 5, 6]
     assert d.leaks(docs.limit(0), bench).count() == d.leaks(docs, bench.limit(0)).count() == 0
     assert d.banded(np.array([1, 2]), np.array([], np.int64), 0, 3, 1) is None
+
+
+def test_passages_of_long_items_and_short_items(spark):
+    rng = random.Random(5)
+    item = noise(rng, 300)
+    texts = [noise(rng, 40) + item[a : a + n] + noise(rng, 40) for n in (83, 90, 100, 110, 120) for a in range(0, 301 - n, 7)]
+    others = [(-1, "It is: Forty  two!"), (-2, "forty twos"), (-3, "aforty two"), (-4, "nothing"), (-5, "forty two"), (-6, noise(rng, 400))]
+    docs = spark.createDataFrame(list(enumerate(texts)) + others, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Forty two"), (3, "forty TWO"), (4, " ")], "item_id long, text string")
+    got = d.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(-5, 2), (-5, 3), (-1, 2), (-1, 3)] + [(i, 1) for i in range(len(texts))]
+    assert {(r.first_word, r.end_word) for r in got if r.doc_id == -1} == {(2, 4)}
