@@ -1,7 +1,8 @@
 """License notices by an ordered list of signature rules over a text's words.
 
-Words are joined by single blanks, so that rules need not know marks, cases or line ends. Each rule is gated by a
-keyword: one Aho-Corasick pass over the text finds the keywords that occur, and only their rules are tried. Of the
+Words are joined by single blanks, so that rules need not know marks, cases or line ends. Each rule is gated by
+keywords, one of which each of its matches holds: one Aho-Corasick pass over the text finds the keywords that occur, and
+only their rules are tried. Of the
 detections, one inside another's interval goes unless it comes from a rule of higher priority and is as long; of two
 that overlap in part, the one of lower priority goes.
 """
@@ -29,19 +30,19 @@ BASE_WEIGHT = 0.5
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     weight: float
 
 
-def _rule(label: str, keyword: str, pattern: str, weight: float) -> Rule:
-    return Rule(label, keyword, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), weight)
+def _rule(label: str, keywords: str, pattern: str, weight: float) -> Rule:
+    return Rule(label, tuple(keywords.split()), re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), weight)
 
 
-#: Families with versions: label, short names, long name, versions (fixed values).
+#: Families with versions: label, short names, keywords of the long name, long name, versions (fixed values).
 FAMILIES = [
     ("agpl", r"(?:gnu )?agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "1.0 3.0"),
-    ("lgpl", r"(?:gnu )?lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "2.0 2.1 3.0"),
+    ("lgpl", r"(?:gnu )?lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "2.0 2.1 3.0"),
     ("gpl", r"(?:gnu )?gpl", "general", r"(?:gnu )?general public licen[sc]e", "1.0 2.0 3.0"),
     ("gfdl", r"(?:gnu )?g?fdl", "documentation", r"(?:gnu )?free documentation licen[sc]e", "1.1 1.2 1.3"),
     ("apache", r"asl", "apache", r"apache(?: software)?(?: licen[sc]e)?", "1.0 1.1 2.0"),
@@ -67,7 +68,7 @@ FAMILIES = [
 #: Clauses of Creative Commons licences and their names, and their versions (fixed values).
 CLAUSES = {"by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?", "by-nc": "attribution non ?commercial", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative)?s?", "by": "attribution"}
 CC_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
-#: Single notices: label, keyword, pattern, weight (fixed values).
+#: Single notices: label, keywords, pattern, weight (fixed values).
 NOTICES = [
     ("mit", "mit", r"(?:the )?mit licen[sc]e|under (?:the )?mit|licen[sc]ed? mit", 0.9),
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
@@ -89,7 +90,7 @@ NOTICES = [
     ("public-domain", "domain", r"(?:released |dedicated |placed |is )?(?:in|in to|into|to) the public domain|public domain dedication", 0.8),
     ("cc", "creative", r"creative commons(?: licen[sc]e)?", 0.6),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary|proprietary licen[sc]e", 0.8),
-    ("reserved", "reserved", r"(?:all |some )rights(?: are)? reserved|tous droits réservés|todos los derechos reservados|alle rechte vorbehalten", 0.7),
+    ("reserved", "reserved droits derechos rechte", r"(?:all |some )rights(?: are)? reserved|tous droits réservés|todos los derechos reservados|alle rechte vorbehalten", 0.7),
     ("reserved", "droits", r"tous droits réservés", 0.7),
     ("reserved", "derechos", r"todos los derechos reservados", 0.7),
     ("reserved", "rechte", r"alle rechte vorbehalten", 0.7),
@@ -109,7 +110,7 @@ def rules() -> list[Rule]:
     """In order of priority: identifiers, then named licences with a version, then without, then other notices."""
     exact, named, plain = [], [], []
     for label, short, keyword, long, versions in FAMILIES:
-        first = re.sub(r"\(\?:[^()]*\)\??|\W.*", " ", short).split()[0] if label not in ("gfdl", "cecill") else {"gfdl": "fdl", "cecill": "cecill"}[label]
+        first = re.sub(r"\(\?:[^()]*\)\??|\W.*", " ", short).split()[0] if label not in ("gfdl", "cecill", "python") else {"gfdl": "fdl", "cecill": "cecill", "python": "psf"}[label]
         for v in versions.split():
             number, later = _version(v), r" (?:or (?:at your option )?(?:any )?|and )later(?: version)?"
             exact.append(_rule(f"{label}-{v}", "spdx", rf"spdx licen[sc]e identifier {label} {v.replace('.', ' ')}(?: only| or later)?", 1.0))
@@ -144,7 +145,8 @@ def resolved(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def _prefilter() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     by_keyword: dict[str, list[int]] = {}
     for i, r in enumerate(rules()):
-        by_keyword.setdefault(r.keyword, []).append(i)
+        for k in r.keywords:
+            by_keyword.setdefault(k, []).append(i)
     automaton = ahocorasick.Automaton()
     for k in [*by_keyword, *(p.split()[-1] for p in BASE)]:
         automaton.add_word(k, k)
@@ -168,7 +170,8 @@ def detections(lower: bytes) -> tuple[list[tuple[str, int, int, float]], list[tu
     word = lambda at: joined.count(" ", 0, at)
     base = [(label, word(m.start())) for p, label in _PHRASES for m in p.finditer(joined)]
     every = rules()
-    found = [(i, *m.span()) for k in sorted(present) for i in by_keyword.get(k, ()) for m in every[i].pattern.finditer(joined)]
+    tried = sorted({i for k in present for i in by_keyword.get(k, ())})
+    found = [(i, *m.span()) for i in tried for m in every[i].pattern.finditer(joined)]
     return [(every[i].label, word(a), word(b) + 1, every[i].weight) for i, a, b in resolved(found)], base
 
 

@@ -54,3 +54,43 @@ def test_odd_rows(spark):
     assert [r.n_words for r in got] == [0, 0, 7, 7, 2, 40000]
     assert [sum(x.base for x in r.found) for r in got] == [0, 0, 3, 3, 0, 0] and len(got[5].found) == 40000
     assert licenses.license_notices(docs.limit(0)).count() == 0
+
+
+def samples(pattern):
+    """Matches of a pattern, with each of its alternatives and options."""
+    from itertools import product
+    from re import _parser
+
+    def of(parsed):
+        each = []
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                each.append([chr(arg)])
+            elif name == "IN":
+                each.append([chr(a) for o, a in arg if str(o) == "LITERAL"] or ["7" if "DIGIT" in str(arg) else "w"])
+            elif name == "SUBPATTERN":
+                each.append(of(arg[3]))
+            elif name == "BRANCH":
+                each.append([x for b in arg[1] for x in of(b)])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                each.append([x * n for n in {low, min(low + 1, high)} for x in of(inner)])
+            else:
+                assert name in ("ASSERT_NOT", "CATEGORY"), name
+        return list(dict.fromkeys("".join(x) for x in product(*each)))
+
+    return of(_parser.parse(pattern))
+
+
+def test_keywords_lose_nothing():
+    rules = licenses.rules()
+    for r in rules:
+        every = samples(r.pattern.pattern)
+        for s in every:
+            assert r.pattern.fullmatch(s) and any(k in s for k in r.keywords), (r.label, r.keywords, s)
+        for s in {every[0], every[len(every) // 2], every[-1]}:
+            whole = licenses.resolved([(i, *m.span()) for i, x in enumerate(rules) for m in x.pattern.finditer(s)])
+            assert found(s) == [rules[i].label for i, _, _ in whole], s
+    assert found("GNU Library General Public License version 2") == ["lgpl-2.0"]
+    assert found("PSF 2.0") == ["python-2.0"] and found("a PSF license") == ["python"]
