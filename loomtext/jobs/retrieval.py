@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
@@ -10,6 +9,7 @@ from loomtext.jobs.registry import query, table
 from loomtext.operators import dense as D
 from loomtext.operators import fusion as U
 from loomtext.operators import lexical as L
+from loomtext.operators.shared import saved, small
 
 
 def docs_and_questions(spark, d):
@@ -38,16 +38,9 @@ def _top(of: str, k: int, name: str | None = None, where: str = "true") -> str:
     return f", {name} as (select * from {body} where rank <= {k})" if name else f" select query_id, rank, doc_id, score from {body} where rank <= {k}"
 
 
-def hashed(docs, questions):
-    """Cosine of hashed token counts, a stand-in for a model's vectors: query_id, doc_id, score."""
-    of_docs = D.hash_vectors(docs, "doc_id", T.tokens("text"))
-    of_queries = D.hash_vectors(questions, "query_id", T.tokens("query"))
-    return of_docs.join(of_queries.withColumnRenamed("w", "q"), "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
-
-
 @query("bm25_topk", f"with {_WORDS}{_BM25}{_top('bm', 10)}")
 def bm25_topk(spark, d):
-    return L.top(L.bm25(*docs_and_questions(spark, d)), 10)
+    return L.bm25_top(*docs_and_questions(spark, d), 10)
 
 
 @query("bm25_positive_split", """with d as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as t from documents),
@@ -56,12 +49,12 @@ qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(t) a
 dt as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(t) as dl, unnest(t) as term from d) group by all),
 df as (select term, count(*) as df from dt group by term)""" + _BM25 + _top("bm", 5, where="score > 0"))
 def bm25_positive_split(spark, d):
-    return L.top(L.bm25(*docs_and_questions(spark, d), tokenize=lambda c: T.split_words(c, lower=False), positive_only=True), 5)
+    return L.bm25_top(*docs_and_questions(spark, d), 5, lambda c: T.split_words(c, lower=False), positive_only=True)
 
 
 @query("term_overlap_topk", f"with {_WORDS}{_OVERLAP}{_top('ov', 5)}")
 def term_overlap_topk(spark, d):
-    return L.top(L.overlap(*docs_and_questions(spark, d)), 5)
+    return L.overlap_top(*docs_and_questions(spark, d), 5)
 
 
 @query("tfidf_cosine_topk", f"""with {_WORDS}, n as (select count(*) as n from d), idf as (select term, ln((n + 1) / (df + 1)) + 1 as idf from df, n),
@@ -70,13 +63,13 @@ qw as (select query_id, term, (qtf / m + 1) * idf as w from (select *, max(qtf)
 dn as (select doc_id, sqrt(sum(w * w)) as l from dw group by all), qn as (select query_id, sqrt(sum(w * w)) as l from qw group by all),
 s as (select query_id, doc_id, sum(dw.w * qw.w) / (any_value(dn.l) * any_value(qn.l)) as score from dw join qw using (term) join dn using (doc_id) join qn using (query_id) group by all){_top('s', 5)}""")
 def tfidf_cosine_topk(spark, d):
-    return L.top(L.tfidf_cosine(*docs_and_questions(spark, d)), 5)
+    return L.tfidf_cosine_top(*docs_and_questions(spark, d), 5)
 
 
 @query("bow_cosine_topk", f"""with {_WORDS}, dn as (select doc_id, sqrt(sum(tf * tf)) as l from dt group by all), qn as (select query_id, sqrt(sum(qtf * qtf)) as l from qt group by all),
 s as (select query_id, doc_id, sum(tf * qtf) / (any_value(dn.l) * any_value(qn.l)) as score from dt join qt using (term) join dn using (doc_id) join qn using (query_id) group by all){_top('s', 5)}""")
 def bow_cosine_topk(spark, d):
-    return L.top(L.bow_cosine(*docs_and_questions(spark, d)), 5)
+    return L.bow_cosine_top(*docs_and_questions(spark, d), 5)
 
 
 @query("substring_match", "select doc_id, len(list_filter(['rights', 'token', 'th', 'license'], lambda w: contains(lower(text), w)))::bigint as terms from documents where len(list_filter(['rights', 'token', 'license'], lambda w: contains(lower(text), w))) > 0")
@@ -88,7 +81,7 @@ def substring_match(spark, d):
 
 @query("hash_cosine_topk", f"with {_WORDS}{_HASH}{_top('hs', 5)}")
 def hash_cosine_topk(spark, d):
-    return L.top(hashed(*docs_and_questions(spark, d)), 5)
+    return D.hashed_top(*docs_and_questions(spark, d), 5, T.tokens)
 
 
 @query("hashing_embedding", f"with {_WORDS}{_HASH} select doc_id, count(*) as buckets, round(max(n / l), 6) as largest from dh join dn using (doc_id) group by doc_id")
@@ -99,7 +92,7 @@ def hashing_embedding(spark, d):
 
 def two_lists(spark, d, k: int = 10):
     docs, questions = docs_and_questions(spark, d)
-    return U.lists(words=L.top(L.bm25(docs, questions), k), vectors=L.top(hashed(docs, questions), k))
+    return saved(U.lists(words=L.bm25_top(docs, questions, k), vectors=D.hashed_top(docs, questions, k, T.tokens)))
 
 
 _LISTS = f"{_WORDS}{_BM25}{_HASH}{_top('bm', 10, 'l1')}{_top('hs', 10, 'l2')}, r as (select *, 'words' as list_id from l1 union all select *, 'vectors' as list_id from l2)"
@@ -136,8 +129,8 @@ g as (select query_id, doc_id, len(list_intersect(list_distinct(q.t), list_disti
 def hybrid_rerank(spark, d):
     """Fused candidates ranked again by the share of the question's tokens that they hold."""
     docs, questions = docs_and_questions(spark, d)
-    pool = L.top(U.rrf(two_lists(spark, d)), 10).select("query_id", "doc_id")
-    both = pool.join(questions, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    pool = saved(L.top(U.rrf(two_lists(spark, d)), 10).select("query_id", "doc_id").join(questions, "query_id"))
+    both = docs.select("doc_id", "text").join(small(pool), "doc_id")
     return L.top(both.select("query_id", "doc_id", T.token_share(T.tokens("query"), T.tokens("text")).alias("score")), 3)
 
 
@@ -155,7 +148,7 @@ def multi_query_fusion(spark, d):
     words = T.tokens("query")
     forms = F.array(F.col("query"), F.array_join(F.filter(words, lambda w: F.length(w) > 3), " "), F.concat(F.lit("explain "), "query"))
     variants = questions.select("query_id", F.posexplode(forms).alias("variant", "query")).select((F.col("query_id") * 10 + F.col("variant")).alias("query_id"), "query")
-    ranked = L.top(L.overlap(docs, variants), 5).withColumn("query_id", F.floor(F.col("query_id") / 10))
+    ranked = L.overlap_top(docs, variants, 5).withColumn("query_id", F.floor(F.col("query_id") / 10))
     return L.top(U.rrf(ranked), 3)
 
 
@@ -167,8 +160,8 @@ def stepback_compare(spark, d):
     """Results of the question and of a broader one (its distinct longer words), side by side."""
     docs, questions = docs_and_questions(spark, d)
     broad = questions.select("query_id", F.array_join(F.array_distinct(F.filter(T.tokens("query"), lambda w: F.length(w) > 3)), " ").alias("query"))
-    a = L.top(L.overlap(docs, questions), 3).select("query_id", "doc_id", F.col("rank").alias("direct_rank"))
-    b = L.top(L.overlap(docs, broad), 3).select("query_id", "doc_id", F.col("rank").alias("broad_rank"))
+    a = L.overlap_top(docs, questions, 3).select("query_id", "doc_id", F.col("rank").alias("direct_rank"))
+    b = L.overlap_top(docs, broad, 3).select("query_id", "doc_id", F.col("rank").alias("broad_rank"))
     both = a.join(b, ["query_id", "doc_id"], "full_outer")
     return both.select("query_id", "doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("direct_rank", "broad_rank")])
 
@@ -184,10 +177,7 @@ def parent_document_topk(spark, d):
     """Ten best children of 300 characters; their parents by the best child's rank."""
     docs, questions = docs_and_questions(spark, d)
     children = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(300)), lambda s: F.substring(F.col("text"), s + 1, F.lit(300)))).alias("c", "child"))
-    held = children.select("doc_id", "c", F.explode(F.array_distinct(T.tokens("child"))).alias("term"))
-    scored = held.join(L.query_terms(questions), "term").groupBy("query_id", "doc_id", "c").agg(F.sum("qtf").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "c")
-    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10")
+    best = L.overlap_top(children, questions, 10, ids=["doc_id", "c"], text="child").withColumn("score", F.col("score").cast("long"))
     return best.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best_rank"), F.max("score").alias("score"))
 
 
@@ -198,9 +188,9 @@ def tenant_hybrid_search(spark, d):
     """Each tenant sees its own documents only; a filter on metadata besides; positions are citations."""
     docs, questions = docs_and_questions(spark, d)
     allowed = docs.where("source <> 'src0'")
-    scored = L.overlap(allowed, questions).join(allowed.select("doc_id", F.col("lang").alias("tenant"), "source"), "doc_id")
-    order = W.partitionBy("query_id", "tenant").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("position", F.row_number().over(order).cast("long")).where("position <= 3").select("query_id", "tenant", "position", "doc_id", "source")
+    best = saved(L.overlap_top(allowed, questions, 3, by="lang"))
+    with_source = allowed.select("doc_id", "source").join(small(best), "doc_id")
+    return with_source.select("query_id", F.col("lang").alias("tenant"), F.col("rank").alias("position"), "doc_id", "source")
 
 
 @query("validated_route", f"""with {_WORDS}{_OVERLAP}{_top('ov', 3, 'a')},
@@ -209,7 +199,7 @@ select query_id, count(*) filter (verdict = 'correct') as correct, case when cou
 def validated_route(spark, d):
     """Three documents are judged by the share of the question that they hold; the verdicts choose where to answer from."""
     docs, questions = docs_and_questions(spark, d)
-    near = L.top(L.overlap(docs, questions), 3).join(questions.select("query_id", F.size(T.tokens("query")).alias("n")), "query_id")
+    near = L.overlap_top(docs, questions, 3).join(questions.select("query_id", F.size(T.tokens("query")).alias("n")), "query_id")
     share = F.col("score") / F.col("n")
     judged = near.select("query_id", F.when(share >= 0.8, "correct").when(share >= 0.5, "ambiguous").otherwise("wrong").alias("v"))
     correct = F.count_if(F.col("v") == "correct")
@@ -222,6 +212,7 @@ select list_id, count(*) as questions, round(avg(hit::int), 6) as hit_rate from
 def retriever_hit_rates(spark, d):
     """For each retriever: how often one of its first three documents holds the question whole."""
     docs, questions = docs_and_questions(spark, d)
-    seen = two_lists(spark, d).where("rank <= 3").join(questions, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    first = saved(two_lists(spark, d).where("rank <= 3").join(questions, "query_id"))
+    seen = docs.select("doc_id", "text").join(small(first), "doc_id")
     per = seen.groupBy("list_id", "query_id").agg(F.max(F.contains("text", F.col("query"))).alias("hit"))
     return per.groupBy("list_id").agg(F.count("*").alias("questions"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))

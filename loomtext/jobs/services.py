@@ -11,6 +11,7 @@ from loomtext.jobs.registry import query, table
 from loomtext.jobs.retrieval import _OVERLAP, _WORDS, _top, docs_and_questions
 from loomtext.operators import dense as D
 from loomtext.operators import lexical as L
+from loomtext.operators.shared import saved, small
 
 
 @query("order_lookup", """select c.conv_id, coalesce(o.o_orderstatus, 'not found') as status, round(coalesce(o.o_totalprice, 0), 2) as total from (select distinct conv_id from conversations) c left join orders o on o.o_orderkey = c.conv_id * 3""")
@@ -80,7 +81,8 @@ select query_id, doc_id, len(kept)::bigint as sentences, coalesce(list_sum(list_
 def compressed_context(spark, d):
     """Of three documents for each question, the sentences that share three of its longer words; and the share left out."""
     docs, questions = docs_and_questions(spark, d)
-    near = L.top(L.overlap(docs, questions), 3).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(questions, "query_id")
+    first = saved(L.overlap_top(docs, questions, 3).select("query_id", "doc_id").join(questions, "query_id"))
+    near = docs.select("doc_id", "text").join(small(first), "doc_id")
     asked = F.filter(F.array_distinct(T.tokens("query")), lambda w: F.length(w) > 5)
     rows = near.select("query_id", "doc_id", "text", asked.alias("asked"), T.sentences("text").alias("s"))
     kept = F.filter("s", lambda x: F.size(F.array_intersect(F.array_distinct(T.tokens(x)), F.col("asked"))) >= 3)
@@ -117,11 +119,8 @@ def retrieval_proxy(spark, d):
     docs, questions = docs_and_questions(spark, d)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(512)), lambda s: F.substring(F.col("text"), s + 1, F.lit(512)))
     chunks = docs.select("doc_id", F.posexplode(cut).alias("c", "chunk")).select("doc_id", "c", F.array_distinct(T.tokens("chunk")).alias("t"))
-    terms = chunks.select("doc_id", "c", F.size("t").alias("n"), F.explode("t").alias("term"))
-    asked = questions.select("query_id", F.array_distinct(T.tokens("query")).alias("t")).select("query_id", F.size("t").alias("m"), F.explode("t").alias("term"))
-    shared = terms.join(asked, "term").groupBy("query_id", "doc_id", "c", "n", "m").agg(F.count("*").alias("k"))
-    best = shared.groupBy("query_id").agg(F.max(2.0 * F.col("k") / (F.col("n") + F.col("m"))).alias("best"))
-    return best.agg(F.count("*").alias("questions"), F.round(F.avg("best"), 6).alias("mean_best"))
+    best = L.token_f1_top(chunks, questions, 1, ["doc_id", "c"], "t")
+    return best.agg(F.count("*").alias("questions"), F.round(F.avg("score"), 6).alias("mean_best"))
 
 
 @query("benchmark_verdicts", """with s as (select l_suppkey % 20 as task, avg(l_discount) filter (l_returnflag = 'A') as base, avg(l_discount) filter (l_returnflag = 'R') as tuned from lineitem group by 1)

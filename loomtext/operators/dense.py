@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.operators import scoring
+from loomtext.operators.shared import is_small, saved
+
 #: Query vectors that one pass sends to the executors; vectors that one matrix product takes.
 BLOCK, ROWS = 2048, 4096
 
@@ -145,6 +151,41 @@ def hash_vectors(docs: DataFrame, key: str, tokens: Column, dims: int = 256) ->
     return counts.join(length, key).select(key, "bucket", (F.col("n") / F.col("length")).alias("w"))
 
 
+@dataclass
+class Hashed:
+    """Cosine of hashed token counts: one product of matrices for a slice of documents and all questions."""
+
+    questions: np.ndarray
+
+    def __call__(self, lists) -> np.ndarray:
+        dims = self.questions.shape[1]
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        bucket = np.array([int.from_bytes(md5(t.encode()).digest()[:4]) % dims for t in coded.dictionary.to_pylist()], np.int64)
+        at = np.repeat(np.arange(len(length)), length) * dims
+        if len(at):
+            at += bucket[coded.indices.to_numpy(zero_copy_only=False)]
+        m = np.bincount(at, minlength=len(length) * dims).reshape(-1, dims).astype(float)
+        s = self.questions @ (m / np.maximum(np.sqrt((m**2).sum(1)), 1e-300)[:, None]).T
+        return np.where(s > 0, s, -np.inf)
+
+
+def hashed_top(docs: DataFrame, questions: DataFrame, k: int, tokens: Callable[[str], Column], dims: int = 256, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+    """docs(doc_id, text), questions(query_id, query): the k documents of largest cosine of hashed token counts, a stand-in
+    for a model's vectors: query_id, rank, doc_id, score. The questions' vectors go to the tasks up to `most` numbers."""
+    asked = saved(hash_vectors(questions, "query_id", tokens("query"), dims))
+    if not is_small(asked, most):
+        both = hash_vectors(docs, "doc_id", tokens("text"), dims).join(asked.withColumnRenamed("w", "q"), "bucket")
+        found = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
+        return scoring.ranked(found, k, ["doc_id"])
+    rows = asked.collect()
+    ids = np.unique(np.array([r.query_id for r in rows], np.int64))
+    matrix = np.zeros((len(ids), dims))
+    for r in rows:
+        matrix[np.searchsorted(ids, r.query_id), r.bucket] = r.w
+    return scoring.search(docs, tokens("text"), Hashed(matrix), ids, k, ["doc_id"])
+
+
 def principal(vectors: DataFrame, dims: int, k: int = 2) -> DataFrame:
     """vec_id and k coordinates on the principal axes. The means and the d x d moments are aggregated by Spark; only they,
     whose size depends on the dimensions alone, reach the driver."""

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from loomtext.operators.shared import saved
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -22,20 +15,41 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "relation", "pos").unionByName(back).groupBy("src", "dst").agg(F.max_by("relation", "pos").alias("relation"))
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node that can be reached. Each round takes the least label among the neighbours and
-    then the label of that label, so that long chains shorten by half; each round is kept in the shared folder."""
-    both = _saved(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = _saved(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"))
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """edges(src, dst) of any type that has an order. Returns (node, component): for every node of an edge the smallest node
+    that can be reached. Rounds of large-star and small-star; minima are aggregated before they are joined back, every join
+    is between two plain exchanges, so that a hub's rows can be split over tasks, and each round is kept in the shared folder."""
+
+    def smallest(rows: DataFrame) -> DataFrame:
+        return saved(rows.groupBy("u").agg(F.min("v").alias("m")))
+
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    u, v = F.col("src"), F.col("dst")
+    pairs = saved(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    alone, e = pairs.where("u = v").select(F.col("u").alias("node")), pairs.where("u <> v")
+    before = mark(e)
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("src")).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        up = hooked.select(F.col("node").alias("parent"), F.col("new").alias("root"))
-        new = _saved(hooked.join(up, F.col("new") == F.col("parent"), "left").select("node", F.least(F.coalesce("root", "new"), "new").alias("label"), "old"))
-        if new.where("label <> old").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
-    raise RuntimeError("components did not settle")
+        if not before[0]:
+            break
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = saved(both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        low = smallest(large)
+        e = saved(
+            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(low.select("u", F.col("m").alias("v")))
+            .distinct()
+        )
+        now = mark(e)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return found.unionByName(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def internal_edges(adjacent: DataFrame, component: DataFrame, cap: int = 15) -> DataFrame:

@@ -1,27 +1,26 @@
-"""Search by words: BM25, TF-IDF, overlap. Only the postings of query terms are shuffled."""
+"""Search by words: BM25, TF-IDF, overlap. Documents are scored where they are, for all questions at once, and each task's best
+k of a question are merged; with more weights than a task should hold, postings and weights are joined instead."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import tokens
+from loomtext.operators import scoring
+from loomtext.operators.shared import is_small, saved, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def top(scored: DataFrame, k: int, by: str = "score", id_: str = "doc_id", digits: int = 6) -> DataFrame:
     """For each query the k rows of highest rounded score, ties by id: query_id, rank, id, score."""
-    order = W.partitionBy("query_id").orderBy(F.desc(by), F.asc(id_))
-    return (
-        scored.withColumn(by, F.round(by, digits))
-        .withColumn("rank", F.row_number().over(order).cast("long"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", id_, by)
-    )
+    found = scored.select("query_id", id_, F.round(by, digits).alias("score"))
+    return scoring.ranked(found, k, [id_]).withColumnRenamed("score", by)
 
 
 def query_terms(queries: DataFrame, tokenize: Callable[[str], Column] = tokens) -> DataFrame:
@@ -32,60 +31,179 @@ def query_terms(queries: DataFrame, tokenize: Callable[[str], Column] = tokens)
 def postings(docs: DataFrame, tokenize: Callable[[str], Column] = tokens) -> DataFrame:
     """doc_id, dl, term, tf. Terms are counted inside each document's array, so nothing is shuffled."""
     t = tokenize("text")
-    words = docs.select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.col("t"))
-    counted = words.select("doc_id", "dl", "t", F.explode(F.array_distinct("t")).alias("term"))
-    return counted.select("doc_id", "dl", "term", F.size(F.filter("t", lambda x: x == F.col("term"))).cast("long").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, tokenize: Callable[[str], Column] = tokens, positive_only: bool = False) -> DataFrame:
-    """docs(doc_id, text), queries(query_id, query): query_id, doc_id, score, for documents that share a term. The idf of a
-    term that more than half of the documents hold is a quarter of the mean idf of all terms."""
-    asked = query_terms(queries, tokenize)
-    words = docs.select("doc_id", tokenize("text").alias("t"))
-    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(whole)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg((F.avg("idf") * FLOOR).alias("floor"))
-    terms = asked.join(idf, "term").crossJoin(F.broadcast(mean))  # one row each: the collection's totals
-    weight = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")) * F.col("qtf")
-    wanted = terms.select("query_id", "term", "avgdl", weight.alias("w"))
-    held = words.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = held.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturated).alias("score"))
+    words = docs.select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.array_sort("t").alias("t"))
+    # In sorted order a term's number is the distance between its first place and its last.
+    runs = words.select("doc_id", "dl", "t", F.explode(F.array_distinct("t")).alias("term"))
+    return runs.select("doc_id", "dl", "term", (F.size("t") - F.array_position(F.reverse("t"), F.col("term")) - F.array_position("t", F.col("term")) + 2).cast("long").alias("tf"))
+
+
+@dataclass
+class Collection:
+    """A table's terms (term, df), documents and tokens, from one scan; the terms are kept in the shared folder."""
+
+    terms: DataFrame
+    n: int
+    mean_length: float
+
+    @classmethod
+    def of(cls, docs: DataFrame, tokenize: Callable[[str], Column] = tokens) -> Collection:
+        t = F.coalesce(tokenize("text"), F.array().cast("array<string>"))
+        words = docs.select(t.alias("t")).select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+        counted = saved(words.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("tokens")))
+        whole = counted.where("term is null").first()  # one row for each document
+        return cls(counted.where("term is not null").select("term", "df"), whole.df if whole else 0, whole.tokens / whole.df if whole else 0.0)
+
+    def bm25_weights(self, asked: DataFrame) -> DataFrame:
+        """query_id, term, w of query terms that documents hold. The idf of a term that more than half of the documents hold
+        is a quarter of the mean idf of all terms."""
+        idf = self.terms.withColumn("idf", F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        floor = FLOOR * (idf.agg(F.avg("idf")).first()[0] or 0.0)
+        weight = F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")) * F.col("qtf")
+        return idf.join(small(asked), "term").select("query_id", "term", weight.alias("w"))
+
+    def idf(self) -> DataFrame:
+        """term, idf = ln((n + 1) / (df + 1)) + 1."""
+        return self.terms.select("term", (F.log((self.n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+@dataclass
+class Bm25:
+    model: scoring.Model
+    mean_length: float
+
+    def __call__(self, lists) -> np.ndarray:
+        c = self.model.count(lists)
+        value = c.tf * (K1 + 1) / (c.tf + K1 * (1 - B + B * c.length[c.doc] / max(self.mean_length, 1e-300)))
+        return self.model.scores(c, value, None)
+
+
+@dataclass
+class Overlap:
+    model: scoring.Model
+
+    def __call__(self, lists) -> np.ndarray:
+        c = self.model.count(lists)
+        return self.model.scores(c, np.ones(len(c.doc)), None)
+
+
+@dataclass
+class Cosine:
+    """Of word counts; with idf, of (tf / max tf + 1) idf. The questions' weights are of length 1."""
+
+    model: scoring.Model
+    idf: np.ndarray | None = None
+
+    def __call__(self, lists) -> np.ndarray:
+        c = self.model.count(lists)
+        if self.idf is None:
+            value = c.tf
+        else:
+            most = np.zeros(len(c.length))
+            np.maximum.at(most, c.doc, c.tf)
+            value = (c.tf / most[c.doc] + 1) * self.idf[c.token]
+        return self.model.scores(c, value, np.maximum(np.sqrt(np.bincount(c.doc, value**2, len(c.length))), 1e-300))
+
+
+def _unit(weights: DataFrame) -> DataFrame:
+    """(query_id, term, w) scaled to length 1."""
+    size = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+    return weights.join(size, "query_id").select("query_id", "term", (F.col("w") / F.col("qn")).alias("w"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokenize: Callable[[str], Column] = tokens, positive_only: bool = False, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+    """docs(doc_id, text), queries(query_id, query): query_id, rank, doc_id, score, of documents that share a term."""
+    whole = Collection.of(docs, tokenize)
+    weights = saved(whole.bm25_weights(query_terms(queries, tokenize)))
+    if not is_small(weights, most):
+        return top(bm25_joined(docs, weights, whole.mean_length, tokenize, positive_only), k)
+    model = scoring.Model.of(weights.collect())
+    return scoring.search(docs, tokenize("text"), Bm25(model, whole.mean_length), model.ids, k, ["doc_id"], least=0.0 if positive_only else None)
+
+
+def bm25_joined(docs: DataFrame, weights: DataFrame, mean_length: float, tokenize: Callable[[str], Column] = tokens, positive_only: bool = False) -> DataFrame:
+    """weights(query_id, term, w): query_id, doc_id, score of all documents that share a term, by a join of postings."""
+    tf = postings(docs, tokenize)
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
+    scored = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturated).alias("score"))
     return scored.where("score > 0") if positive_only else scored
 
 
-def tfidf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of vectors with weights (tf / max tf + 1) idf, idf = ln((n + 1) / (df + 1)) + 1 over the documents."""
-    n = docs.agg(F.count("*").alias("n"))
-    words = docs.select("doc_id", tokens("text").alias("t"))
-    df = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+def overlap_top(docs: DataFrame, queries: DataFrame, k: int, by: str | None = None, ids: list[str] | None = None, text: str = "text", most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+    """How many of the query's tokens, repeats included, a document holds: query_id, rank, ids, score (and `by`), in each
+    group `by`. ids: the columns that name a document."""
+    ids = ids or ["doc_id"]
+    asked = query_terms(queries)
+    if not is_small(asked, most):
+        found = overlap(docs.select(*ids, F.col(text).alias("text"), *([by] if by else [])), queries, [*ids, *([by] if by else [])])
+        return scoring.ranked(found, k, ids, [by] if by else None)
+    model = scoring.Model.of(asked.collect())
+    return scoring.search(docs, tokens(text), Overlap(model), model.ids, k, ids, by)
 
-    def weighted(counts: DataFrame, key: str) -> DataFrame:
-        most = counts.groupBy(key).agg(F.max("tf").alias("most"))
-        return counts.join(most, key).join(idf, "term").select(key, "term", ((F.col("tf") / F.col("most") + 1) * F.col("idf")).alias("w"))
 
-    of_docs = weighted(words.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "doc_id")
-    of_queries = weighted(query_terms(queries).withColumnRenamed("qtf", "tf"), "query_id")
-    return sparse_cosine(of_docs, of_queries)
+def overlap(docs: DataFrame, queries: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """The same of all documents that share a token, by a join: query_id, ids, score."""
+    ids = ids or ["doc_id"]
+    held = docs.select(*ids, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    return held.join(query_terms(queries), "term").groupBy("query_id", *ids).agg(F.sum("qtf").cast("double").alias("score"))
 
 
-def sparse_cosine(of_docs: DataFrame, of_queries: DataFrame) -> DataFrame:
-    """Of (doc_id, term, w) and (query_id, term, w): query_id, doc_id, score, where they share a term."""
-    size = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = of_docs.join(of_queries.withColumnRenamed("w", "q"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return dots.join(size(of_docs, "doc_id", "dn"), "doc_id").join(size(of_queries, "query_id", "qn"), "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+def bow_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+    """Cosine of word counts."""
+    weights = saved(_unit(query_terms(queries).select("query_id", "term", F.col("qtf").cast("double").alias("w"))))
+    if not is_small(weights, most):
+        of_docs = postings(docs).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+        return top(sparse_cosine(of_docs, weights), k)
+    model = scoring.Model.of(weights.collect())
+    return scoring.search(docs, tokens("text"), Cosine(model), model.ids, k, ["doc_id"])
 
 
-def bow_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of word counts."""
-    of_docs = docs.select("doc_id", F.explode(tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("w"))
-    return sparse_cosine(of_docs, query_terms(queries).select("query_id", "term", F.col("qtf").cast("double").alias("w")))
+def tfidf_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+    """Cosine of vectors with weights (tf / max tf + 1) idf, idf = ln((n + 1) / (df + 1)) + 1 over the documents. A document's
+    length needs the idf of all of its terms: they go to the tasks if they and the weights are few, else postings are joined."""
+    whole = Collection.of(docs)
+    idf = whole.idf()
+
+    def weighted(counts: DataFrame, key: str) -> DataFrame:
+        most_often = counts.groupBy(key).agg(F.max("tf").alias("most"))
+        return counts.join(most_often, key).join(idf, "term").select(key, "term", ((F.col("tf") / F.col("most") + 1) * F.col("idf")).alias("w"))
+
+    weights = saved(_unit(weighted(query_terms(queries).withColumnRenamed("qtf", "tf"), "query_id")))
+    if not (is_small(weights, most) and is_small(idf, most)):
+        return top(sparse_cosine(weighted(postings(docs), "doc_id"), weights), k)
+    known = {r.term: r.idf for r in idf.collect()}
+    model = scoring.Model.of(weights.collect(), list(known))
+    return scoring.search(docs, tokens("text"), Cosine(model, np.array([known[t] for t in sorted(known)], float)), model.ids, k, ["doc_id"])
 
 
-def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """How many of the query's tokens, repeats included, a document holds."""
-    held = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    return held.join(query_terms(queries), "term").groupBy("query_id", "doc_id").agg(F.sum("qtf").cast("double").alias("score"))
+def sparse_cosine(of_docs: DataFrame, of_queries: DataFrame) -> DataFrame:
+    """Of (doc_id, term, w) and (query_id, term, w) of length 1: query_id, doc_id, score, where they share a term."""
+    size = of_docs.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    dots = of_docs.join(of_queries.withColumnRenamed("w", "q"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    return dots.join(size, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("dn")).alias("score"))
+
+
+@dataclass
+class TokenF1:
+    """Of distinct tokens: sizes are the questions' numbers of them."""
+
+    model: scoring.Model
+    sizes: np.ndarray
+
+    def __call__(self, lists) -> np.ndarray:
+        c = self.model.count(lists)
+        shared = self.model.scores(c, np.ones(len(c.doc)), None)
+        return 2 * shared / (np.bincount(c.doc, minlength=len(c.length))[None] + self.sizes[:, None])
+
+
+def token_f1_top(docs: DataFrame, queries: DataFrame, k: int, ids: list[str], tokens_column: str, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+    """docs(ids, an array of tokens), queries(query_id, query): the k documents of largest F1 of distinct tokens."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    if not is_small(asked, most):
+        sizes = asked.groupBy("query_id").agg(F.count("*").alias("m"))
+        held = docs.select(*ids, F.size(F.array_distinct(tokens_column)).alias("n"), F.explode(F.array_distinct(tokens_column)).alias("term"))
+        shared = held.join(asked, "term").groupBy("query_id", *ids, "n").agg(F.count("*").alias("k")).join(sizes, "query_id")
+        return scoring.ranked(shared.select("query_id", *ids, F.round(2.0 * F.col("k") / (F.col("n") + F.col("m")), 6).alias("score")), k, ids)
+    rows = asked.collect()
+    model = scoring.Model.of([(r.query_id, r.term, 1.0) for r in rows])
+    sizes = np.bincount(np.searchsorted(model.ids, [r.query_id for r in rows]), minlength=len(model.ids))
+    return scoring.search(docs, F.col(tokens_column), TokenF1(model, sizes), model.ids, k, ids)
