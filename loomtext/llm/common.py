@@ -1,32 +1,18 @@
-"""What several operators share: reading tables, the shared checkpoint folder, connected components."""
+"""What several operators share: reading tables, folds, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.operators.graph import components
+from loomtext.operators.shared import deleted, file_row, saved, shared_folder, small  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Only where it is unset,
-    as in tests on one machine, a temporary folder takes its place."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that losing executors loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id as text, mod 5; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5, F.lit(-1))
@@ -37,40 +23,7 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(u, v): pairs of longs. Returns (node, component): for every node of an edge the smallest node
-    that can be reached. Rounds of large-star and small-star; minima are aggregated before they are joined
-    back, and every join is between two plain exchanges, so that a hub's rows can be split over tasks."""
-
-    def smallest(rows: DataFrame) -> DataFrame:
-        return saved(rows.groupBy("u").agg(F.min("v").alias("m")))
-
-    def mark(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    e = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = mark(e)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = saved(
-            both.join(smallest(both), "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
-        low = smallest(large)
-        e = saved(
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        now = mark(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges(u, v): pairs of longs. Returns (node, component): for every node of an edge the smallest node that can be
+    reached."""
+    return components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")))

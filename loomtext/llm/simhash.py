@@ -106,22 +106,22 @@ def _anchored(threshold: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                fp, rep = (batch.column(i).slice(at, 2000).to_numpy(zero_copy_only=False) for i in (0, 1))
+                fp = batch.column(0).slice(at, 2000).to_numpy(zero_copy_only=False)
                 row, anchor = anchors(fp, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, fp[row], rep[row])], ["anchor", "fp", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row])], ["anchor", "fp"])
 
     return emit
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """fps(fp, rep), distinct fingerprints with an id. Returns (u, v): ids of those that differ in at most threshold bits."""
-    schema = "anchor long, fp long, rep long"
-    home = fps.mapInArrow(_anchored(0), schema)
-    looked_up = fps.mapInArrow(_anchored(threshold), schema)
+    """fps(fp), distinct fingerprints. Returns (u, v): those that differ in at most threshold bits."""
+    schema = "anchor long, fp long"
+    home = fps.select("fp").mapInArrow(_anchored(0), schema)
+    looked_up = fps.select("fp").mapInArrow(_anchored(threshold), schema)
     f, g = home.alias("f"), looked_up.alias("g")
     near = F.bit_count(F.col("f.fp").bitwiseXOR(F.col("g.fp"))) <= threshold
     return f.join(g, (F.col("f.anchor") == F.col("g.anchor")) & (F.col("f.fp") < F.col("g.fp")) & near).select(
-        F.col("f.rep").alias("u"), F.col("g.rep").alias("v")
+        F.col("f.fp").alias("u"), F.col("g.fp").alias("v")
     )
 
 
@@ -129,25 +129,20 @@ def simhash_components(docs: DataFrame, threshold: int = 2) -> DataFrame:
     """docs(doc_id, text), other columns ignored. Returns (doc_id, fingerprint, component_id), a row for each row.
 
     A null or empty text, or one of white space only, has fingerprint zero and is linked like any other. A repeated
-    row keeps its repeats. A row with a null doc_id gets a fingerprint; ids name components, so it names none unless
-    no row of its component has an id (component_id is then null). An empty table gives no rows."""
+    row keeps its repeats. A row with a null doc_id gets a fingerprint and links others like any row; ids name components,
+    so component_id is null only where no row of the component has an id. An empty table gives no rows."""
     prints = saved(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    # A fingerprint's number is its smallest id; fingerprints without any id take no part in links by id.
+    # Links are between fingerprints, whoever holds them; ids come in when components are known.
     fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(fps.where("rep is not null"), threshold))
-    component = fps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = connected_components(links(fps, threshold))
+    rooted = saved(fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    component = rooted.join(named, "root").select("fp", "component_id")
     return (
         prints.join(component, "fp")
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
 
 
-def representatives(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """One row of each component: a row of its smallest doc_id. Rows with a null doc_id, which no id can name, stay."""
-    found = simhash_components(docs, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -64,3 +64,29 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_rows_without_an_id_link_others(spark):
+    """Two texts three or four bits apart, each within two bits of a third that only a row without an id holds."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(400)]
+
+    def near(text, low, high):
+        while True:
+            words = text.split()
+            for i in rng.integers(0, len(words), 2):
+                words[i] = f"n{rng.integers(1 << 30)}"
+            other = " ".join(words)
+            if low <= (plain(text) ^ plain(other)).bit_count() <= high:
+                return other
+
+    middle = " ".join(base)
+    while True:
+        a, b = near(middle, 1, 2), near(middle, 1, 2)
+        if (plain(a) ^ plain(b)).bit_count() > 2:
+            break
+    rows = [(9, a), (None, middle), (7, b), (3, "else where now"), (None, "alone and far away")]
+    got = {r.doc_id or r.fingerprint: r.component_id for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9] == got[7] == got[f"{plain(middle):016x}"] == 7 and got[3] == 3 and got[f"{plain('alone and far away'):016x}"] is None
+    only = spark.createDataFrame([(7, b), (None, middle)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.simhash_components(only).collect()} == {7}
