@@ -69,7 +69,7 @@ def test_parts_of_a_large_benchmark(spark):
     items = [(i, noise(rng, 120)) for i in range(20)]
     docs = spark.createDataFrame([(i, t.upper()) for i, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = d.leaks(docs, bench, most_bytes=300).collect()
+    got = d.leaks(docs, bench, most_bytes=300 * d.BYTES_A_CHARACTER).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(20)]
 
 
@@ -97,3 +97,28 @@ def test_passages_of_long_items_and_short_items(spark):
     got = d.leaks(docs, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(-5, 2), (-5, 3), (-1, 2), (-1, 3)] + [(i, 1) for i in range(len(texts))]
     assert {(r.first_word, r.end_word) for r in got if r.doc_id == -1} == {(2, 4)}
+
+
+def test_neighbours_do_not_matter(spark):
+    """A text's findings are the same beside any other texts of its batch: repeated passages, edits, places of all kinds."""
+    rng = random.Random(7)
+    item, long = noise(rng, 60), noise(rng, 250)
+    middle = [changed(rng, item, 3), item, changed(rng, long, 4)[20:180], "ab" * 70, item[:40] + item]
+    texts = [" ".join([item, noise(rng, 30), item, middle[i % 5], noise(rng, rng.randint(1, 30)), long[40:150]]) for i in range(20)]
+    finder = d.Finder(d.Index.of([(1, item), (2, long), (3, "ab" * 40), (4, "forty two")]))
+    alone = [next(finder.findings([t])) for t in texts]
+    assert all({f.item for f in found} >= {1, 2} for found in alone)
+    assert all((f.begin, f.edits) == (0, 0) for found in alone for f in found if f.item == 1)
+    for _ in range(60):
+        around = [noise(rng, rng.randint(0, 120)) if rng.random() < 0.5 else rng.choice(texts)[rng.randint(0, 90) :] for _ in range(6)]
+        i, at = rng.randrange(len(texts)), rng.randrange(len(around) + 1)
+        assert list(finder.findings([*around[:at], texts[i], *around[at:]]))[at] == alone[i]
+
+
+def test_index_is_small():
+    """An index takes at most BYTES_A_CHARACTER bytes for each character of its items."""
+    rng = random.Random(8)
+    for n in (30, 90, 700):
+        index = d.Index.of((i, noise(rng, n)) for i in range(60_000 // n))
+        assert index.nbytes < d.BYTES_A_CHARACTER * len(index.code) + 20_000
+        assert all(len(index.pattern(w)) == index.window(w)[2] for w in range(int(index.of_windows.sum())))
