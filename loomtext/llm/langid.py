@@ -2,7 +2,7 @@
 
 Each language has a Bloom filter of the character n-grams that many of its documents hold. The filters share
 their hash functions and lie side by side: cell p of the one table is a bit mask of the languages whose filter
-has bit p. An n-gram's languages are the AND of its cells, all at once. A document's n-grams are counted by
+has bit p, in as many words of 64 bits as the languages ask for. An n-gram's languages are the AND of its cells, all at once. A document's n-grams are counted by
 language (a popcount of each language's bits); a filter with a share f of its bits set answers yes to a share
 f^k of the n-grams that it does not hold, so counts are corrected to (count - n f^k) / (1 - f^k). The language
 with the largest corrected count is the answer.
@@ -76,14 +76,18 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+    return masks[language >> 6] >> np.uint64(language & 63) & np.uint64(1)
+
+
 class SlicedBloom:
-    """languages in order; masks: for each of 2^bits cells the languages that have it set; prior: the fallback's number."""
+    """languages in order; masks: a row for every 64 languages, and in it for each of 2^bits cells those that have it set;
+    prior: the fallback's number."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, hashes: int, prior: int):
         self.languages, self.masks, self.hashes, self.prior = languages, masks, hashes, prior
-        self.bits = len(masks).bit_length() - 1
-        fill = np.array([(masks >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))])
-        self.wrong = fill**hashes
+        self.bits = masks.shape[1].bit_length() - 1
+        self.wrong = np.array([_bit(masks, i).mean() for i in range(len(languages))]) ** hashes
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (share of corrected counts) and coverage (share of n-grams held by that language's filter)."""
@@ -91,11 +95,11 @@ class SlicedBloom:
         for a, b in _slices(texts):
             h, owner = grams(texts[a:b])
             where = cells(h, self.bits, self.hashes)
-            mask = self.masks[where[0]]
+            mask = self.masks[:, where[0]]
             for w in where[1:]:
-                mask &= self.masks[w]
+                mask &= self.masks[:, w]
             n = np.bincount(owner, minlength=b - a)
-            counts = np.array([np.bincount(owner, (mask >> np.uint64(i) & np.uint64(1)).astype(float), b - a) for i in range(len(self.languages))])
+            counts = np.array([np.bincount(owner, _bit(mask, i).astype(float), b - a) for i in range(len(self.languages))])
             right = np.maximum((counts - n * self.wrong[:, None]) / np.maximum(1 - self.wrong[:, None], 1e-9), 0)
             best = np.where(right.max(0) > 0, right.argmax(0), self.prior)
             held = np.take_along_axis(right, best[None], 0)[0]
@@ -110,13 +114,12 @@ class SlicedBloom:
 def train(labelled: DataFrame, bits: int = 18, hashes: int = 3, least_share: float = 0.02, rows_per_language: int = 5000) -> SlicedBloom | None:
     """labelled(doc_id, text, lang). A filter for each language from about rows_per_language of its rows, chosen by a hash
     of doc_id (all rows, if fewer); an n-gram is held if at least least_share of them have it. What reaches the driver is
-    a row for each language and at most 2^bits cells. None if nothing is labelled. At most 64 languages."""
+    a row for each language and, for every 64 languages, at most 2^bits cells. None if nothing is labelled. There may be
+    any number of languages; the filters take 2^bits / 8 bytes each."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    per = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
+    per = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
-    if len(per) > 64:
-        raise ValueError("more than 64 languages")
     languages = sorted(per)
     share = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, rows_per_language / n))])
     drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]
@@ -145,12 +148,12 @@ def train(labelled: DataFrame, bits: int = 18, hashes: int = 3, least_share: flo
         for batch in batches:
             lang, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             p = cells(h.view(np.uint64), bits, hashes).astype(np.int64)
-            bit = np.tile(np.int64(1) << lang.astype(np.int64), hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(p.ravel()), pa.array(bit)], ["p", "bit"])
+            word, bit = np.tile(lang >> 6, hashes), np.tile(np.int64(1) << (lang & 63).astype(np.int64), hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(p.ravel()), pa.array(word.astype(np.int32)), pa.array(bit)], ["p", "word", "bit"])
 
-    masks = np.zeros(1 << bits, np.uint64)
-    for r in kept.mapInArrow(placed, "p long, bit long").groupBy("p").agg(F.bit_or("bit").alias("m")).collect():
-        masks[r.p] = np.uint64(r.m & (1 << 64) - 1)
+    masks = np.zeros((-(-len(languages) // 64), 1 << bits), np.uint64)
+    for r in kept.mapInArrow(placed, "p long, word int, bit long").groupBy("p", "word").agg(F.bit_or("bit").alias("m")).toLocalIterator():
+        masks[r.word, r.p] = np.uint64(r.m & (1 << 64) - 1)
     prior = number[max(languages, key=lambda k: (per[k], k))]
     return SlicedBloom(languages, masks, hashes, prior)
 
@@ -162,7 +165,10 @@ def predicted(docs: DataFrame, model: SlicedBloom | None) -> DataFrame:
     of which no filter knows an n-gram gets the most frequent learned language with score 0. Repeated rows are kept; an
     empty table gives no rows."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lang, score, cover = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
@@ -176,9 +182,10 @@ def kept(docs: DataFrame, model: SlicedBloom | None, long_enough: int, least_cov
     """The rows of docs whose text has a letter and, from long_enough characters on, at least least_coverage of its n-grams
     in the predicted language's filter. All columns stay; the rows pass through as they are. Without a model, texts with
     a letter stay."""
-    at = docs.columns.index("text")
+    at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             if model:

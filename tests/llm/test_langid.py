@@ -48,3 +48,42 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert langid.predicted(empty, langid.model_of(empty)).count() == 0
     assert {r.lang_pred for r in langid.predicted(docs, langid.model_of(empty)).collect()} == {"und"}
+
+
+def test_hundreds_of_languages(spark):
+    """Filters of 150 languages, each with words of its own, in three mask words a cell."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéèñçßøåæœðþłşğıžčšđ"))
+    words = [["".join(rng.choice(letters, 6)) for _ in range(20)] for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words[i % 150], 12)), f"l{i % 150:03}") for i in range(150 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.masks.shape == (3, 1 << 18) and model.languages == [f"l{i:03}" for i in range(150)]
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.99 * len(rows)
+
+
+def test_filters_against_sets(spark):
+    """The whole way by plain sets of cells: n-grams that enough texts hold, their cells, corrected counts, the answer."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, bits=14)
+    of_text = {i: langid.grams([t])[0].tolist() for i, t, _ in rows}
+    cells = lambda h: [((h + i * ((h >> 40) | 1)) % (1 << 64)) & (1 << 14) - 1 for i in range(3)]
+    filled = {}
+    for lang in sorted({x for _, _, x in rows}):
+        texts = [set(of_text[i]) for i, _, x in rows if x == lang]
+        counts = {}
+        for s in texts:
+            for h in s:
+                counts[h] = counts.get(h, 0) + 1
+        filled[lang] = {c for h, n in counts.items() if n >= 0.02 * len(texts) for c in cells(h)}
+    got = {r.doc_id: r for r in langid.predicted(docs, model).collect()}
+    for i, t, _ in rows[:300]:
+        right = {}
+        for lang, has in filled.items():
+            wrong = (len(has) / (1 << 14)) ** 3
+            n = sum(all(c in has for c in cells(h)) for h in of_text[i])
+            right[lang] = max(0.0, (n - len(of_text[i]) * wrong) / (1 - wrong))
+        if any(map(str.isalpha, t)) and max(right.values()) > 0:
+            assert right[got[i].lang_pred] >= max(right.values()) - 1e-6 and abs(got[i].score - right[got[i].lang_pred] / sum(right.values())) < 1e-6
