@@ -2,10 +2,11 @@
 
 A word's lattice holds all of its segmentations into the pieces of an existing vocabulary. A segmentation's weight is
 the product of its pieces' probabilities; the word's probability is the sum over all of them, by a forward recursion
-in log space. The vocabulary's own scores give the first probabilities; expected counts of the pieces over the distinct
-words of the training documents (rounds of expectation and maximization) give those that score. A training word is one
-more segmentation of itself, by its share in training; the share of words met once is left to the pieces. A text is its
-words and an end; the probabilities of all words and the end sum to one.
+in log space. The vocabulary's own scores give the pieces' first probabilities, and with them each text's lattice_score.
+Learning, which can be left out, gives its score: expected counts of the pieces over the distinct words of the training
+documents (rounds of expectation and maximization) give new probabilities, and a training word is one more segmentation of
+itself, by its share in training; the share of words met once is left to the pieces. A text is its words and an end; the
+probabilities of all words and the end sum to one, for either score.
 
 Texts are read once and not shuffled: each task writes dictionaries of the words that it meets and, for each document,
 counts by the words' numbers in its dictionary. Distinct words are summed and scored once over the whole corpus, and go
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import fold, shared_folder, table, utf8
+from loomtext.llm.common import deleted, fold, saved, shared_folder, table, utf8
 
 #: What begins a word in the vocabulary's pieces (fixed value); words after which a task begins its next dictionary.
 MARK, WORDS = "▁", 250_000
@@ -176,11 +177,11 @@ def _read(most_words: int):
     return read
 
 
-def _written(df: DataFrame) -> DataFrame:
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/lattice-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.parquet(folder)
+    return spark.read.parquet(folder), folder
 
 
 def _expected(path: str, logs: np.ndarray):
@@ -199,76 +200,94 @@ def _expected(path: str, logs: np.ndarray):
 
 def _words_scored(path: str, logs: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary(path)[0], logs)
+        pieces, given = vocabulary(path)
+        own = Lattice(pieces, given)
+        learned = own if logs is given or (logs == given).all() else Lattice(pieces, logs)
         for batch in batches:
-            log_p = [lattice.forward(w.decode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_p, pa.float64())], ["word", "c", "log_p"])
+            words = [w.decode() for w in batch.column(0).to_pylist()]
+            own_p = pa.array(map(own.forward, words), pa.float64())
+            log_p = own_p if learned is own else pa.array(map(learned.forward, words), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), log_p, own_p], ["word", "c", "log_p", "own_p"])
 
     return score
 
 
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
-def mixed(c: np.ndarray, log_p: np.ndarray, words: int, once: int, ends: int) -> tuple[np.ndarray, float]:
-    """Log probabilities of words with training counts c and lattice log_p, and of the end."""
+def mixed(c: np.ndarray, log_p: np.ndarray, words: int, once: int, ends: int, remembered: bool = True) -> tuple[np.ndarray, float]:
+    """Log probabilities of words with training counts c and lattice log_p, and of the end; remembered: whether a training
+    word is a segmentation of itself."""
     end = (ends + SMOOTH) / (words + ends + 2 * SMOOTH)
+    if not remembered:
+        return log1p(-end) + log_p, log(end)
     rest = max(once, 1) / (words + 1)
     with np.errstate(divide="ignore"):
         seen = np.log1p(-rest) + np.log(c / max(words, 1)) if words else np.full(len(c), -np.inf)
     return np.log1p(-end) + np.logaddexp(seen, np.log(rest) + log_p), log(end)
 
 
-def _documents_scored(n: int, v: int, ends: int, once: int):
+def _documents_scored(n: int, v: int, ends: int, once: int, remembered: bool):
     def score(docs: pa.Table, words: pa.Table) -> pa.Table:
         many = words.num_rows
-        c, log_p = np.zeros(many, np.int64), np.zeros(many)
+        c, log_p, own_p = np.zeros(many, np.int64), np.zeros(many), np.zeros(many)
         at = words["idx"].to_numpy()
-        c[at], log_p[at] = words["c"].to_numpy(), words["log_p"].to_numpy()
+        c[at], log_p[at], own_p[at] = (words[x].to_numpy() for x in ("c", "log_p", "own_p"))
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        log_p, end_log = mixed(c, log_p, n - ends, once, ends)
+        log_p, end_log = mixed(c, log_p, n - ends, once, ends, remembered)
+        own_p, _ = mixed(c, own_p, n - ends, once, ends, False)
         base_end = np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
         unpack = zstandard.ZstdDecompressor().decompress
         out = []
         for vec in docs["vec"].to_pylist():
             both = np.frombuffer(unpack(vec), "<u4").astype(np.int64).reshape(2, -1)
             idx, times = np.cumsum(both[0]), both[1]
-            out.append((int(times[c[idx] > 0].sum()) + (ends > 0), float(times @ base[idx] + base_end), float(times @ log_p[idx] + end_log) / log(10)))
-        known, base_score, model = zip(*out, strict=True) if out else ((), (), ())
+            scores = float(times @ base[idx] + base_end), float(times @ log_p[idx] + end_log) / log(10), float(times @ own_p[idx] + end_log) / log(10)
+            out.append((int(times[c[idx] > 0].sum()) + (ends > 0), *scores))
+        known, *scores = zip(*out, strict=True) if out else ((),) * 4
         tokens = docs["n_words"].to_numpy() + 1
-        columns = [docs["doc_id"], docs["held_out"], tokens, pa.array(known, pa.int64()), np.full(len(tokens), n), pa.array(base_score, pa.float64()), pa.array(model, pa.float64())]
+        columns = [docs["doc_id"], docs["held_out"], tokens, pa.array(known, pa.int64()), np.full(len(tokens), n), *(pa.array(x, pa.float64()) for x in scores)]
         return pa.table(columns, [x.split()[0] for x in _OUT.split(", ")])
 
     return score
 
 
-def lattice_scores(docs: DataFrame, path: str, held_out, most_words: int = WORDS) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, held_out, most_words: int = WORDS, rounds: int = ROUNDS, remembered: bool = True) -> DataFrame:
     """docs(doc_id, text), other columns ignored; held_out: a condition on doc_id, true for rows that are not learned from;
     path: a sentencepiece model's file. Returns, a row for each row, doc_id, held_out, n_tokens (words and the end), n_known
-    (tokens that training documents hold), train_tokens, base_score (smoothed counts of words) and score, the log10
-    probability of the text under the lattice model.
-
-    A null text is empty: its only token is the end. A null doc_id is not held out. Repeated rows count each time. Without
-    training rows the vocabulary's own scores stand and base_score is 0. An empty table gives no rows."""
+    (tokens that training documents hold), train_tokens, base_score (smoothed counts of words), score, the log10 probability
+    of the text under the learned lattice model, and lattice_score, that under the vocabulary's own probabilities alone.
+
+    rounds: of expectation and maximization, 0 to keep the vocabulary's probabilities; remembered: whether training words are
+    segmentations of themselves. With 0 and False, score is lattice_score. A null text is empty: its only token is the end. A
+    null doc_id is not held out. Repeated rows count each time. Without training rows the vocabulary's own scores stand and
+    base_score is 0. An empty table gives no rows. The result is kept in the shared folder; what was written on the way is
+    deleted."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), utf8("text").alias("text"))
-    read = _written(rows.mapInArrow(_read(most_words), _READ))
+    read, read_folder = _written(rows.mapInArrow(_read(most_words), _READ))
     dictionaries = read.where("kind = 0").select("grp", "idx", "word", "c")
     documents = read.where("kind = 1").select("grp", "doc_id", "held_out", "n_words", "vec")
-    words = _written(dictionaries.groupBy("word").agg(F.sum("c").alias("c")))
-    ends = documents.where("not held_out").count()
+    words, words_folder = _written(dictionaries.groupBy("word").agg(F.sum("c").alias("c")))
+    ends, groups = documents.agg(F.count_if(~F.col("held_out")), F.count_distinct("grp")).first()
     tokens, distinct, once = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     n, v = tokens + ends, distinct + (ends > 0)
     # Expected counts: at most a row for each piece of the vocabulary reaches the driver.
     pieces, logs = vocabulary(path)
-    for _ in range(ROUNDS if distinct else 0):
+    for _ in range(rounds if distinct else 0):
         counts = np.zeros(len(pieces))
         expected = words.where("c > 0").select("word").mapInArrow(_expected(path, logs), "piece int, n double")
         for r in expected.groupBy("piece").agg(F.sum("n").alias("n")).collect():
             counts[r.piece] = r.n
         logs = np.log((counts + SMOOTH) / (counts.sum() + SMOOTH * len(pieces)))
-    scored = words.mapInArrow(_words_scored(path, logs), "word binary, c long, log_p double")
-    values = dictionaries.select("grp", "idx", "word").join(scored, "word").select(F.col("grp").alias("of"), "idx", "c", "log_p")
-    return documents.groupBy("grp").cogroup(values.groupBy("of")).applyInArrow(_documents_scored(n, v, ends, once), _OUT)
+    scored = words.mapInArrow(_words_scored(path, logs), "word binary, c long, log_p double, own_p double")
+    values = dictionaries.select("grp", "idx", "word").join(scored, "word").select(F.col("grp").alias("of"), "idx", "c", "log_p", "own_p")
+    # As many tasks as dictionaries, so that a task's share stays the same however many there are.
+    documents, values = documents.repartition(max(1, groups), "grp"), values.repartition(max(1, groups), "of")
+    out = saved(documents.groupBy("grp").cogroup(values.groupBy("of")).applyInArrow(_documents_scored(n, v, ends, once, remembered), _OUT))
+    for folder in (read_folder, words_folder):
+        deleted(spark, folder)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,21 @@ def test_odd_rows(spark):
     assert lattice.lattice_scores(docs.limit(0), PATH, F.lit(False)).count() == 0
     untaught = lattice.lattice_scores(docs, PATH, F.lit(True)).collect()
     assert len(untaught) == 7 and all(r.n_known == 0 and r.train_tokens == 0 and r.score > -log(10) * 1e7 for r in untaught)
+
+
+def test_the_vocabularys_own_score(spark):
+    """lattice_score is the vocabulary's marginal, and the whole score where nothing is learned."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").limit(40)
+    held = F.col("doc_id") % 4 == 0
+    plainly = {r.doc_id: r for r in lattice.lattice_scores(docs, PATH, held, rounds=0, remembered=False).collect()}
+    learned = {r.doc_id: r for r in lattice.lattice_scores(docs, PATH, held).collect()}
+    model = lattice.Lattice(*lattice.vocabulary(PATH))
+    texts = {r.doc_id: r.text.encode().lower().split() for r in docs.collect()}
+    n, ends = sum(len(w) for i, w in texts.items() if i % 4), sum(1 for i in texts if i % 4)
+    end = (ends + lattice.SMOOTH) / (n + ends + 2 * lattice.SMOOTH)
+    for i, words in texts.items():
+        want = sum(log(1 - end) + model.forward(w.decode()) for w in words) + log(end)
+        assert isclose(plainly[i].score, want / log(10), rel_tol=1e-9)
+        assert isclose(plainly[i].lattice_score, learned[i].lattice_score, rel_tol=1e-9) and isclose(plainly[i].score, plainly[i].lattice_score, rel_tol=1e-12)
+    better = sum(learned[i].score > learned[i].lattice_score for i in texts)
+    assert better >= 0.9 * len(texts)
