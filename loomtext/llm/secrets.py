@@ -1,9 +1,10 @@
 """Secrets in texts: assignments, access keys, long hexadecimal runs, and strings of high local entropy.
 
 Beside the three base patterns, candidate strings (runs of key characters, less base spans) are judged by character class:
-each run of a class inside a candidate by that class's threshold. A window slides over the run; the counts of its characters, and with them the sum of c log2 c, change by two terms a
-step, so the window's Shannon entropy is known everywhere in linear time. A stretch of windows above the class's
-threshold becomes a span, unless the allow-list explains the run or the stretch.
+each run of a class inside a candidate by that class's threshold. A window slides over the run; the counts of its
+characters, and with them the sum of c log2 c, change by two terms a step, so the window's Shannon entropy is known
+everywhere in linear time. A stretch of windows above the class's threshold becomes a span, unless the allow-list
+explains the run or the stretch. Base spans and candidates are both walked in order, so a text takes linear time.
 """
 
 from __future__ import annotations
@@ -82,9 +83,20 @@ def base_spans(text: str, lower: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover together, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def pieces(a: int, end: int, holes: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """What the holes leave of a stretch, where it is long enough for a window."""
-    for x, y in [*sorted(h for h in holes if h[0] < end and a < h[1]), (end, end)]:
+    for x, y in [*sorted(holes), (end, end)]:
         if x - a >= WINDOW:
             yield a, x
         a = max(a, y)
@@ -94,20 +106,26 @@ def entropy_spans(text: str, covered: list[tuple[str, int, int]]) -> list[tuple[
     """Spans of high entropy outside base spans. A candidate's runs are judged class by class, those of a narrow class
     inside those of wider ones too; what overlaps is one span."""
     found = []
-    base = [(x, y) for _, x, y in covered]
+    base, at = merged(covered), 0
     for m in CANDIDATE.finditer(text):
-        holes = [h for h in base if h[0] < m.end() and m.start() < h[1]] + [p.span() for p in PART.finditer(text, m.start(), m.end())]
+        while at < len(base) and base[at][1] <= m.start():
+            at += 1
+        holes = [p.span() for p in PART.finditer(text, m.start(), m.end())]
+        next_ = at
+        while next_ < len(base) and base[next_][0] < m.end():
+            holes.append(base[next_])
+            next_ += 1
         spans: list[tuple[int, int]] = []
         for a, end in pieces(m.start(), m.end(), holes):
             piece, judged = text[a:end], set()
             for _, shape, least in CLASSES:
                 for run in shape.finditer(piece):
-                    s, at = run.group(), a + run.start()
+                    s, from_ = run.group(), a + run.start()
                     if run.span() in judged:  # a run of a narrower class
                         continue
                     judged.add(run.span())
                     if not ALLOWED.fullmatch(s):
-                        spans += [(at + x, at + y) for x, y in entropic(s, least) if not PLACEHOLDER.search(s, x, y)]
+                        spans += [(from_ + x, from_ + y) for x, y in entropic(s, least) if not PLACEHOLDER.search(s, x, y)]
         last = -1
         for x, y in sorted(spans):
             if x < last:

@@ -106,3 +106,80 @@ def test_each_run_by_its_class():
             assert not any(x < b and a < y for _, a, b in spans for _, x, y in secrets.base_spans(t, t.lower()))
     for t in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x/550e8400-e29b-41d4-a716-446655440000", "example/placeholder/of/a/longer/path"):
         assert not see(t), t
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = "\n".join(f"token = a{i:08}b{i * 7919 % 10**8:08}c AKIA{i:016} {i:032x}-kQ9{i * 104729 % 10**9:09}zXwT4vB" for i in range(60_000))
+    assert len(text) > 5_000_000
+    began = time.process_time()
+    base = secrets.base_spans(text, text.lower())
+    more = secrets.entropy_spans(text, base)
+    assert len(base) >= 180_000 and more and time.process_time() - began < 60
+    covered = secrets.merged(base)
+    import bisect
+
+    starts = [a for a, _ in covered]
+    for _, a, b in more:
+        i = bisect.bisect_right(starts, a) - 1
+        assert (i < 0 or covered[i][1] <= a) and (i + 1 == len(covered) or covered[i + 1][0] >= b)
+
+
+def test_spans_of_real_documents_against_loops(spark):
+    """All of the method's spans on the table's documents, with keys set between their words, found again by plain loops over
+    every window."""
+    import random
+
+    rng = random.Random(9)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
+    key = lambda n: "".join(rng.choice(signs[: rng.choice((36, 62, 67))]) for _ in range(n))
+    docs = []
+    for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect():
+        words = r.text.split(" ")
+        for _ in range(r.doc_id % 4):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(("", "token=", "0a" * 17, "AKIA" + "Z9" * 8, "example-")) + key(rng.randint(18, 60)))
+        docs.append((r.doc_id, " ".join(words)))
+    found = secrets.secret_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans) for r in found}
+    some = 0
+    for i, text in docs:
+        base = secrets.base_spans(text, text.lower())
+        hidden = {x for _, a, b in base for x in range(a, b)}
+        marked = set()
+        for m in secrets.CANDIDATE.finditer(text):
+            free = [x not in hidden for x in range(m.start(), m.end())]
+            for p in secrets.PART.finditer(text, m.start(), m.end()):
+                free[p.start() - m.start() : p.end() - m.start()] = [False] * (p.end() - p.start())
+            for piece in re.finditer("1{20,}", "".join("01"[f] for f in free)):
+                judged = set()
+                for _, shape, least in secrets.CLASSES:
+                    for run in shape.finditer(text[m.start() + piece.start() : m.start() + piece.end()]):
+                        if run.span() in judged or secrets.ALLOWED.fullmatch(run[0]):
+                            judged.add(run.span())
+                            continue
+                        judged.add(run.span())
+                        at = m.start() + piece.start() + run.start()
+                        for a, b in plain_stretches(run[0], least):
+                            if not secrets.PLACEHOLDER.search(run[0], a, b):
+                                marked |= set(range(at + a, at + b))
+        spans = [x for x in (got[i].split(",") if got[i] else []) if x.startswith("entropy")]
+        covered = {x for s in spans for x in range(int(s.split(":")[1]), int(s.split(":")[2]))}
+        assert covered == marked, i
+        some += len(spans)
+    assert some > 300
+
+
+def plain_stretches(s, least):
+    """Stretches that windows of entropy `least` or more cover, counting each window anew."""
+    from collections import Counter
+
+    w, out = secrets.WINDOW, []
+    for a in range(len(s) - w + 1):
+        counts = Counter(s[a : a + w])
+        if -sum(n / w * log2(n / w) for n in counts.values()) >= least - 1e-9:
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], a + w)
+            else:
+                out.append((a, a + w))
+    return out
