@@ -3,7 +3,9 @@
 Vectors are stored dimension by dimension. Scores of a block of queries against a block of candidates are accumulated
 a few dimensions at a time. What the dimensions to come can still add or take is at most the product of the norms of
 the two rests; candidates that cannot reach the k-th best score that is already certain are dropped, and the survivors
-are compacted before the next dimensions. Each pair of blocks is a task of its own; the best k of each are merged.
+are compacted before the next dimensions. A block of candidates meets the blocks of queries one after another in a task;
+the best k of each are merged. Blocks are bounded in bytes, however many dimensions there are, and rows are dealt to them
+by a number of their own, so that equal rows spread like any others.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import saved, table
 
-#: Most and least rows of a block of candidates and of queries; tasks to aim at; dimensions that are added at a time.
-CANDIDATES, QUERIES, LEAST, SPREAD, STEP = 65536, 16384, 1024, 16, 16
+#: Bytes of a block of candidates and of queries, at 8 for each component: 65,536 and 16,384 rows of 64 dimensions, 1,024
+#: and 256 of 4,096. Least rows of a block where tasks are few; tasks to aim at; dimensions that are added at a time.
+CANDIDATE_BYTES, QUERY_BYTES, LEAST, SPREAD, STEP = 1 << 25, 1 << 23, 1024, 16, 16
 
 
 def quantized(vectors: DataFrame, vector: str) -> Column:
@@ -96,21 +99,24 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, vector:
 
     Rows with a null id or a vector that is null or holds a null or a value that isn't finite take no part. A shorter
     vector counts as zero in the dimensions that it lacks. Repeated rows are candidates each on their own, and a repeated
-    query is asked once. No rows or no queries give no result. Inner products past 64 bits wrap around."""
-    rows = saved(vectors.select("vec_id", is_query.alias("is_query"), quantized(vectors, vector).alias("v")).where("vec_id is not null and v is not null"))
+    query is asked once, with its smallest vector. No rows or no queries give no result. Inner products past 64 bits wrap around."""
+    vectors = vectors.select("vec_id", is_query.alias("is_query"), quantized(vectors, vector).alias("v"))
+    rows = saved(vectors.where("vec_id is not null and v is not null").withColumn("nth", F.monotonically_increasing_id()))
     n, asked, dims = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("v"))).first()
     dims = max(1, dims or 1)
-    parts = lambda n, most: max(-(-n // most), min(SPREAD, n // LEAST), 1)
-    n_c, n_q = parts(n, CANDIDATES), max(1, -(-asked // QUERIES))
+    most = lambda size: max(1, size // (8 * dims))
+    n_c, n_q = max(-(-n // most(CANDIDATE_BYTES)), min(SPREAD, n // LEAST), 1), max(1, -(-asked // most(QUERY_BYTES)))
     schema = "block int, ids binary, data binary, width int"
 
-    def packed(rows: DataFrame, many: int) -> DataFrame:
-        return rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(many)).cast("int").alias("block"), "vec_id", "v").groupBy("block").applyInArrow(_blocks(dims), schema)
+    def packed(rows: DataFrame, number: str, many: int, side: str) -> DataFrame:
+        blocks = rows.select(F.pmod(F.xxhash64(number), F.lit(many)).cast("int").alias("block"), "vec_id", "v").groupBy("block").applyInArrow(_blocks(dims), schema)
+        return blocks.select(*[F.col(x).alias(f"{side}_{x}") for x in ("block", "ids", "data", "width")])
 
-    c = packed(rows, n_c).select(*[F.col(x).alias(f"c_{x}") for x in ("block", "ids", "data", "width")], F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("asked"))
-    queries = rows.where("is_query").dropDuplicates(["vec_id"])
-    q = packed(queries, n_q).select(*[F.col(x).alias(f"q_{x}") for x in ("block", "ids", "data", "width")])
-    pairs = c.join(q, F.col("asked") == F.col("q_block")).repartition(n_c * n_q, "c_block", "q_block")
+    # Blocks of queries are the smaller ones: they are repeated for each block of candidates, which moves once.
+    once = rows.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = packed(once, "vec_id", n_q, "q").withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    c, q = packed(rows, "nth", n_c, "c").repartition(2 * n_c, "c_block"), queries.repartition(2 * n_c, "meets")
+    pairs = c.join(q, F.col("c_block") == F.col("meets"))
     found = pairs.select("q_ids", "q_data", "q_width", "c_ids", "c_data", "c_width").mapInArrow(_searched(dims, k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,8 +33,8 @@ def test_equals_sql(spark):
 
 
 def test_blocks_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 40)
-    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 40 * 8 * 20)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 7 * 8 * 20)
     rng = np.random.default_rng(1)
     v = rng.integers(-2, 3, (300, 20)) / 4
     v[50:120] = v[50]
@@ -43,6 +43,25 @@ def test_blocks_and_ties(spark, monkeypatch):
     assert got == plain(range(300), v, range(0, 300, 10))
 
 
+def test_many_dimensions_and_equal_rows(spark, monkeypatch):
+    """Blocks hold as many bytes at 768 and 4,096 dimensions as at 64; equal rows spread over them."""
+    assert topk.CANDIDATE_BYTES // (8 * 64) == 65536 and topk.QUERY_BYTES // (8 * 64) == 16384
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 1 << 18)
+    held = []
+    monkeypatch.setattr(topk, "_searched", lambda dims, k, old=topk._searched: held.append(dims) or old(dims, k))
+    rng = np.random.default_rng(3)
+    for dims in (768, 4096):
+        v = rng.integers(-2, 3, (120, dims)) / 8
+        v[20:90] = v[20]
+        df = spark.createDataFrame([(i if i < 80 else 20, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_inner_products(df, F.col("vec_id") == 3).collect())
+        s = np.floor(256 * v).astype(np.int64) @ np.floor(256 * v[3]).astype(np.int64)
+        ids = [i if i < 80 else 20 for i in range(120)]
+        order = sorted((j for j in range(120) if ids[j] != 3), key=lambda j: (-s[j], ids[j]))[:5]
+        assert [(r[2], r[3]) for r in got] == [(ids[j], int(s[j])) for j in order]
+    assert held == [768, 4096]
+
+
 def test_bounds_drop_nothing():
     rng = np.random.default_rng(2)
     for scale in (10, 1000, 1 << 24):
