@@ -4,11 +4,16 @@ From the bytes that each old shard holds and the bytes that each new shard is to
 much goes from where to where, at a cost of one a byte moved and nothing for a byte that stays. The flow depends on the
 shards only, never on the rows. It is then laid out over the rows: an old shard's rows, in order of blocks, form a line
 of bytes; the flows out of that shard cut the line into stretches; a row goes where its first byte lies. Sums over blocks
-give each block its place, so that no task ever orders more than a block of rows.
+give each block its place, so that no task ever orders more than a block of rows. Then the files of the shards whose rows
+change are written anew.
+
+Rows are told apart by a key of their own, not by what they hold: repeated rows, equal texts and null ids are dealt over
+blocks, shards and files like any others, also where a third of all rows is one text.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
@@ -16,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import saved, table, utf8
+from loomtext.llm.common import file_row, saved, shared_folder, table, utf8
 
 #: Shards before and after, for the query; rows of a block on average; least blocks of
 #: an old shard; bytes that each row takes beside its text.
@@ -84,16 +89,34 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """rows(doc_id, size, old_shard, any more columns). The same rows with `shard`, from 0 to new_shards - 1, and `slot`,
-    gapless from 0 in each shard. Shards differ from equal size by less than two rows for each old shard that feeds them;
-    what moves is least in bytes, to the same precision.
-
-    An old shard's number that is also a new one's keeps its bytes for nothing. Null ids and repeated rows are placed like
-    any other; ties in the order of a block are between rows that are equal in all columns. No rows, no result. On the
-    driver are the old and new shards' sizes only."""
-    rows = rows.withColumn("old_shard", F.col("old_shard").cast("int"))
-    by_shard = rows.groupBy("old_shard").agg(F.sum("size").cast("long").alias("bytes"), F.count("*").alias("n")).collect()
+def _renamed(columns: list[str], taken: tuple[str, ...]) -> list[str]:
+    """The columns' names; those that are taken get underscores behind them until they are free."""
+    out: list[str] = []
+    for c in columns:
+        name = c
+        while name in taken or name in out or (name != c and name in columns):
+            name += "_"
+        out.append(name)
+    return out
+
+
+def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS, key: str | None = None) -> DataFrame:
+    """rows(size, old_shard, any more columns). The same rows with `shard`, from 0 to new_shards - 1, and `slot`, gapless
+    from 0 in each shard. Shards differ from equal size by less than two rows for each old shard that feeds them; what moves
+    is least in bytes, to the same precision.
+
+    key: a column that no two rows share and that a second reading gives again; without one, the rows are saved with a key
+    first. An old shard's number that is also a new one's keeps its bytes for nothing; a row without an old shard moves.
+    Null ids and repeated rows are placed like any other. More columns, of any name and type, come out as they are, but for
+    those called `shard` or `slot`: an underscore is added to their names. No rows, no result. On the driver are the old and
+    new shards' sizes only."""
+    names = _renamed(rows.columns, ("shard", "slot"))
+    held = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=True)]).alias("row")
+    old_shard = F.coalesce(F.col("old_shard").cast("int"), F.lit(-1)).alias("old_shard")
+    rows = rows.select(held, F.col("size").cast("long").alias("size"), old_shard, (F.col(f"`{key}`") if key else F.monotonically_increasing_id()).alias("key"))
+    if not key:
+        rows = saved(rows)
+    by_shard = rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     old = sorted((r.old_shard, r.bytes, r.n) for r in by_shard)
     supply, demand = [b for _, b, _ in old], capacities(sum(b for _, b, _ in old), new_shards)
     flow = min_cost_flow(supply, demand, [[int(s != j) for j in range(new_shards)] for s, _, _ in old])
@@ -109,13 +132,9 @@ def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS) ->
     cut = spark.createDataFrame(cuts, "old_shard int, cut_from long, cut_to long, shard int")
     blocks = max(1, -(-sum(n for _, _, n in old) // block_rows))
     per_shard = max(LEAST_BLOCKS, -(-blocks // max(1, len(old))))
-    others = [c for c in rows.columns if c not in ("doc_id", "size", "old_shard")]
-    block = F.pmod(F.xxhash64("doc_id", "size", *others), F.lit(per_shard)).cast("int")
-    within = W.partitionBy("old_shard", "block").orderBy("doc_id", "size", *others)
-    ordered = saved(
-        rows.withColumn("block", block).withColumn("before", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("before", F.coalesce("before", F.lit(0)))
-    )
+    block = F.pmod(F.xxhash64("key"), F.lit(per_shard)).cast("int")
+    within = W.partitionBy("old_shard", "block").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    ordered = saved(rows.withColumn("block", block).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))))
     sums = ordered.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
     begins = sums.select("old_shard", "block", (F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block")) - F.col("bytes")).alias("begins"))
     at = F.col("begins") + F.col("before")
@@ -124,21 +143,24 @@ def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS) ->
         .withColumn("at", at)
         .join(F.broadcast(cut), "old_shard")
         .where("at >= cut_from and at < cut_to")
-        .drop("cut_from", "cut_to", "begins", "before")
+        .select("row", "old_shard", "block", "at", "shard")
     )
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
     order = W.partitionBy("shard").orderBy("old_shard", "block")
     first = counts.select("shard", "old_shard", "block", (F.sum("n").over(order) - F.col("n")).alias("first"))
     local = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("at")) - 1
-    return placed.withColumn("local", local).join(first, ["shard", "old_shard", "block"]).withColumn("slot", F.col("first") + F.col("local")).drop("block", "at", "local", "first")
+    slots = placed.withColumn("local", local).join(first, ["shard", "old_shard", "block"])
+    return slots.select("row.*", "shard", (F.col("first") + F.col("local")).cast("long").alias("slot"))
+
+
+def size_of() -> Column:
+    """Bytes that a row of docs(text) takes."""
+    return (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
 
 
 def sizes(docs: DataFrame, old_shard: Column) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard) of docs(doc_id, text): what is needed to place rows, without the texts."""
-    return docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(utf8("text")).alias("text_crc32"), old_shard.alias("old_shard"),
-    )
+    return docs.select("doc_id", size_of().alias("size"), F.crc32(utf8("text")).alias("text_crc32"), old_shard.alias("old_shard"))
 
 
 def hashed(doc_id: str, shards: int) -> Column:
@@ -146,20 +168,36 @@ def hashed(doc_id: str, shards: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def rewrite(docs: DataFrame, placement: DataFrame, old_shard: Column, folder: str) -> DataFrame:
-    """Writes the shards whose rows change, as Parquet by shard, in slot order; rows of shards that stay as they are aren't
-    read again. docs need unique ids. Returns (shard, rows, bytes) of what was written."""
-    moved = placement.where("old_shard <> shard")
-    affected = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    where = placement.join(F.broadcast(affected), "shard").select(F.col("doc_id").alias("placed_id"), "shard", "slot", "size")
-    out = docs.join(where, F.col("doc_id") == F.col("placed_id")).drop("placed_id")
-    file = F.floor(F.col("slot") / BLOCK_ROWS).alias("file")
-    out.repartition("shard", file).sortWithinPartitions("shard", "slot").drop("size").write.partitionBy("shard").parquet(folder)
-    return where.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+def resharded(docs: DataFrame, old_shard: Column, new_shards: int, folder: str, key: Column | None = None, size: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Places the rows of docs(text, any more columns) in new shards and writes the shards whose rows change to `folder`, as
+    Parquet by shard, in slot order. Rows of shards that stay as they are aren't written.
+
+    key: as for assigned(), an expression over docs, such as file_row(); without it, docs are saved with a key first. size: of
+    a row, by default size_of(). Returns (written, untouched): docs' columns, old_shard, slot and shard of the rows that were
+    written, read from the files, and of those that stay. Null ids, repeated rows and columns of any name are written as they
+    are; columns of docs called old_shard, shard or slot get an underscore behind their names."""
+    spark = docs.sparkSession
+    names = _renamed(docs.columns, ("old_shard", "shard", "slot"))
+    held = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("held")
+    keyed = docs.select((F.monotonically_increasing_id() if key is None else key).alias("key"), held, (size_of() if size is None else size).alias("size"), old_shard.cast("int").alias("old_shard"))
+    if key is None:
+        keyed = saved(keyed)
+    placement = saved(assigned(keyed.select("key", "size", "old_shard"), new_shards, key="key"))
+    moved = placement.where("not (old_shard <=> shard)").select(F.explode(F.array("old_shard", "shard")).alias("shard"))
+    changed = sorted(r.shard for r in moved.where("shard is not null").distinct().collect())  # numbers of shards
+    rows = keyed.select("key", "held").join(placement.select("key", "old_shard", "shard", "slot", F.col("shard").isin(changed).alias("changes")), "key")
+    out = rows.where("changes").select("held.*", "old_shard", "slot", "shard")
+    file = F.floor(F.col("slot") / BLOCK_ROWS)
+    out.repartition("shard", file).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    untouched = rows.where("not changes") if set(range(new_shards)) - set(changed) else rows.limit(0)
+    return spark.read.schema(out.schema).parquet(folder), untouched.select("held.*", "old_shard", "slot", "shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sizes(table(spark, sf_dir, "documents"), hashed("doc_id", OLD))
-    return assigned(rows, NEW).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
-    )
+    """The digest of the rows as they stand in the new shards' files, and of those that didn't move."""
+    folder = f"{shared_folder(spark)}/reshard-{uuid.uuid4().hex}"
+    written, untouched = resharded(table(spark, sf_dir, "documents"), hashed("doc_id", OLD), NEW, folder, file_row())
+    return written.unionByName(untouched).select(
+        "doc_id", size_of().alias("size"), F.crc32(utf8("text")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )

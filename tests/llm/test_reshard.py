@@ -57,11 +57,38 @@ def test_many_blocks_are_as_even(spark):
 def test_only_changed_shards_are_written(spark, tmp_path):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     old = F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 190, 1).otherwise(2)
-    flat = reshard.sizes(docs, old).withColumn("size", F.lit(10).cast("long"))
-    placement = reshard.assigned(flat, 3).cache()
-    wrote = {r.shard: r.rows for r in reshard.rewrite(docs, placement, old, f"{tmp_path}/new").collect()}
+    written, untouched = reshard.resharded(docs, old, 3, f"{tmp_path}/new", size=F.lit(10).cast("long"))
+    wrote = {r.shard: r["count"] for r in written.groupBy("shard").count().collect()}
     assert wrote == {1: 100, 2: 100}
     assert spark.read.parquet(f"{tmp_path}/new").count() == 200
+    assert sorted(r.doc_id for r in untouched.collect()) == list(range(100)) and gapless(written.collect() + untouched.collect())
+
+
+def test_rewriting_keeps_every_row(spark, tmp_path):
+    """Null ids, repeated rows, columns whose names the operator uses itself; by a key of the files' and by a saved one."""
+    rows = [(None if i % 5 == 0 else i % 7, None if i % 11 == 0 else "x" * (i % 4), i, i * 0.5, f"s{i % 3}", i, [i], {"k": i}) for i in range(240)] * 2
+    names = "doc_id long, text string, shard int, slot double, old_shard string, first int, block array<int>, at map<string, int>"
+    spark.createDataFrame(rows, names).repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for n, key in enumerate((reshard.file_row(), None)):
+        written, untouched = reshard.resharded(docs, F.lit(2), 4, f"{tmp_path}/new{n}", key)
+        got = written.unionByName(untouched)
+        assert gapless(got.collect()) and {r.old_shard for r in got.collect()} == {2} and len({r.shard for r in got.collect()}) == 4
+        kept = got.select("doc_id", "text", "shard_", "slot_", "old_shard_", "first", "block", "at").collect()
+        assert sorted(map(repr, (tuple(r) for r in kept))) == sorted(map(repr, rows))
+        files = defaultdict(list)
+        for r in spark.read.parquet(f"{tmp_path}/new{n}").select("shard", "slot", F.input_file_name().alias("f")).collect():
+            files[r.f].append(r.slot)
+        assert all(s == sorted(s) for s in files.values())
+    nothing = reshard.resharded(docs.limit(0), F.lit(2), 4, f"{tmp_path}/none")
+    assert nothing[0].unionByName(nothing[1]).count() == 0
+
+
+def test_more_columns_stay(spark):
+    rows = [(i % 3, 10 + i % 5, i % 4, i, i, i, i, i, i, i) for i in range(200)] + [(1, 10, None, 0, 0, 0, 0, 0, 0, 0)] * 50
+    names = "doc_id long, size long, old_shard int, block int, at int, local int, before int, first int, begins int, slot int"
+    got = reshard.assigned(spark.createDataFrame(rows, names), 5, block_rows=20).collect()
+    assert gapless(got) and sorted(map(repr, (tuple(r)[:-2] for r in got))) == sorted(map(repr, rows))
 
 
 def test_odd_rows(spark):
