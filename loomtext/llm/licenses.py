@@ -129,15 +129,25 @@ def rules() -> list[Rule]:
 
 
 def resolved(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Of detections (priority, start, end), 0 the highest priority: those that stay."""
-    kept: list[tuple[int, int, int]] = []
-    for p, a, b in sorted(found, key=lambda x: (x[1] - x[2], x[0], x[1])):  # longer ones first
-        if not any(x <= a and b <= y for _, x, y in kept):
-            kept.append((p, a, b))
-    out: list[tuple[int, int, int]] = []
-    for p, a, b in sorted(kept):
-        if not any(x < b and a < y for _, x, y in out):
-            out.append((p, a, b))
+    """Of detections (priority, start, end), 0 the highest priority: those that stay, by priority. In one walk by start for
+    what lies inside another; what is left has ends in the order of starts, so that a detection overlaps its neighbours
+    only, and at most two that stay."""
+    outer: list[tuple[int, int, int]] = []
+    for p, a, b in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+        if not outer or b > outer[-1][2]:
+            outer.append((p, a, b))
+    alive, out = [True] * len(outer), []
+    for i in sorted(range(len(outer)), key=outer.__getitem__):
+        if alive[i]:
+            p, a, b = outer[i]
+            out.append(outer[i])
+            left, right = i - 1, i + 1
+            while left >= 0 and outer[left][2] > a:
+                alive[left] = False
+                left -= 1
+            while right < len(outer) and outer[right][1] < b:
+                alive[right] = False
+                right += 1
     return out
 
 
@@ -167,7 +177,8 @@ def detections(lower: bytes) -> tuple[list[tuple[str, int, int, float]], list[tu
     if not present:
         return [], []
     joined = b" ".join(_WORD.findall(lower)).decode(errors="replace")
-    word = lambda at: joined.count(" ", 0, at)
+    blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
+    word = lambda at: int(np.searchsorted(blanks, at))
     base = [(label, word(m.start())) for p, label in _PHRASES for m in p.finditer(joined)]
     every = rules()
     tried = sorted({i for k in present for i in by_keyword.get(k, ())})

@@ -94,3 +94,49 @@ def test_keywords_lose_nothing():
             assert found(s) == [rules[i].label for i, _, _ in whole], s
     assert found("GNU Library General Public License version 2") == ["lgpl-2.0"]
     assert found("PSF 2.0") == ["python-2.0"] and found("a PSF license") == ["python"]
+
+
+def quadratic(found):
+    """What stays of detections, by comparing all of them."""
+    kept = []
+    for p, a, b in sorted(found, key=lambda x: (x[1] - x[2], x[0], x[1])):
+        if not any(x <= a and b <= y for _, x, y in kept):
+            kept.append((p, a, b))
+    out = []
+    for p, a, b in sorted(kept):
+        if not any(x < b and a < y for _, x, y in out):
+            out.append((p, a, b))
+    return out
+
+
+def test_intervals_against_all_pairs():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(2000):
+        found = [(rng.randrange(6), a := rng.randrange(40), a + rng.randint(1, 12)) for _ in range(rng.randint(0, 25))]
+        assert licenses.resolved(found) == quadratic(found)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = " ".join(f"item {i} all rights reserved under the mit license, gpl 3.0 or cc by-sa 4.0;" for i in range(100_000)).encode()
+    began = time.process_time()
+    found, base = licenses.detections(text)
+    assert len(base) == 200_000 and len(found) > 300_000 and time.process_time() - began < 60
+    assert found[0][1] < found[0][2] and max(b for _, _, b, _ in found) <= len(re.findall(rb"[0-9a-z]+", text))
+
+
+def test_labels_of_real_documents_against_no_prefilter(spark):
+    """All labels of the table's documents, with every rule tried on every text."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
+    got = {r.doc_id: r.labels for r in licenses.query(spark, MIDDLE).collect()}
+    rules = licenses.rules()
+    for i, t in docs:
+        joined = " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+        if not any(k in joined for k in ("licen", "rights", "cc", "public", "copyright", "gpl", "mit", "bsd", "permission", "redistribut", "rechte", "droits")):
+            assert not got[i]
+            continue
+        kept = quadratic([(n, *m.span()) for n, r in enumerate(rules) for m in r.pattern.finditer(joined)])
+        assert got[i] == ",".join(sorted({rules[n].label for n, _, _ in kept} | {k for _, k in plain(t)[1]})), i
