@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.query,
         "op9_reshard": reshard.query,
         "op10_licenses": licenses.query,
+        "packed_conversations": packing.conversations_query,
     }
 
 

@@ -233,3 +233,25 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+#: Limits of the query over conversations: pieces and loss-bearing tokens of a sequence.
+TURNS, LOSS = 16, 1024
+
+
+def examples(conversations: DataFrame) -> DataFrame:
+    """conversations(conv_id, turn, role, text). Each assistant's turn with the turn before it as its prompt: doc_id (conv_id
+    times 2^20 plus turn), conv_id, turn, prompt, text. A turn without one before it has a null prompt; of repeated turns
+    before it, the one with the smallest text is taken; repeated assistant's turns are examples each on their own."""
+    before = conversations.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    answers = conversations.where("role = 'assistant'").select("conv_id", "turn", "text")
+    both = answers.join(before, ["conv_id", "turn"], "left")
+    return both.select((F.shiftleft("conv_id", 20) + F.col("turn")).alias("doc_id"), "conv_id", "turn", "prompt", "text")
+
+
+def conversations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data under all three limits: prompts bear no loss."""
+    docs = examples(table(spark, sf_dir, "conversations"))
+    pieces = packed(docs, public_tokenizers.path("byte_bpe_50k.json"), "prompt", segments=TURNS, loss=LOSS)
+    of = F.shiftright("doc_id", 20).alias("conv_id"), (F.col("doc_id") % (1 << 20)).alias("turn")
+    return pieces.select(*of, "start", "length", F.crc32("ids").alias("ids_crc32"), "loss_tokens", "doc_tokens", "sequence_id", "offset")

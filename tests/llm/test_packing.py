@@ -76,6 +76,33 @@ def test_three_limits(spark):
     assert by_doc == says
 
 
+def test_conversations(spark):
+    """Each assistant's turn behind the turn before it: every id once, prompts without loss, and the three limits."""
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{MIDDLE}/conversations.parquet").collect()}
+    says = {k: r.text for k, r in turns.items() if r.role == "assistant"}
+    prompts = {(c, t): turns[c, t - 1].text if (c, t - 1) in turns else "" for c, t in says}
+    ids = {k: (p, [*a, 1]) for k, p, a in zip(says, all_ids(list(prompts.values())), all_ids(list(says.values())), strict=True)}
+    got = packing.conversations_query(spark, MIDDLE).collect()
+    by_turn, sums = defaultdict(list), defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        by_turn[r.conv_id, r.turn].append(r)
+        for i, x in enumerate((r.length, 1, r.loss_tokens)):
+            sums[r.sequence_id][i] += x
+    assert says and set(by_turn) == set(says)
+    for k, pieces in by_turn.items():
+        prompt, answer = ids[k]
+        every, at = [*prompt, *answer], 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(every) and r.ids_crc32 == zlib.crc32(np.array(every[at : at + r.length], "<u4").tobytes())
+            assert r.loss_tokens == sum(i >= len(prompt) for i in range(at, at + r.length))
+            at += r.length
+        assert at == len(every)
+    assert all(a <= 2048 and b <= packing.TURNS and c <= packing.LOSS for a, b, c in sums.values())
+    hot = spark.createDataFrame([(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 2, "assistant", "x"), (2, 1, "assistant", None), (1, 2, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id, r.turn, r.prompt, r.text) for r in packing.examples(hot).where("conv_id = 1").collect()) == [(1, 2, "a", "x")] * 2
+    assert packing.examples(hot).where("conv_id = 2").first().prompt is None and packing.examples(hot.limit(0)).count() == 0
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "A."), (3, "A."), (None, "b"), (4, "word " * 30000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")
