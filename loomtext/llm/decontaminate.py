@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import table
+from loomtext.llm.common import pieces, table
 
 Q = 8
 #: Characters of a window and from one to the next; edits allowed for each character; least characters of an item that is
@@ -351,7 +351,7 @@ _SCHEMA = "doc_id long, item_id long, windows long, of_windows long, edits long,
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = [plain(t.as_py()) for t in batch.column(1)]
             rows: list[tuple] = []
             for doc_id, t, found in zip(batch.column(0).to_pylist(), texts, finder.findings(texts), strict=True):
@@ -392,7 +392,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = INDEX_BYTES)
 def _without(shared, doc_id: int, text: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, text):
             found = finder.findings([plain(t.as_py()) for t in batch.column(text)])
             yield batch.filter(pa.array([not f or i is None for i, f in zip(batch.column(doc_id).to_pylist(), found, strict=True)], pa.bool_()))
 

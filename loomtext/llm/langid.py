@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import fold, table
+from loomtext.llm.common import fold, pieces, table
 
 #: Characters of an n-gram, and odd multipliers that mix them (fixed values).
 N = 3
@@ -127,7 +127,7 @@ def train(labelled: DataFrame, bits: int = 18, hashes: int = 3, least_share: flo
     number = {x: i for i, x in enumerate(languages)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             langs, texts = (np.array([number[x] for x in batch.column(0).to_pylist()]), batch.column(1).to_pylist())
             for a, b in _slices(texts):
                 h, owner = grams(texts[a:b])
@@ -169,7 +169,7 @@ def predicted(docs: DataFrame, model: SlicedBloom | None) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = batch.column(1).to_pylist()
             lang, score, cover = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(cover)], ["doc_id", "lang_pred", "score", "coverage"])
@@ -186,7 +186,7 @@ def kept(docs: DataFrame, model: SlicedBloom | None, long_enough: int, least_cov
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             if model:
                 lang, _, cover = model.predict(texts)

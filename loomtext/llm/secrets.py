@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import pieces as slices
 from loomtext.llm.common import table
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -145,7 +146,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         found = []
         for t in batch.column(1):
             text = t.as_py()
@@ -182,7 +183,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return "".join([*out, text[end:]]) if out else text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = pa.array([clean(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
