@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 #: Patterns of personal data, in the order in which they are applied (fixed values).
 PII = {
@@ -15,6 +19,15 @@ PII = {
     "phone": r"(\+[0-9]{1,2} ?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
 }
+#: Personal data of the single pass, by priority: the first that fits at a place is taken (fixed values).
+ONE_PASS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
+    "credit_card": r"(?<![0-9])(?:[0-9][ \-]?){13,19}(?![0-9])",
+    "phone": r"(?:(?:\+|00)[0-9]{1,3}[\s.\-]?)?(?:\([0-9]{1,4}\)[\s.\-]?)?[0-9]{2,4}[\s.\-]?[0-9]{2,4}[\s.\-]?[0-9]{2,4}(?![0-9])",
+}
+#: What stands in their place (fixed values).
+PLACEHOLDERS = {"email": "[REDACTED_EMAIL]", "ssn": "[REDACTED_SSN]", "credit_card": "[REDACTED_CC]", "phone": "[REDACTED_PHONE]"}
 #: Signs of prompt injection by label, topics that are refused, and marks of a refusal (fixed values).
 INJECTION = {
     "override": r"ignore (all |any )?(previous|prior|above) (instructions|rules)",
@@ -71,3 +84,55 @@ def refuses(c: Column) -> Column:
 def problems(rules: dict[str, Column]) -> Column:
     """The names of the rules whose condition holds."""
     return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
+
+
+def one_pass(c: Column) -> Column:
+    """array<struct<kind, value, keep>> of personal data, found in one pass from left to right without overlaps; keep: a run of
+    digits in the form of a card that fails the Luhn check, which is no card and stays."""
+    pattern = "|".join(f"({p})" for p in ONE_PASS.values())
+    groups = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in range(len(ONE_PASS) + 1)]
+    kinds = list(ONE_PASS)
+
+    def of(x: Column) -> Column:
+        kind = F.coalesce(*[F.when(x[str(i + 1)] != "", F.lit(k)) for i, k in enumerate(kinds)])
+        digits = F.regexp_replace(x["0"], "[^0-9]", "")
+        return F.struct(kind.alias("kind"), x["0"].alias("value"), ((kind == "credit_card") & ~F.call_function("luhn_check", digits)).alias("keep"))
+
+    return F.transform(F.arrays_zip(*[g.alias(str(i)) for i, g in enumerate(groups)]), of)
+
+
+def one_pass_redacted(c: Column, found: Column) -> Column:
+    """The text with what one_pass() found replaced: the pieces between, and placeholders."""
+    pieces = F.split(c, "|".join(f"(?:{p})" for p in ONE_PASS.values()), -1)
+    place = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])
+    marks = F.transform(found, lambda x: F.when(x["keep"], x["value"]).otherwise(place[x["kind"]]))
+    return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit("")))), "")
+
+
+_SPAN = StructType().add("kind", StringType()).add("value", StringType()).add("start", IntegerType()).add("end", IntegerType())
+
+
+@F.pandas_udf(ArrayType(_SPAN))
+def pii_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Kind, value and place of what the single pass finds; built-in functions give no places."""
+    pattern = re.compile("|".join(f"(?P<{k}>{p})" for k, p in ONE_PASS.items()))
+
+    def is_card(value: str) -> bool:
+        digits = [int(x) for x in value if x.isdigit()][::-1]
+        return (sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2])) % 10 == 0
+
+    def of(text: str | None) -> list[dict]:
+        hits = pattern.finditer(text or "")
+        return [{"kind": m.lastgroup, "value": m[0], "start": m.start(), "end": m.end()} for m in hits if m.lastgroup != "credit_card" or is_card(m[0])]
+
+    for texts in batches:
+        yield texts.map(of)
+
+
+def counted_redaction(c: Column) -> tuple[Column, dict[str, Column]]:
+    """redacted(), and how often each kind was replaced in what earlier ones had left."""
+    counts = {}
+    for k, p in PII.items():
+        counts[k] = F.regexp_count(c, F.lit(p)).cast("long")
+        c = F.regexp_replace(c, p, f"[{k.upper()}]")
+    return c, counts

@@ -88,3 +88,75 @@ def token_share(of: Column, within: Column) -> Column:
     """Share of the distinct tokens `of` that are also in `within`; null if there are none."""
     distinct = F.array_distinct(of)
     return F.try_divide(F.size(F.array_intersect(distinct, within)).cast("double"), F.size(distinct).cast("double"))
+
+
+def content_tokens(c: Column | str) -> Column:
+    """Distinct tokens without stop words."""
+    return F.array_except(tokens(c), F.array(*map(F.lit, STOPWORDS)))
+
+
+def opened_sentences(c: Column | str) -> Column:
+    """Split at white space after a mark that ends a sentence where a capital, a figure, a quote or a bracket follows."""
+    return F.filter(F.split(F.btrim(_c(c), F.lit(" \t\n\r")), r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"), lambda x: F.trim(x) != "")
+
+
+def sentence_starts(c: Column | str, chars: int = 40, least: int = 8) -> Column:
+    """The distinct first characters of sentences of at least `least` characters."""
+    return F.array_distinct(F.transform(F.filter(sentences(c), lambda x: F.length(x) >= least), lambda x: F.substring(x, 1, chars)))
+
+
+def unfenced(c: Column | str) -> Column:
+    """What stands inside a Markdown code fence around the whole text; else the text."""
+    inside = F.regexp_extract(F.btrim(_c(c)), r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
+    return F.when(inside != "", inside).otherwise(F.btrim(_c(c)))
+
+
+def json_inside(c: Column | str) -> Column:
+    """The outermost object, or else the outermost list, in a noisy text; null if there is neither."""
+    text = unfenced(c)
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    found = F.when(found != "", found).otherwise(F.regexp_extract(text, r"(?s)\[.*\]", 0))
+    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+
+
+def judged(c: Column | str, key: str) -> Column:
+    """A score from 1 to 5 in the JSON of a judge's reply, rounded half to even; null for anything else, true and false too."""
+    raw = F.get_json_object(json_inside(c), f"$.{key}")
+    number = raw.try_cast("double")
+    return F.when(number.between(1, 5), F.bround(number)).cast("int")
+
+
+def verdict(c: Column | str, key: str) -> Column:
+    """Whether a line `KEY: ...` of a reply says PASS; null without such a line."""
+    line = F.regexp_extract(F.upper(_c(c)), rf"(?m)^\s*{key.upper()}\s*:(.*)$", 1)
+    return F.when(F.btrim(line) != "", F.contains(line, F.lit("PASS")))
+
+
+def sanitized(c: Column | str, sources: int) -> Column:
+    """Without marks [n] of sources that there aren't, 1 to `sources` being there."""
+    valid = "|".join(map(str, range(1, sources + 1)))
+    return F.btrim(F.regexp_replace(_c(c), rf"\[(?!0*(?:{valid})\])[0-9]+\]", ""))
+
+
+def without_label(c: Column | str, labels: list[str]) -> Column:
+    """Without a leading `label:`, in any case."""
+    return F.btrim(F.regexp_replace(_c(c), rf"(?i)^\s*(?:{'|'.join(labels)})\s*:\s*", ""))
+
+
+def listed(items: Column, each: int = 220, total: int = 3000) -> Column:
+    """Items cut to `each` characters, one a line, cut to `total`."""
+    return F.substring(F.array_join(F.transform(items, lambda x: F.substring(x, 1, each)), "\n"), 1, total)
+
+
+def buckets(c: Column | str, dims: int = 256) -> Column:
+    """The hashed tokens of a text, a stand-in for a model's vector."""
+    return F.transform(tokens(c), lambda t: hash_bucket(t, dims))
+
+
+def bag_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two lists; 0 if either is empty. For short lists: each element is looked for in the other list."""
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.transform(x, lambda i: F.size(F.filter(y, lambda j: j == i))), F.lit(0), lambda s, n: s + n).cast("double")
+
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))

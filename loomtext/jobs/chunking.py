@@ -44,12 +44,7 @@ def _out(df):
 # Trimming in the windows is of blanks only on both sides, as the texts hold no other white space at cuts but line ends.
 @query("chunk_windows", _windows(400, 60, True).replace("trim(substring(text, s + 1, 400), ' ')", f"trim(substring(text, s + 1, 400), {_BLANK})"))
 def chunk_windows(spark, d):
-    blank = F.lit(" \t\n\x0b\x0c\r")
-    text = F.col("text")
-    n = F.length(text)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(340)), lambda s: (s == 0) | (s < n - 60))
-    chunks = F.filter(F.transform(starts, lambda s: F.btrim(F.substring(text, s + 1, F.lit(400)), blank)), lambda x: x != "")
-    return _out(C.exploded(table(spark, d, "documents"), chunks, ["doc_id"]))
+    return _out(C.exploded(table(spark, d, "documents"), C.windows(F.col("text"), 400, 60), ["doc_id"]))
 
 
 @query("chunk_slices", _windows(500, 0, False))
@@ -62,7 +57,10 @@ def chunk_sentences(spark, d):
     return _out(C.exploded(table(spark, d, "documents"), C.sentence_chunks(F.col("text"), 300), ["doc_id"]))
 
 
-@query("chunk_greedy", _fold(f"flatten(list_transform({_SENTENCES}, lambda s: list_transform(range(0, length(s), 300), lambda i: substring(s, i + 1, 300))))", 300, "' '", 1))
+_UNITS = r"list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '\n[ \t\n\x0B\f\r]*\n', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+
+
+@query("chunk_greedy", _fold(f"flatten(list_transform({_UNITS}, lambda s: list_transform(range(0, length(s), 300), lambda i: substring(s, i + 1, 300))))", 300, "' '", 1))
 def chunk_greedy(spark, d):
     return _out(C.exploded(table(spark, d, "documents"), C.greedy_chunks(F.col("text"), 300), ["doc_id"]))
 
@@ -108,24 +106,88 @@ _SWEEP = [(s, o) for s in (256, 512, 1024, 2048) for o in (0, s // 4)]
 @query("chunk_sweep", " union all ".join(f"select {s}::bigint as size, {o}::bigint as overlap, count(*) as chunks, round(avg(length(chunk)), 2) as mean_chars, min(length(chunk))::bigint as shortest, max(length(chunk))::bigint as longest, round(avg((not regexp_matches(chunk, '^[[:space:]]*[A-Z]'))::int), 4) as mid_sentence from ({_windows(s, o, False)})" for s, o in _SWEEP))
 def chunk_sweep(spark, d):
     """Chunk counts and lengths by size and overlap, from one scan: the settings are exploded beside each document."""
-    settings = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in _SWEEP])
-    cut = F.transform(settings, lambda x: F.struct(x["size"].alias("size"), x["overlap"].alias("overlap"), F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), x["size"] - x["overlap"]), lambda s: F.substring(F.col("text"), s + 1, x["size"])).alias("chunks")))
-    rows = table(spark, d, "documents").select(F.explode(cut).alias("x")).select("x.size", "x.overlap", F.explode("x.chunks").alias("chunk")).where(F.btrim("chunk", F.lit(" ")) != "")
+    rows = _sweep_rows(spark, d)
     middle = (~F.col("chunk").rlike(r"^\s*[A-Z]")).cast("int")
     n = F.length("chunk")
     return rows.groupBy(F.col("size").cast("long").alias("size"), F.col("overlap").cast("long").alias("overlap")).agg(F.count("*").alias("chunks"), F.round(F.avg(n), 2).alias("mean_chars"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(F.avg(middle), 4).alias("mid_sentence"))
 
 
+def _sweep_rows(spark, d):
+    settings = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in _SWEEP])
+    cut = F.transform(settings, lambda x: F.struct(x["size"].alias("size"), x["overlap"].alias("overlap"), F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), x["size"] - x["overlap"]), lambda s: F.substring(F.col("text"), s + 1, x["size"])).alias("chunks")))
+    rows = table(spark, d, "documents").select(F.explode(cut).alias("x")).select("x.size", "x.overlap", F.explode("x.chunks").alias("chunk")).where(F.btrim("chunk", F.lit(" ")) != "")
+    return rows
+
+
 @query("chunk_semantic")
 def chunk_semantic(spark, d):
     """Sentences joined until the similarity of neighbours falls below a threshold that each document sets: mean less half a
-    standard deviation, from 0.2 to 0.95. Similarity is the share of common tokens, as no model is at hand."""
+    standard deviation, from 0.2 to 0.95. Similarity is the cosine of hashed token counts, as no model is at hand."""
     from pyspark.sql import Window as W
 
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "s")).withColumn("t", F.array_distinct(T.tokens("s")))
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "s")).withColumn("t", T.buckets("s"))
     w, whole = W.partitionBy("doc_id").orderBy("pos"), W.partitionBy("doc_id")
     before = F.lag("t").over(w)
-    sim = F.when(before.isNotNull(), F.size(F.array_intersect("t", before)) / F.greatest(F.sqrt(F.size("t") * F.size(before)), F.lit(1.0)))
+    s = s.withColumn("before", before)
+    sim = F.when(F.col("before").isNotNull(), T.bag_cosine(F.col("t"), F.col("before")))
     s = s.withColumn("sim", sim).withColumn("least", F.coalesce(F.greatest(F.lit(0.2), F.least(F.lit(0.95), F.avg("sim").over(whole) - 0.5 * F.stddev_pop("sim").over(whole))), F.lit(0.75)))
     cut = s.withColumn("chunk_index", F.sum(F.coalesce((F.col("sim") < F.col("least")).cast("int"), F.lit(0))).over(w))
     return cut.groupBy("doc_id", "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("chunk"), F.count("*").alias("sentences"))
+
+
+_PASSAGES = "list_transform(list_filter(list_transform(string_split(replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10), ' '), '. '), lambda x: trim(x)), lambda x: length(x) > 20), lambda x: x || '. ')"
+
+
+@query("chunk_passages", _fold(_PASSAGES, 302, "''", 0).replace("arg_max(cur, i) as chunk", "trim(arg_max(cur, i)) as chunk"))
+def chunk_passages(spark, d):
+    return _out(C.exploded(table(spark, d, "documents"), C.passages(F.col("text")), ["doc_id"]))
+
+
+@query("paragraph_slices", r"""
+with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n[ \t\n\x0B\f\r]*\n', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 20) as p from documents),
+c as (select doc_id, unnest(flatten(list_transform(p, lambda s: list_transform(range(0, length(s), 500), lambda i: substring(s, i + 1, 500))))) as chunk, generate_subscripts(flatten(list_transform(p, lambda s: list_transform(range(0, length(s), 500), lambda i: substring(s, i + 1, 500)))), 1) as i from p)
+select doc_id, (i - 1)::bigint as chunk_index, chunk from c""")
+def paragraph_slices(spark, d):
+    return _out(C.exploded(table(spark, d, "documents"), C.paragraph_slices(F.col("text")), ["doc_id"]))
+
+
+_UNITS_HTML = r"list_filter(string_split(regexp_replace(html, '(<(?:p|div|h[1-6]|ul|table)\b)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query("chunk_markup", _fold(f"flatten(list_transform({_UNITS_HTML}, lambda s: list_transform(range(0, length(s), 400), lambda i: substring(s, i + 1, 400))))", 400, "''", 0).replace("doc_id, flatten", "page_id as doc_id, flatten").replace("from documents", "from pages").replace("select doc_id, k::bigint as chunk_index, arg_max(cur, i) as chunk from f group by doc_id, k", r"select doc_id as page_id, k::bigint as chunk_index, arg_max(cur, i) as chunk, regexp_matches(arg_max(cur, i), '^<(p|div|h[1-6]|ul|table)\b') as at_boundary from f group by doc_id, k"))
+def chunk_markup(spark, d):
+    """Pages cut where elements begin, and whether each chunk does begin with one."""
+    chunks = C.exploded(table(spark, d, "pages"), C.code_chunks(F.col("html"), "html"), ["page_id"])
+    return chunks.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk", F.col("chunk").rlike(r"^<(p|div|h[1-6]|ul|table)\b").alias("at_boundary"))
+
+
+@query("chunk_boundaries")
+def chunk_boundaries(spark, d):
+    split = C.boundary_chunks(300, 50)
+    return _out(C.exploded(table(spark, d, "documents"), split("text"), ["doc_id"]))
+
+
+@query("chunk_markdown")
+def chunk_markdown(spark, d):
+    split = C.markdown_chunks(400, 60)
+    return _out(C.exploded(table(spark, d, "documents"), split("text"), ["doc_id"]))
+
+
+@query("chunk_offsets", f"""with c as ({_windows(500, 0, False).replace("select doc_id, (row_number() over (partition by doc_id order by s) - 1)::bigint as chunk_index, chunk from c", "select doc_id, (row_number() over (partition by doc_id order by s) - 1)::bigint as chunk_index, s::int as start, length(chunk)::bigint as chars from c")}) select * from c""")
+def chunk_offsets(spark, d):
+    """Each slice's place in its document, by looking for it behind the one before."""
+    cut = C.windows(F.col("text"), 500, 0, stop_early=False)
+    found = table(spark, d, "documents").select("doc_id", cut.alias("c"), "text").select("doc_id", "c", C.offsets("text", "c").alias("at"))
+    each = found.select("doc_id", F.posexplode(F.arrays_zip("c", "at")).alias("chunk_index", "x"))
+    return each.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("x.at").alias("start"), F.length("x.c").cast("long").alias("chars"))
+
+
+@query("chunk_overlap_deltas", f"""with a as ({' union all '.join(f"select {s}::bigint as size, {o}::bigint as overlap, count(*) as chunks, avg((not regexp_matches(chunk, '^[[:space:]]*[A-Z]'))::int) as mid from ({_windows(s, o, False)})" for s, o in _SWEEP)})
+select size, max(chunks) filter (overlap > 0) - max(chunks) filter (overlap = 0) as more_chunks, round(max(mid) filter (overlap = 0) - max(mid) filter (overlap > 0), 4) as less_mid from a group by size""")
+def chunk_overlap_deltas(spark, d):
+    """What an overlap of a quarter changes, by size: the sweep pivoted."""
+    rows = _sweep_rows(spark, d)
+    wide = rows.groupBy(F.col("size").cast("long").alias("size")).agg(
+        *[f(F.when(c, x)).alias(n) for c, p in ((F.col("overlap") == 0, "a"), (F.col("overlap") > 0, "b")) for f, x, n in ((F.count, F.lit(1), f"n_{p}"), (F.avg, (~F.col("chunk").rlike(r"^\s*[A-Z]")).cast("int"), f"mid_{p}"))]
+    )
+    return wide.select("size", (F.col("n_b") - F.col("n_a")).alias("more_chunks"), F.round(F.col("mid_a") - F.col("mid_b"), 4).alias("less_mid"))

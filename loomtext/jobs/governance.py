@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import guard as G
 from loomtext.functions import text as T
 from loomtext.jobs.registry import query, table
+from loomtext.operators import order as R
 from loomtext.operators.predicates import upserted, where, without
 
 _P = {k: v.replace("'", "''") for k, v in G.PII.items()}
@@ -124,9 +125,9 @@ def set_operations(spark, d):
     return count(a.intersect(b), "both").unionByName(count(a.union(b).distinct(), "either")).unionByName(count(a.exceptAll(b.distinct()).distinct(), "unlabelled")).unionByName(count(a.union(b), "all"))
 
 
-@query("full_outer_scores", "select coalesce(d.doc_id, l.doc_id) as doc_id, coalesce(quality, -1)::bigint as quality, coalesce(n_chars, 0) as n_chars from (select * from documents where doc_id % 2 = 0) d full outer join labels l on l.doc_id = d.doc_id")
+@query("full_outer_scores", "select coalesce(d.doc_id, l.doc_id) as doc_id, coalesce(quality, -1)::bigint as quality, coalesce(n_chars, 0) as n_chars from documents d full outer join labels l on l.doc_id = d.doc_id")
 def full_outer_scores(spark, d):
-    docs, labels = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id", "quality")
+    docs, labels = table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", "full_outer").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
@@ -134,9 +135,10 @@ def full_outer_scores(spark, d):
 with r as (select doc_id, quality, row_number() over (partition by quality order by doc_id) as i, count(*) over (partition by quality) as n from labels)
 select doc_id, quality::bigint as quality, case when i <= greatest(1, round_even(n * 0.25, 0)) then 'validation' else 'training' end as part from r""")
 def stratified_split(spark, d):
-    w = W.partitionBy("quality")
-    first = F.row_number().over(w.orderBy("doc_id")) <= F.greatest(F.lit(1), F.bround(F.count("*").over(w) * 0.25))
-    return table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"), F.when(first, "validation").otherwise("training").alias("part"))
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
+    last = R.at_ranks(labels, "quality", "doc_id", lambda n: {"last": F.greatest(F.lit(1), F.bround(n * 0.25))}).select(F.col("quality").alias("of"), "last")
+    split = labels.join(F.broadcast(last), F.col("quality").eqNullSafe(F.col("of")))  # a row for each stratum
+    return split.select("doc_id", "quality", F.when(F.col("doc_id") <= F.col("last"), "validation").otherwise("training").alias("part"))
 
 
 _PAIR = "with p as (select conv_id, turn, role, text as q, lead(role) over w as next_role, lead(text) over w as a from conversations window w as (partition by conv_id order by turn))"
@@ -160,12 +162,114 @@ def answer_metrics(spark, d):
     )
 
 
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
 @query("trigram_faithfulness", f"""{_PAIR}, t as (select conv_id, turn, regexp_extract_all(lower(q), '[a-z0-9]+') as q, regexp_extract_all(lower(a), '[a-z0-9]+') as a from p where role = 'user' and next_role = 'assistant'),
-g as (select conv_id, turn, list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) as a, list_transform(range(1, greatest(len(q) - 1, 1)), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2]) as q from t)
-select conv_id, turn, round(case when len(a) = 0 then 1 else len(list_filter(a, lambda x: list_contains(q, x)))::double / len(a) end, 6) as faithfulness from g""")
+g as (select conv_id, turn, q as qt, list_filter(a, lambda w: w not in ({_STOP})) as aw, list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) as a, list_transform(range(1, greatest(len(q) - 1, 1)), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2]) as q from t)
+select conv_id, turn, round(case when len(a) > 0 then len(list_filter(a, lambda x: list_contains(q, x)))::double / len(a) when len(aw) > 0 then len(list_filter(aw, lambda x: list_contains(qt, x)))::double / len(aw) else 1 end, 6) as faithfulness from g""")
 def trigram_faithfulness(spark, d):
-    g = _answers(spark, d).select("conv_id", "turn", T.ngrams(T.tokens("a")).alias("a"), T.ngrams(T.tokens("q")).alias("q"))
-    return g.select("conv_id", "turn", F.round(F.when(F.size("a") == 0, 1.0).otherwise(F.size(F.filter("a", lambda x: F.array_contains("q", x))) / F.size("a")), 6).alias("faithfulness"))
+    return _answers(spark, d).select("conv_id", "turn", F.round(_supported(), 6).alias("faithfulness"))
+
+
+def _supported():
+    """Share of the answer's trigrams that the context holds; without trigrams of its words but stop words; 1 without those."""
+    a, q = T.tokens("a"), T.tokens("q")
+    grams, context = T.ngrams(a), T.ngrams(q)
+    words = F.filter(a, lambda w: ~w.isin(T.STOPWORDS))
+    share = lambda of, within: F.size(F.filter(of, lambda x: F.array_contains(within, x))) / F.size(of)
+    return F.when(F.size(grams) > 0, share(grams, context)).when(F.size(words) > 0, share(words, q)).otherwise(1.0)
+
+
+_SPLIT = r"list_filter(string_split(regexp_replace({0}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+_BUCKETS = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 256)"
+_DOT = "coalesce(list_sum(list_transform({0}, lambda i: len(list_filter({1}, lambda j: j = i)))), 0)::double"
+
+
+def _cos(a: str, b: str) -> str:
+    return f"coalesce({_DOT.format(a, b)} / nullif(sqrt({_DOT.format(a, a)} * {_DOT.format(b, b)}), 0), 0)"
+
+
+@query("vector_answer_metrics", f"""{_PAIR}, t as (select conv_id, turn, list_transform({_SPLIT.format("q")}, lambda s: {_BUCKETS.format("s")}) as c, list_transform({_SPLIT.format("a")}, lambda s: {_BUCKETS.format("s")}) as s, {_BUCKETS.format("q")} as q, {_BUCKETS.format("a")} as a from p where role = 'user' and next_role = 'assistant'),
+m as (select conv_id, turn, list_transform(s, lambda x: coalesce(list_max(list_transform(c, lambda y: {_cos("x", "y")})), 0)) as best, list_transform(c, lambda x: greatest(0, {_cos("x", "a")})) as near, {_cos("q", "a")} as relevancy, s, c from t)
+select conv_id, turn, round(case when len(best) = 0 then 0 else len(list_filter(best, lambda x: x >= 0.3))::double / len(best) end, 6) as faithfulness_share, round(case when len(best) = 0 then 0 else greatest(0, least(1, list_avg(best))) end, 6) as faithfulness_mean,
+round(coalesce(list_avg(near), 0), 6) as context_precision, round(case when len(c) = 0 then 0 else len(list_filter(list_transform(c, lambda x: coalesce(list_max(list_transform(s, lambda y: {_cos("x", "y")})), 0)), lambda x: x >= 0.3))::double / len(c) end, 6) as context_recall, round(greatest(0, relevancy), 6) as answer_relevancy from m""")
+def vector_answer_metrics(spark, d):
+    """Over hashed vectors, the question's sentences as contexts and as the reference's facts: the share of the answer's
+    sentences with a context at 0.3 or more, and the mean of their best contexts, clamped; the mean similarity of contexts with
+    the answer; the share of facts that the answer holds at 0.3; the answer's similarity with the question."""
+    cut = lambda c: F.transform(T.sentences(c), lambda s: T.buckets(s))
+    t = _answers(spark, d).select("conv_id", "turn", cut("q").alias("c"), cut("a").alias("s"), T.buckets("q").alias("q"), T.buckets("a").alias("a"))
+    best = lambda of, among: F.transform(of, lambda x: F.coalesce(F.array_max(F.transform(among, lambda y: T.bag_cosine(x, y))), F.lit(0.0)))
+    near = F.transform("c", lambda x: F.greatest(F.lit(0.0), T.bag_cosine(x, F.col("a"))))
+    m = t.select("conv_id", "turn", best("s", "c").alias("best"), best("c", "s").alias("held"), near.alias("near"), T.bag_cosine(F.col("q"), F.col("a")).alias("r"))
+    mean = lambda c: F.coalesce(F.try_divide(F.aggregate(c, F.lit(0.0), lambda x, y: x + y), F.size(c)), F.lit(0.0))
+    share = lambda c: F.coalesce(F.try_divide(F.size(F.filter(c, lambda x: x >= 0.3)).cast("double"), F.size(c)), F.lit(0.0))
+    scores = {"faithfulness_share": share("best"), "faithfulness_mean": F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean("best"))), "context_precision": mean("near"), "context_recall": share("held"), "answer_relevancy": F.greatest(F.lit(0.0), F.col("r"))}
+    return m.select("conv_id", "turn", *[F.round(v, 6).alias(k) for k, v in scores.items()])
+
+
+_FACTS = r"list_filter(flatten(list_transform({0}, lambda s: list_transform(regexp_split_to_array(s, '[;,]'), lambda x: trim(x, ' .;:')))), lambda x: x <> '')"
+
+
+@query("composite_scores", f"""{_PAIR}, t as (select conv_id, turn, lower(q) as context, {_FACTS.format(_SPLIT.format("a"))} as facts, {_TOKENS.format('q')} as e, {_TOKENS.format('a')} as a from p where role = 'user' and next_role = 'assistant'),
+s as (select conv_id, turn, case when len(facts) = 0 then 1 else len(list_filter(facts, lambda f: len(list_filter(regexp_extract_all(lower(f), '[a-z0-9]+'), lambda w: w not in ({_STOP}) and not contains(context, w))) = 0))::double / len(facts) end as r, case when len(e) = 0 then 1 else len(list_intersect(a, e))::double / len(e) end as c, case when len(a) = 0 then 1 else len(list_intersect(a, e))::double / len(a) end as f from t)
+select conv_id, turn, round(r, 6) as recall, round(c, 6) as correctness, round((r + c + f) / 3, 4) as composite from s""")
+def composite_scores(spark, d):
+    """The share of the answer's facts whose every word the context holds, the share of expected words that it says, the share
+    of its words that the context holds, and the mean of the three."""
+    facts, context = T.facts("a"), F.lower("q")
+    held = F.filter(facts, lambda f: F.forall(F.filter(T.tokens(f), lambda w: ~w.isin(T.STOPWORDS)), lambda w: F.contains(context, w)))
+    e, a = F.array_distinct(T.tokens("q")), F.array_distinct(T.tokens("a"))
+    one = F.lit(1.0)
+    s = _answers(spark, d).select("conv_id", "turn", F.coalesce(F.try_divide(F.size(held).cast("double"), F.size(facts)), one).alias("r"), F.coalesce(T.token_share(e, a), one).alias("c"), F.coalesce(T.token_share(a, e), one).alias("f"))
+    return s.select("conv_id", "turn", F.round("r", 6).alias("recall"), F.round("c", 6).alias("correctness"), F.round((F.col("r") + F.col("c") + F.col("f")) / 3, 4).alias("composite"))
+
+
+@query("pii_one_pass")
+def pii_one_pass(spark, d):
+    """Personal data of the single pass: counts by kind, and the text with placeholders by its md5."""
+    f = table(spark, d, "documents").select("doc_id", "text", G.one_pass(F.col("text")).alias("f"))
+    count = lambda k: F.size(F.filter("f", lambda x: (x["kind"] == k) & ~x["keep"])).cast("long").alias(k)
+    return f.select("doc_id", *map(count, G.ONE_PASS), F.md5(G.one_pass_redacted(F.col("text"), F.col("f")).cast("binary")).alias("key"))
+
+
+@query("pii_places")
+def pii_places(spark, d):
+    """Each finding of the single pass with its value and place."""
+    return table(spark, d, "documents").select("doc_id", F.explode(G.pii_spans("text")).alias("x")).select("doc_id", "x.kind", "x.value", "x.start", "x.end")
+
+
+_COUNTED, _STEPS = "text", []
+for _k, _v in _P.items():
+    _STEPS.append(f"len(regexp_extract_all({_COUNTED}, '{_v}'))::bigint as {_k}")
+    _COUNTED = f"regexp_replace({_COUNTED}, '{_v}', '[{_k.upper()}]', 'g')"
+
+
+@query("pii_redacted_counts", f"select doc_id, {', '.join(_STEPS)}, length({_COUNTED})::bigint as chars from documents")
+def pii_redacted_counts(spark, d):
+    """How often each kind was replaced in what the kinds before it had left."""
+    clean, counts = G.counted_redaction(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in counts.items()], F.length(clean).cast("long").alias("chars"))
+
+
+_INJECTED = " or ".join(f"regexp_matches(lower(q), '{p}')" for p in G.INJECTION.values())
+_ASKED_BADLY = f"length(trim(q, ' ')) < 3 or length(trim(q, ' ')) > 2000 or {' or '.join(f"contains(lower(q), '{t}')" for t in G.TOPICS)} or {_INJECTED}"
+_TOXIC_SQL = f"len(list_intersect(list_distinct(regexp_extract_all(lower(a), '[a-z]+')), [{', '.join(repr(w) for w in G.TOXIC)}])) > 0"
+
+
+@query("guarded_answers", f"""{_PAIR}, t as (select conv_id, turn, q, a, {_ASKED_BADLY} as blocked, {_TOXIC_SQL} as toxic, regexp_matches(lower(a), '{G.REFUSAL.replace(chr(39), chr(39) * 2)}') as refuses, regexp_matches(a, '\\[\\d+\\]') as cites, {_REDACT.replace("text", "a", 1)} as clean from p where role = 'user' and next_role = 'assistant')
+select conv_id, turn, case when blocked then 'input' else 'output' end as stage, not blocked and not toxic as passed, case when blocked then 'block' when toxic or refuses or not cites or clean <> a then 'sanitize' else 'pass' end as action, case when not blocked then md5(clean) end as answer_key from t""")
+def guarded_answers(spark, d):
+    """Two stages: a question that isn't taken ends at the first; of an answer, only toxic words fail, and personal data, a
+    refusal or a missing citation ask for changes."""
+    blocked, a = F.size(G.input_problems(F.col("q"))) > 0, F.col("a")
+    t = _answers(spark, d).select("conv_id", "turn", "a", blocked.alias("blocked"), (G.toxic_words(a) > 0).alias("toxic"), G.refuses(a).alias("refuses"), a.rlike(r"\[\d+\]").alias("cites"), G.redacted(a).alias("clean"))
+    notes = F.col("toxic") | F.col("refuses") | ~F.col("cites") | (F.col("clean") != F.col("a"))
+    return t.select(
+        "conv_id", "turn", F.when(F.col("blocked"), "input").otherwise("output").alias("stage"), (~F.col("blocked") & ~F.col("toxic")).alias("passed"),
+        F.when(F.col("blocked"), "block").when(notes, "sanitize").otherwise("pass").alias("action"), F.when(~F.col("blocked"), F.md5(F.col("clean").cast("binary"))).alias("answer_key"),
+    )
 
 
 _SCORES = "s as (select doc_id, source, (doc_id * 37 % 101) / 100.0::double as baseline, (doc_id * 53 % 97) / 100.0::double as current from documents)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
@@ -134,6 +135,12 @@ def hybrid_rerank(spark, d):
     return L.top(both.select("query_id", "doc_id", T.token_share(T.tokens("query"), T.tokens("text")).alias("score")), 3)
 
 
+def _forms(questions):
+    """Each question in three forms, numbered ten times its id plus the form: as it is, its longer words, with a lead-in."""
+    forms = F.array(F.col("query"), F.array_join(F.filter(T.tokens("query"), lambda w: F.length(w) > 3), " "), F.concat(F.lit("explain "), "query"))
+    return questions.select("query_id", F.posexplode(forms).alias("variant", "query")).select((F.col("query_id") * 10 + F.col("variant")).alias("query_id"), "query")
+
+
 @query("multi_query_fusion", """with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents),
 v as (select item_id as qid, unnest([0, 1, 2]) as variant, text from benchmark),
 q as (select qid * 10 + variant as query_id, qid, list_filter(regexp_extract_all(lower(case variant when 2 then 'explain ' || text else text end), '[a-z0-9]+'), lambda w: variant <> 1 or length(w) > 3) as t from v),
@@ -145,10 +152,7 @@ f as (select qid as query_id, doc_id, sum(1.0::double / (60 + rank)) as score fr
 def multi_query_fusion(spark, d):
     """Three forms of each question (as it is, its longer words, with a lead-in), five documents for each, fused."""
     docs, questions = docs_and_questions(spark, d)
-    words = T.tokens("query")
-    forms = F.array(F.col("query"), F.array_join(F.filter(words, lambda w: F.length(w) > 3), " "), F.concat(F.lit("explain "), "query"))
-    variants = questions.select("query_id", F.posexplode(forms).alias("variant", "query")).select((F.col("query_id") * 10 + F.col("variant")).alias("query_id"), "query")
-    ranked = L.overlap_top(docs, variants, 5).withColumn("query_id", F.floor(F.col("query_id") / 10))
+    ranked = L.overlap_top(docs, _forms(questions), 5).withColumn("query_id", F.floor(F.col("query_id") / 10))
     return L.top(U.rrf(ranked), 3)
 
 
@@ -216,3 +220,90 @@ def retriever_hit_rates(spark, d):
     seen = docs.select("doc_id", "text").join(small(first), "doc_id")
     per = seen.groupBy("list_id", "query_id").agg(F.max(F.contains("text", F.col("query"))).alias("hit"))
     return per.groupBy("list_id").agg(F.count("*").alias("questions"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+
+
+_LONG = "list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower({0}), '[ \\t\\n\\x0B\\f\\r?]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 3))"
+
+
+@query("long_word_overlap", f"""with d as (select doc_id, unnest({_LONG.format("text")}) as term from documents), q as (select item_id as query_id, unnest({_LONG.format("text")}) as term from benchmark),
+s as (select query_id, doc_id, count(*) as score from q join d using (term) group by all),
+r as (select query_id, row_number() over (partition by query_id order by score desc, doc_id desc) as rank, doc_id, score from s)
+select query_id, rank, doc_id, score::double as score from r where rank <= 3""")
+def long_word_overlap(spark, d):
+    """Shared words of more than three characters; of ties the later document comes first."""
+    docs, questions = docs_and_questions(spark, d)
+    words = lambda c: F.array_distinct(F.filter(F.split(F.btrim(F.regexp_replace(F.lower(c), r"[ \t\n\x0B\f\r?]+", " ")), " "), lambda w: F.length(w) > 3))
+    turned = docs.select((-F.col("doc_id")).alias("doc_id"), "text")
+    found = L.overlap_top(turned, questions, 3, tokenize=words)
+    return found.select("query_id", "rank", (-F.col("doc_id")).alias("doc_id"), "score")
+
+
+@query("bow_cosine_filled", f"""with {_WORDS}, dn as (select doc_id, sqrt(sum(tf * tf)) as l from dt group by all), q2 as (select query_id * 2 as query_id, term, qtf from qt union all select distinct query_id * 2 + 1, 'zzqx' || query_id, 1 from qt), qn as (select query_id, sqrt(sum(qtf * qtf)) as l from q2 group by all),
+s as (select query_id, doc_id, sum(tf * qtf) / (any_value(dn.l) * any_value(qn.l)) as score from dt join q2 using (term) join dn using (doc_id) join qn using (query_id) group by all){_top('s', 3, 'a')},
+f as (select doc_id, row_number() over (order by doc_id) as rank from d)
+select * from a union all select q.query_id, f.rank, f.doc_id, 0.0::double from (select distinct query_id from q2) q, f where f.rank <= 3 and q.query_id not in (select query_id from a)""")
+def bow_cosine_filled(spark, d):
+    """The nearest documents by word counts; a question that shares no word with any gets the first documents with score 0.
+    Each question is asked a second time in words that nobody uses."""
+    docs, questions = docs_and_questions(spark, d)
+    asked = questions.select((F.col("query_id") * 2).alias("query_id"), "query").unionByName(questions.where(F.size(T.tokens("query")) > 0).select((F.col("query_id") * 2 + 1).alias("query_id"), F.concat(F.lit("zzqx"), F.col("query_id").cast("string")).alias("query")))
+    found = saved(L.bow_cosine_top(docs, asked, 3))
+    first = docs.select("doc_id").orderBy("doc_id").limit(3).withColumn("rank", F.row_number().over(W.orderBy("doc_id")).cast("long"))  # three rows
+    without = asked.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    ranks = F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]))
+    filled = without.withColumn("rank", ranks).join(F.broadcast(first), "rank")
+    return found.unionByName(filled.select("query_id", "rank", "doc_id", F.lit(0.0).alias("score")))
+
+
+@query("multi_query_merged", """with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents),
+v as (select item_id as qid, unnest([0, 1, 2]) as variant, text from benchmark),
+q as (select qid, variant, list_filter(regexp_extract_all(lower(case variant when 2 then 'explain ' || text else text end), '[a-z0-9]+'), lambda w: variant <> 1 or length(w) > 3) as t from v),
+qt as (select qid, variant, term, count(*) as qtf from (select qid, variant, unnest(t) as term from q) group by all),
+dt as (select distinct doc_id, unnest(t) as term from d),
+o as (select qid, variant, doc_id, sum(qtf)::double as score from qt join dt using (term) group by all),
+r as (select qid, variant, doc_id, row_number() over (partition by qid, variant order by score desc, doc_id) as rank from o),
+m as (select qid as query_id, doc_id, min(variant * 1000 + rank) as first_seen from r where rank <= 4 group by all)
+select query_id, doc_id, (first_seen // 1000)::bigint as variant, (first_seen % 1000)::bigint as rank from m""")
+def multi_query_merged(spark, d):
+    """Four documents for each of three forms of a question, each document once, where it came first."""
+    docs, questions = docs_and_questions(spark, d)
+    ranked = L.overlap_top(docs, _forms(questions), 4)
+    first = F.min(F.struct((F.col("query_id") % 10).alias("variant"), "rank"))
+    merged = ranked.groupBy(F.floor(F.col("query_id") / 10).alias("query_id"), "doc_id").agg(first.alias("x"))
+    return merged.select("query_id", "doc_id", F.col("x.variant").alias("variant"), F.col("x.rank").alias("rank"))
+
+
+@query("hashed_rerank", f"""with {_LISTS}, f as (select query_id, doc_id, sum(1.0::double / (60 + rank)) as score from r group by all){_top('f', 10, 'c')},
+g as (select query_id, doc_id, hs.score from c join hs using (query_id, doc_id)){_top('g', 5)}""")
+def hashed_rerank(spark, d):
+    """Fused candidates ranked again by the cosine of hashed vectors."""
+    docs, questions = docs_and_questions(spark, d)
+    pool = saved(L.top(U.rrf(two_lists(spark, d)), 10).select("query_id", "doc_id"))
+    near = docs.select("doc_id", "text").join(small(pool.select("doc_id").distinct()), "doc_id")
+    of_docs = D.hash_vectors(near, "doc_id", T.tokens("text"))
+    of_queries = D.hash_vectors(questions, "query_id", T.tokens("query")).withColumnRenamed("w", "q")
+    pairs = pool.join(of_docs, "doc_id").join(of_queries, ["query_id", "bucket"])
+    return L.top(pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("score")), 5)
+
+
+@query("retriever_bakeoff", f"""with {_LISTS},
+x as (select r.list_id, r.query_id, r.rank, d.text, list_distinct(d.t) as t, list_distinct(list_filter(q.t, lambda w: length(w) > 2)) as k, q.query from r join d using (doc_id) join q using (query_id) where r.rank <= 3),
+b as (select list_id, query_id, string_agg(lower(text), ' ') as blob, any_value(k) as k, bool_or(contains(text, query)) as hit from x group by all),
+p as (select a.list_id, a.query_id, avg(1 - len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t)))) as diversity from x a join x b on a.list_id = b.list_id and a.query_id = b.query_id and a.rank < b.rank group by all)
+select list_id, count(*) as questions, round(avg(hit::int), 6) as hit_rate, round(avg(case when len(k) = 0 then 0 else len(list_filter(k, lambda w: contains(blob, w)))::double / len(k) end), 6) as coverage, round(avg(diversity), 6) as diversity from b join p using (list_id, query_id) group by list_id""")
+def retriever_bakeoff(spark, d):
+    """Two retrievers over all questions, by their first three documents: how often one holds the question whole, the share of
+    its key words that they hold, and how little they share with each other."""
+    docs, questions = docs_and_questions(spark, d)
+    first = saved(two_lists(spark, d).where("rank <= 3").join(questions, "query_id"))
+    x = saved(docs.select("doc_id", "text").join(small(first), "doc_id").select("list_id", "query_id", "rank", "text", "query", F.array_distinct(T.tokens("text")).alias("t")))
+    keys = F.array_distinct(F.filter(T.tokens("query"), lambda w: F.length(w) > 2))
+    blobs = x.groupBy("list_id", "query_id", keys.alias("k")).agg(F.array_join(F.collect_list(F.lower("text")), " ").alias("blob"), F.max(F.contains("text", F.col("query"))).alias("hit"))
+    coverage = F.coalesce(F.try_divide(F.size(F.filter("k", lambda w: F.contains(F.col("blob"), w))).cast("double"), F.size("k")), F.lit(0.0))
+    a, b = x.alias("a"), x.alias("b")  # three rows for each question on either side
+    apart = 1 - F.size(F.array_intersect("a.t", "b.t")) / F.size(F.array_union("a.t", "b.t"))
+    pairs = a.join(b, (F.col("a.list_id") == F.col("b.list_id")) & (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")))
+    diversity = pairs.groupBy(F.col("a.list_id").alias("list_id"), F.col("a.query_id").alias("query_id")).agg(F.avg(apart).alias("diversity"))
+    each = blobs.select("list_id", "query_id", F.col("hit").cast("int").alias("hit"), coverage.alias("coverage")).join(diversity, ["list_id", "query_id"])
+    mean = lambda c: F.round(F.avg(c), 6).alias({"hit": "hit_rate"}.get(c, c))
+    return each.groupBy("list_id").agg(F.count("*").alias("questions"), mean("hit"), mean("coverage"), mean("diversity"))

@@ -147,3 +147,114 @@ def sft_messages(spark, d):
     p = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("reply"))
     ok = (F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.length(F.btrim("text", F.lit(" "))) >= 10) & (F.btrim("reply", F.lit(" ")) != "")
     return p.where(ok).select("conv_id", "turn", F.col("text").alias("instruction"), F.col("reply").alias("output"), T.estimated_tokens("reply").alias("reply_tokens"))
+
+
+_WS = r"[ \t\n\x0B\f\r]"
+
+
+@query("content_token_stats", f"select doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: w not in ({STOP})))::bigint as terms from documents")
+def content_token_stats(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.content_tokens("text")).cast("long").alias("terms"))
+
+
+@query("opened_sentence_stats", rf"""
+with s as (select doc_id, list_filter(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?]){_WS}+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') as s from documents)
+select doc_id, len(s)::bigint as sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::bigint as longest from s""")
+def opened_sentence_stats(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.opened_sentences("text").alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
+
+
+@query("sentence_start_sets", rf"""
+with s as (select doc_id, list_distinct(list_transform(list_filter(string_split(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '' and length(x) >= 8), lambda x: substring(x, 1, 40))) as s from documents)
+select doc_id, len(s)::bigint as starts, md5(array_to_string(list_sort(s), chr(10))) as key from s""")
+def sentence_start_sets(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.sentence_starts("text").alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("starts"), F.md5(F.array_join(F.array_sort("s"), "\n").cast("binary")).alias("key"))
+
+
+@query("judge_scores", f"""
+with r as (select event_type, case event_id % 3 when 0 then '```json' || chr(10) || props || chr(10) || '```' when 1 then 'noise ' || props || ' noise' else props end as raw, round(value / 15, 1) as v from events)
+select event_type, count(*) as n, count(*) filter (v between 1 and 5) as valid, coalesce(sum(round_even(v, 0)::int) filter (v between 1 and 5), 0)::bigint as total, count(json_extract_string(regexp_extract(raw, '(?s)\\{{.*\\}}'), '$.k')) as with_key from r group by event_type""")
+def judge_scores(spark, d):
+    """Scores in replies, some fenced, some in noise: those from 1 to 5, rounded half to even."""
+    kind, props = F.col("event_id") % 3, F.col("props")
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("noise "), props, F.lit(" noise"))).otherwise(props)
+    reply = F.concat(F.lit('```json\n{"score": '), F.round(F.col("value") / 15, 1).cast("string"), F.lit("}\n```"))
+    r = table(spark, d, "events").select("event_type", T.judged(reply, "score").alias("v"), F.get_json_object(T.json_inside(raw), "$.k").alias("k"))
+    return r.groupBy("event_type").agg(F.count("*").alias("n"), F.count("v").alias("valid"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"), F.count("k").alias("with_key"))
+
+
+@query("verdict_lines", "select l_returnflag as flag, count(*) as n, count(*) filter (l_returnflag <> 'A') as relevant, count(*) filter (l_returnflag <> 'A' and l_linestatus = 'O') as both from lineitem group by 1")
+def verdict_lines(spark, d):
+    """Replies of two lines, `RELEVANT: ...` and `supported: ...`, read back."""
+    word = lambda c: F.when(c, "pass").otherwise("Fail")
+    reply = F.concat(F.lit("relevant: "), word(F.col("l_returnflag") != "A"), F.lit("\nSUPPORTED:"), word(F.col("l_linestatus") == "O"), F.lit("\nNOTE: none"))
+    r = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), T.verdict(reply, "relevant").alias("a"), T.verdict(reply, "supported").alias("b"))
+    return r.groupBy("flag").agg(F.count("*").alias("n"), F.count_if("a").alias("relevant"), F.count_if(F.col("a") & F.col("b")).alias("both"))
+
+
+@query("citation_sanitized", r"""
+with t as (select conv_id, turn, text || ' [' || (turn % 5) || '][9] [03]' as t from conversations)
+select conv_id, turn, trim(regexp_replace(t, '\[(0+|0*[4-9]|0*[1-9][0-9]+)\]', '', 'g'), ' ') as answer from t""")
+def citation_sanitized(spark, d):
+    """Answers with marks of three sources; marks of others go."""
+    text = F.concat("text", F.lit(" ["), (F.col("turn") % 5).cast("string"), F.lit("][9] [03]"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.sanitized(text, 3).alias("answer"))
+
+
+@query("citation_faithfulness", r"""
+with c as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::bigint)) as c from documents)
+select doc_id, case when len(c) = 0 then 0.5 else round(len(list_filter(c, lambda x: x between 1 and 3))::double / len(c), 6) end as faithfulness from c""")
+def citation_faithfulness(spark, d):
+    """Share of cited sources that there are, of three; a half for a text that cites none."""
+    c = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("long")))
+    share = F.size(F.filter("c", lambda x: x.between(1, 3))) / F.size("c")
+    return table(spark, d, "documents").select("doc_id", c.alias("c")).select("doc_id", F.when(F.size("c") == 0, 0.5).otherwise(F.round(share, 6)).alias("faithfulness"))
+
+
+@query("labels_stripped", "select conv_id, turn, md5(trim(text, ' ')) as key from conversations")
+def labels_stripped(spark, d):
+    """A model's answers without the label in front of them."""
+    labelled = F.concat(F.lit("  Step-back Question :  "), F.btrim("text", F.lit(" ")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.without_label(labelled, ["answer", "step-back question"]).cast("binary")).alias("key"))
+
+
+@query("observation_summaries", "with o as (select conv_id, string_agg(substring(text, 1, 220), chr(10) order by turn, text) as t from conversations group by conv_id) select conv_id, length(substring(t, 1, 3000))::bigint as chars, md5(substring(t, 1, 3000)) as key from o")
+def observation_summaries(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return table(spark, d, "conversations").groupBy("conv_id").agg(T.listed(turns).alias("t")).select("conv_id", F.length("t").cast("long").alias("chars"), F.md5(F.col("t").cast("binary")).alias("key"))
+
+
+@query("tool_arguments", "select event_type, count(*) as n, count(*) filter (not list_contains(json_keys(props), 'k')) as without_k, count(*) filter (not list_contains(json_keys(props), 'user')) as without_user from events group by event_type")
+def tool_arguments(spark, d):
+    """Arguments that a call must have and lacks."""
+    given = F.map_keys(F.from_json("props", "map<string, string>"))
+    lacks = F.array_except(F.array(F.lit("k"), F.lit("user")), F.coalesce(given, F.array().cast("array<string>")))
+    r = table(spark, d, "events").select("event_type", lacks.alias("m"))
+    return r.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.array_contains("m", "k")).alias("without_k"), F.count_if(F.array_contains("m", "user")).alias("without_user"))
+
+
+@query("event_stream_frames", "select user_id, count(*) as frames, coalesce(sum(try_cast(json_extract_string(props, '$.k') as bigint)), 0)::bigint as total from events group by user_id")
+def event_stream_frames(spark, d):
+    """Server-sent frames, a block for each event with a comment and an end mark, read back."""
+    block = F.concat(F.lit(": ping\ndata: "), F.col("props"), F.lit("\n\ndata: [DONE]\n"))
+    lines = table(spark, d, "events").select("user_id", F.explode(F.split(block, "\n")).alias("line")).where(F.startswith("line", F.lit("data:")))
+    frames = lines.select("user_id", F.btrim(F.substring(F.col("line"), 6, 1 << 30)).alias("frame")).where("frame <> '[DONE]'")
+    return frames.groupBy("user_id").agg(F.count("*").alias("frames"), F.coalesce(F.sum(F.get_json_object("frame", "$.k").try_cast("bigint")), F.lit(0)).alias("total"))
+
+
+@query("predicate_specs", "select p_brand as value, count(*) as n from part group by p_brand")
+def predicate_specs(spark, d):
+    """Specifications `field = value` read into their two parts; those for brands, counted by value."""
+    spec = table(spark, d, "part").select(F.concat(F.lit("  p_brand ="), F.col("p_brand"), F.lit("  ")).alias("spec"))
+    parts = [F.regexp_extract("spec", r"^\s*([A-Za-z_][\w-]*)\s*=\s*(.+?)\s*$", i).alias(n) for i, n in ((1, "field"), (2, "value"))]
+    return spec.select(*parts).where("field = 'p_brand'").groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("first_same_text", "with f as (select text, min(conv_id * 1000 + turn) as first_place from conversations group by text) select conv_id, turn, first_place from conversations join f using (text)")
+def first_same_text(spark, d):
+    """Each turn's first occurrence, found by its content."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    first = c.groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first_place"))
+    return c.join(first, "text").select("conv_id", "turn", "first_place")

@@ -8,6 +8,7 @@ from loomtext.functions import vector as V
 from loomtext.jobs.registry import query, table
 from loomtext.operators import dense as D
 from loomtext.operators.predicates import where
+from loomtext.operators.shared import saved
 
 DIMS = 64
 
@@ -87,8 +88,37 @@ def mmr_top3(spark, d):
 
 @query("lsh_recall")
 def lsh_recall(spark, d):
+    """Recall of the neighbours found in buckets, and the share of all pairs of query and row that were compared."""
     v = table(spark, d, "embeddings")
-    return D.recall(D.lsh_knn(v, _queries(v), 10, DIMS), D.knn(v, _queries(v), 10))
+    found = D.recall(D.lsh_knn(v, _queries(v), 10, DIMS), D.knn(v, _queries(v), 10))
+    n, asked = v.count(), _queries(v).count()
+    share = D.lsh_candidates(v, _queries(v), DIMS).agg(F.round(F.count("*") / F.lit(n * asked), 4).alias("compared"))
+    return found.crossJoin(share)  # a row each
+
+
+#: Cells and probed cells that the sweep tries.
+SWEEP = [(16, 2), (16, 4), (16, 8), (64, 4), (64, 8), (64, 16)]
+
+
+@query("index_sweep")
+def index_sweep(spark, d):
+    """For each setting of an index by cells, recall of 10 neighbours and the share of pairs compared; chosen is the cheapest
+    setting with 98 % of the best recall."""
+    v = table(spark, d, "embeddings")
+    asked, exact, n = _queries(v), saved(D.knn(v, _queries(v), 10)), v.count()
+    pairs = n * asked.count()
+    centres = {c: D.trained_cells(v, DIMS, c) for c in {c for c, _ in SWEEP}}
+    rows = None
+    for cells, probes in SWEEP:
+        near, scored = D.cell_knn(v, asked, 10, centres[cells], probes)
+        share = scored.agg(F.round(F.sum("scored") / F.lit(pairs), 4).alias("compared"))
+        row = D.recall(near, exact).crossJoin(share).select(F.lit(cells).alias("cells"), F.lit(probes).alias("probes"), "recall", "compared")  # a row each
+        rows = row if rows is None else rows.unionByName(row)
+    rows = saved(rows)
+    best = rows.agg(F.max("recall")).first()[0] or 0.0
+    cheapest = rows.where(F.col("recall") >= 0.98 * best).orderBy("compared", "cells", "probes").select("cells", "probes").first()
+    chosen = (F.col("cells") == cheapest.cells) & (F.col("probes") == cheapest.probes) if cheapest else F.lit(False)
+    return rows.withColumn("chosen", chosen)
 
 
 @query("pca_2d")

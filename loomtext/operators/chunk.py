@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomtext.functions.text import sentences
 
 
+_BLANK = " \t\n\x0b\x0c\r"
+
+
 def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     """keep, chunk_index (from 0), chunk."""
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk"))
+    return df.select(*keep, chunks.alias("_chunks")).select(*keep, F.posexplode("_chunks").alias("chunk_index", "chunk"))
 
 
 def windows(text: Column, size: int, overlap: int = 0, stop_early: bool = True) -> Column:
@@ -24,23 +29,40 @@ def windows(text: Column, size: int, overlap: int = 0, stop_early: bool = True)
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
     if stop_early:
         starts = F.filter(starts, lambda s: (s == 0) | (s < n - overlap))
-    cut = F.transform(starts, lambda s: F.btrim(F.substring(text, s + 1, F.lit(size))) if stop_early else F.substring(text, s + 1, F.lit(size)))
+    cut = F.transform(starts, lambda s: F.btrim(F.substring(text, s + 1, F.lit(size)), F.lit(_BLANK)) if stop_early else F.substring(text, s + 1, F.lit(size)))
     return F.filter(cut, lambda x: F.btrim(x) != "")
 
 
-def packed(parts: Column, size: int, separator: str = " ", counted: bool = True) -> Column:
-    """Parts joined by the separator as long as the chunk stays within size; counted: the separator's length counts."""
+def _folded(size: int, separator: str, counted: bool, hard: bool):
+    """A pandas UDF over arrays of parts: each step depends on the chunk before it, and a fold by built-in functions would copy
+    all earlier chunks for every new one."""
     extra = len(separator) if counted else 0
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(x) + extra > size)
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"),
-            F.when(full | (acc["cur"] == ""), x).otherwise(F.concat(acc["cur"], F.lit(separator), x)).alias("cur"),
-        )
+    def pack(parts) -> list[str]:
+        out, held, length = [], [], 0
+        parts = parts if parts is not None else ()
+        for x in (p[i : i + size] for p in parts for i in range(0, max(1, len(p)), size)) if hard else parts:
+            if held and length and length + len(x) + extra > size:
+                out.append(separator.join(held))
+                held, length = [], 0
+            if held and not length:  # what was held so far is empty
+                held = []
+            length += len(x) + (len(separator) if held else 0)
+            held.append(x)
+        return out + [separator.join(held)] if length else out
+
+    @F.pandas_udf("array<string>")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(pack)
+
+    return fold
+
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]))
+def packed(parts: Column, size: int, separator: str = " ", counted: bool = True, hard: bool = False) -> Column:
+    """Parts joined by the separator as long as the chunk stays within size; counted: the separator's length counts; hard: parts
+    of more than size characters are cut first."""
+    return _folded(size, separator, counted, hard)(parts)
 
 
 def sentence_chunks(text: Column, size: int) -> Column:
@@ -48,14 +70,15 @@ def sentence_chunks(text: Column, size: int) -> Column:
 
 
 def greedy_chunks(text: Column, size: int) -> Column:
-    """Sentences packed within size; a sentence of more than size characters is cut hard first."""
-    pieces = F.flatten(F.transform(sentences(text), lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(size)), lambda i: F.substring(s, i + 1, F.lit(size)))))
-    return packed(pieces, size)
+    """Sentences and what stands between blank lines, packed within size; what has more than size characters is cut hard
+    first."""
+    units = F.filter(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), lambda x: F.trim(x) != "")
+    return packed(units, size, hard=True)
 
 
 def line_sections(text: Column, size: int = 600) -> Column:
     """Lines that aren't blank, packed with a blank line between."""
-    return packed(F.filter(F.transform(F.split(text, "\n+"), F.btrim), lambda x: x != ""), size, "\n\n")
+    return packed(F.filter(F.transform(F.split(text, "\n+"), lambda x: F.btrim(x)), lambda x: x != ""), size, "\n\n")
 
 
 def recursive_chunks(size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")):
@@ -107,3 +130,110 @@ def header_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return text_lines.groupBy(key, "section", "h1", "h2").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("chunk")
     )
+
+
+def passages(text: Column, size: int = 300, least: int = 20) -> Column:
+    """Parts between full stops of more than `least` characters, with their stops again, grouped to about `size`."""
+    parts = F.filter(F.transform(F.split(F.replace(F.btrim(text, F.lit(_BLANK)), F.lit("\n"), F.lit(" ")), r"\. "), lambda x: F.btrim(x)), lambda x: F.length(x) > least)
+    # A part is counted without its stop and blank when it is tried.
+    return F.transform(packed(F.transform(parts, lambda x: F.concat(x, F.lit(". "))), size + 2, ""), lambda x: F.btrim(x))
+
+
+def paragraph_slices(text: Column, size: int = 500, least: int = 20) -> Column:
+    """What stands between blank lines, of `least` characters or more, in slices of `size`."""
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.btrim(x)), lambda x: F.length(x) >= least)
+    return F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(size)), lambda i: F.substring(p, i + 1, F.lit(size)))))
+
+
+#: Where a unit of code or markup begins, by language (fixed values).
+BOUNDARIES = {
+    "python": r"(?m)(?=^(?:def |class |async def ))",
+    "javascript": r"(?m)(?=^(?:function |class |const |export ))",
+    "html": r"(?=<(?:p|div|h[1-6]|ul|table)\b)",
+}
+
+
+def code_chunks(text: Column, language: str, size: int = 400) -> Column:
+    """Units of code or markup packed within size; a longer unit is cut hard."""
+    units = F.filter(F.split(text, BOUNDARIES[language]), lambda x: x != "")
+    return packed(units, size, "", hard=True)
+
+
+def _carried(units: Iterator[str], size: int, overlap: int, joiner: str, glue: str) -> Iterator[str]:
+    """Units joined within size; a chunk begins with the last `overlap` characters of the one before it, put on by `glue`,
+    whatever length that gives. An empty unit ends a chunk without carrying anything on."""
+    held = ""
+    for unit in units:
+        if held and not unit:
+            yield held
+            held = ""
+        elif not held:
+            held = unit
+        elif len(held) + len(joiner) + len(unit) <= size:
+            held += joiner + unit
+        else:
+            yield held
+            tail = held[-overlap:] if overlap else ""
+            held = tail + glue + unit if tail else unit
+    if held:
+        yield held
+
+
+def boundary_chunks(size: int, overlap: int):
+    """A pandas UDF: paragraphs, or sentences of paragraphs that are too long, or words of sentences that are, joined by line
+    ends; the overlap is put on without a separator."""
+
+    def units(text: str) -> Iterator[str]:
+        for paragraph in filter(str.strip, re.split(r"\n\s*\n", text)):
+            if len(paragraph) <= size:
+                yield paragraph
+                continue
+            for sentence in filter(str.strip, re.split(r"(?<=[.!?])\s+", paragraph)):
+                yield from [sentence] if len(sentence) <= size else (x.strip() for x in _carried(iter(sentence.split(" ")), size, 0, " ", ""))
+
+    def cut(text: str | None) -> list[str]:
+        text = (text or "").strip()
+        if len(text) <= size:
+            return [text] if text else []
+        return [c for c in (c.strip() for c in _carried(units(text), size, overlap, "\n", "")) if c]
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(cut)
+
+    return split
+
+
+def markdown_chunks(size: int, overlap: int):
+    """A pandas UDF: paragraphs of Markdown joined by blank lines, the overlap too; a paragraph that is too long is sliced, each
+    slice beginning size - overlap after the one before, and its rest goes on like a paragraph of its own."""
+
+    def units(text: str) -> Iterator[str]:
+        for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+            while len(paragraph) > size:
+                yield from ("", paragraph[:size], "")
+                paragraph = paragraph[size - overlap :]
+            yield paragraph
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [c for c in _carried(units(t or ""), size, overlap, "\n\n", "\n\n") if c.strip()])
+
+    return split
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def offsets(texts: pd.Series, chunks: pd.Series) -> pd.Series:
+    """Where each chunk stands in its text, each looked for behind the one before it; -1 for one that isn't there."""
+
+    def of(text: str | None, parts) -> list[int]:
+        out, end = [], 0
+        for part in parts if parts is not None else ():
+            at = (text or "").find(part, end)
+            out.append(at)
+            end = at + len(part) if at >= 0 else end
+        return out
+
+    return pd.Series([of(t, c) for t, c in zip(texts, chunks, strict=True)])

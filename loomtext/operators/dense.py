@@ -11,19 +11,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.operators import scoring
-from loomtext.operators.shared import is_small, saved
+from loomtext.operators.shared import is_small, saved, small
 
-#: Query vectors that one pass sends to the executors; vectors that one matrix product takes.
-BLOCK, ROWS = 2048, 4096
+#: Numbers of query vectors that go to every task; vectors that one matrix product takes.
+MOST_NUMBERS, ROWS = 4_000_000, 4096
 
 
-def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1 if rows else dims or 0)
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a list array whose lists all have `dims` numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
 def similarity(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -36,42 +35,77 @@ def similarity(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (q @ m.T) / np.maximum(nq[:, None] * nm[None], 1e-300)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
+def whole(vectors: DataFrame, dims: int, id_: str = "vec_id") -> DataFrame:
+    """(id, embedding) of the rows whose vector has `dims` numbers, none of them null; rows without an id are left out."""
+    v = vectors.select(F.col(id_).cast("long").alias(id_), "embedding")
+    return v.where(F.col(id_).isNotNull() & (F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull()))
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, of: np.ndarray, m: np.ndarray, metric: str, least: float | None) -> np.ndarray:
+    """Rounded similarities; -inf for a query's own id and for what is below least."""
+    s = np.round(similarity(metric, q, m), 6)
+    s[ids[:, None] == of[None]] = -np.inf
+    if least is not None:
+        s[s < least] = -np.inf
+    return s
+
+
+def _best_rows(ids: np.ndarray, best: scoring.Best) -> pa.RecordBatch:
+    question, (of,), value = best.rows()
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[question], of, value)], ["query_id", "vec_id", "score"])
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None, most: int = MOST_NUMBERS) -> DataFrame:
     """vectors(vec_id, embedding), queries(query_id, embedding): query_id, rank, vec_id, score; a query's own id takes no
-    part. The queries go to the executors in blocks of bounded size; each task keeps its best k of each query, and those
-    are merged. least: scores below it are left out, which may leave none."""
+    part. Vectors with a null, without an id or of other dimensions than most of the queries take none either. Each task keeps
+    its best k of each query, and those are merged. Queries of up to `most` numbers go to all tasks; more of them are blocks of
+    rows that meet the vectors' blocks in a join. least: scores below it are left out, which may leave none."""
+    sizes = queries.where("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    common = sizes.orderBy(F.desc("n"), "d").first()
+    dims = common.d if common else 1
+    data, asked = whole(vectors, dims), whole(queries, dims, "query_id").dropDuplicates(["query_id"])
     schema = "query_id long, vec_id long, score double"
+    if (common.n if common else 0) * dims > most:
+        return scoring.ranked(_joined_blocks(data, asked, dims, k, metric, least, schema), k, ["vec_id"])
+    rows = asked.orderBy("query_id").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), dims)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best, step = scoring.Best(len(ids), k, 1), max(1, min(ROWS, scoring.CELLS // max(1, len(ids))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                of = part.column(0).to_numpy()
+                best.add(_nearest(ids, q, of, _matrix(part.column(1), dims), metric, least), [of])
+        yield _best_rows(ids, best)
 
-    def search(ids: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return scoring.ranked(data.mapInArrow(run, schema), k, ["vec_id"])
+
+
+def _joined_blocks(data: DataFrame, asked: DataFrame, dims: int, k: int, metric: str, least: float | None, schema: str, spread: int = 64) -> DataFrame:
+    def blocks(rows: int, key: str):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    of = part.column(0).to_numpy()
-                    s = np.round(similarity(metric, q, _matrix(part.column(1))), 6)
-                    s[ids[:, None] == of[None]] = -np.inf
-                    if least is not None:
-                        s[s < least] = -np.inf
-                    rows = [(i, j) for i in range(len(ids)) for j in np.lexsort((of, -s[i]))[:k] if s[i, j] > -np.inf]
-                    i, j = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], of[j], s[i, j])], ["query_id", "vec_id", "score"])
-
-        return run
-
-    found, block = None, []
-    data = vectors.select("vec_id", "embedding")
-
-    def one(block: list) -> DataFrame:
-        return data.mapInArrow(search(np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], float)), schema)
-
-    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            found, block = (one(block) if found is None else found.unionByName(one(block))), []
-    if block or found is None:
-        found = one(block) if found is None else found.unionByName(one(block))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    held = part.column(0).to_numpy().astype("<i8").tobytes(), _matrix(part.column(1), dims).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], [f"{key}_ids", f"{key}_data"])
+
+        return pack
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, of = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
+                best = scoring.Best(len(ids), k, 1)
+                best.add(_nearest(ids, np.frombuffer(r["q_data"]).reshape(-1, dims), of, np.frombuffer(r["c_data"]).reshape(-1, dims), metric, least), [of])
+                yield _best_rows(ids, best)
+
+    rows = max(1, min(ROWS, (1 << 22) // dims))
+    c = data.mapInArrow(blocks(rows, "c"), "c_ids binary, c_data binary").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(spread)))
+    q = asked.mapInArrow(blocks(rows // 4 or 1, "q"), "q_ids binary, q_data binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("long"))
+    return c.join(q, "part").select("q_ids", "q_data", "c_ids", "c_data").mapInArrow(search, schema)
 
 
 def group_means(vectors: DataFrame, group: str) -> DataFrame:
@@ -110,30 +144,88 @@ def mmr(pool: DataFrame, vectors: DataFrame, k: int = 3, weight: float = 0.5) ->
     return with_vectors.groupBy("query_id").applyInPandas(choose, "query_id long, rank long, vec_id long, mmr double")
 
 
-def lsh_buckets(vectors: DataFrame, dims: int, planes: int, tables: int, seed: int = 7) -> DataFrame:
-    """vec_id, table, bucket: signs of random projections, a bucket in each of several tables."""
+def _sign_bits(m: np.ndarray, normals: np.ndarray, tables: int, planes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets by table, and how far each projection is from its plane."""
+    far = (m @ normals.T).reshape(-1, tables, planes)
+    return ((far > 0) * (1 << np.arange(planes))).sum(2), np.abs(far)
+
+
+def lsh_buckets(vectors: DataFrame, dims: int, planes: int, tables: int, probes: int = 0, seed: int = 7) -> DataFrame:
+    """vec_id, table, bucket: signs of random projections, a bucket in each of several tables; with probes, also the buckets
+    across the nearest planes, one plane each."""
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dims))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = (_matrix(batch.column(1), dims) @ normals.T > 0).reshape(-1, tables, planes)
-            bucket = (bits * (1 << np.arange(planes))).sum(2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables), len(bucket))), pa.array(bucket.ravel())], ["vec_id", "table", "bucket"])
+            bucket, far = _sign_bits(_matrix(batch.column(1), dims), normals, tables, planes)
+            near = np.argsort(far, axis=2)[:, :, :probes]
+            every = np.concatenate([bucket[:, :, None], bucket[:, :, None] ^ (1 << near)], axis=2)
+            many = tables * (probes + 1)
+            table = np.tile(np.repeat(np.arange(tables), probes + 1), len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(table), pa.array(every.ravel())], ["vec_id", "table", "bucket"])
+
+    return whole(vectors, dims).mapInArrow(assign, "vec_id long, table long, bucket long")
 
-    return vectors.select("vec_id", "embedding").mapInArrow(assign, "vec_id long, table long, bucket long")
+
+def lsh_candidates(vectors: DataFrame, queries: DataFrame, dims: int, planes: int = 8, tables: int = 24, probes: int = 3) -> DataFrame:
+    """query_id, vec_id of the pairs that share a bucket in some table; queries look into neighbouring buckets too."""
+    of = lsh_buckets(vectors, dims, planes, tables)
+    asked = lsh_buckets(queries.select(F.col("query_id").alias("vec_id"), "embedding"), dims, planes, tables, probes).withColumnRenamed("vec_id", "query_id")
+    return asked.join(of, ["table", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 3, tables: int = 14) -> DataFrame:
-    """Approximate nearest neighbours by cosine: candidates share a bucket with the query in some table."""
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 8, tables: int = 24, probes: int = 3) -> DataFrame:
+    """Approximate nearest neighbours by cosine among lsh_candidates()."""
     from loomtext.functions.vector import cosine
 
-    of = lsh_buckets(vectors, dims, planes, tables)
-    asked = lsh_buckets(queries.select(F.col("query_id").alias("vec_id"), "embedding"), dims, planes, tables).withColumnRenamed("vec_id", "query_id")
-    pairs = asked.join(of, ["table", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
+    pairs = lsh_candidates(vectors, queries, dims, planes, tables, probes)
     q, v = queries.select("query_id", F.col("embedding").alias("qe")), vectors.select("vec_id", "embedding")
-    scored = pairs.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.round(cosine("qe", "embedding"), 6).alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = pairs.join(v, "vec_id").join(small(q), "query_id").select("query_id", "vec_id", F.round(cosine("qe", "embedding"), 6).alias("score"))
+    return scoring.ranked(scored, k, ["vec_id"])
+
+
+def trained_cells(vectors: DataFrame, dims: int, cells: int, sample: int = 20_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Centres of a coarse quantizer: k-means of unit vectors on a sample of about `sample` rows, chosen by a hash of the id.
+    Only the sample reaches the driver; every row is indexed."""
+    rows = whole(vectors, dims)
+    n = rows.count()
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
+    m = np.array([r.embedding for r in chosen.orderBy("vec_id").collect()], float).reshape(-1, dims)
+    m /= np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    rng = np.random.default_rng(seed)
+    centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
+    for _ in range(rounds):
+        of = (m @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, m)
+        size = np.linalg.norm(sums, axis=1)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-300)[:, None], centres)
+    return centres
+
+
+def in_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1, id_: str = "vec_id") -> DataFrame:
+    """id, cell, embedding: the nearest centres of each row, `probes` of them."""
+    shared, dims = vectors.sparkSession.sparkContext.broadcast(centres), centres.shape[1]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.argsort(-(_matrix(batch.column(1), dims) @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            row = np.repeat(np.arange(batch.num_rows), near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(near.ravel().astype(np.int64)), batch.column(1).take(pa.array(row))], [id_, "cell", "embedding"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return whole(vectors, dims, id_).mapInArrow(assign, f"{id_} long, cell long, embedding {kind}")
+
+
+def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int) -> tuple[DataFrame, DataFrame]:
+    """Approximate nearest neighbours by cosine among the rows of each query's nearest cells; and (query_id, scored), how many
+    rows each query was compared with. Cells are joined by number; a task keeps the best k of a query in what it holds."""
+    from loomtext.functions.vector import cosine
+
+    asked = in_cells(queries, centres, probes, "query_id").withColumnRenamed("embedding", "qe")
+    pairs = in_cells(vectors, centres).join(small(asked), "cell").where("query_id <> vec_id")
+    scored = pairs.select("query_id", "vec_id", F.round(cosine("qe", "embedding"), 6).alias("score"))
+    return scoring.ranked(scored, k, ["vec_id"]), scored.groupBy("query_id").agg(F.count("*").alias("scored"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -189,6 +281,7 @@ def hashed_top(docs: DataFrame, questions: DataFrame, k: int, tokens: Callable[[
 def principal(vectors: DataFrame, dims: int, k: int = 2) -> DataFrame:
     """vec_id and k coordinates on the principal axes. The means and the d x d moments are aggregated by Spark; only they,
     whose size depends on the dimensions alone, reach the driver."""
+    vectors = whole(vectors, dims)
     spread = vectors.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     mean = np.zeros(dims)
     for r in spread.groupBy("i").agg(F.avg("x").alias("m")).collect():

@@ -128,23 +128,23 @@ def bm25_joined(docs: DataFrame, weights: DataFrame, mean_length: float, tokeniz
     return scored.where("score > 0") if positive_only else scored
 
 
-def overlap_top(docs: DataFrame, queries: DataFrame, k: int, by: str | None = None, ids: list[str] | None = None, text: str = "text", most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+def overlap_top(docs: DataFrame, queries: DataFrame, k: int, by: str | None = None, ids: list[str] | None = None, text: str = "text", tokenize: Callable[[str], Column] = tokens, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
     """How many of the query's tokens, repeats included, a document holds: query_id, rank, ids, score (and `by`), in each
     group `by`. ids: the columns that name a document."""
     ids = ids or ["doc_id"]
-    asked = query_terms(queries)
+    asked = query_terms(queries, tokenize)
     if not is_small(asked, most):
-        found = overlap(docs.select(*ids, F.col(text).alias("text"), *([by] if by else [])), queries, [*ids, *([by] if by else [])])
+        found = overlap(docs.select(*ids, F.col(text).alias("text"), *([by] if by else [])), queries, [*ids, *([by] if by else [])], tokenize)
         return scoring.ranked(found, k, ids, [by] if by else None)
     model = scoring.Model.of(asked.collect())
-    return scoring.search(docs, tokens(text), Overlap(model), model.ids, k, ids, by)
+    return scoring.search(docs, tokenize(text), Overlap(model), model.ids, k, ids, by)
 
 
-def overlap(docs: DataFrame, queries: DataFrame, ids: list[str] | None = None) -> DataFrame:
+def overlap(docs: DataFrame, queries: DataFrame, ids: list[str] | None = None, tokenize: Callable[[str], Column] = tokens) -> DataFrame:
     """The same of all documents that share a token, by a join: query_id, ids, score."""
     ids = ids or ["doc_id"]
-    held = docs.select(*ids, F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    return held.join(query_terms(queries), "term").groupBy("query_id", *ids).agg(F.sum("qtf").cast("double").alias("score"))
+    held = docs.select(*ids, F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    return held.join(query_terms(queries, tokenize), "term").groupBy("query_id", *ids).agg(F.sum("qtf").cast("double").alias("score"))
 
 
 def bow_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scoring.MOST_WEIGHTS) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Suffixes that are read, and how (fixed values).
 FORMATS = {"txt": "text", "md": "text", "csv": "rows", "json": "flat"}
@@ -19,7 +20,8 @@ def whole_files(spark: SparkSession, folder: str) -> DataFrame:
     suffixes = ",".join(FORMATS)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{suffixes}}}").format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    text = F.btrim(F.decode(F.col("content"), "UTF-8"), F.lit(" \t\r\n"))
+    # Bytes that are no text become the replacement character, which is taken out.
+    text = F.btrim(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")), F.lit(" \t\r\n"))
     return files.select(name.alias("source"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("format"), text.alias("text")).where("text <> ''")
 
 
@@ -47,16 +49,70 @@ def json_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(one)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def csv_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The rows of CSV texts below their headers, fields joined by commas; rows without anything in them are left out. Quoted
+    fields may hold commas and line ends."""
+    import csv
+    import io
+
+    for texts in batches:
+        yield texts.map(lambda t: [",".join(r) for r in list(csv.reader(io.StringIO(t or "")))[1:] if any(x.strip() for x in r)])
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """source, format, block, text: a block for each row of a CSV file (without its header, fields joined by commas, blank
     rows dropped), one for any other file."""
     files = whole_files(spark, folder)
-    lines = F.filter(F.slice(F.split("text", "\r?\n"), 2, 1 << 30), lambda x: F.btrim(F.replace(x, F.lit(","), F.lit(""))) != "")
-    rows = files.where("format = 'csv'").select("source", "format", F.posexplode(lines).alias("block", "text"))
+    rows = files.where("format = 'csv'").select("source", "format", F.posexplode(csv_rows("text")).alias("block", "text"))
     rest = files.where("format <> 'csv'").select("source", "format", F.lit(0).alias("block"), F.when(F.col("format") == "json", json_lines("text")).otherwise(F.col("text")).alias("text"))
     return rows.unionByName(rest)
 
 
+def ensured(spark: SparkSession, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a JSON folder; built and written first if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        build().write.json(folder)
+    return spark.read.json(folder)
+
+
+def eval_set(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """question, ground_truth, contexts of a file that holds one JSON array; the first `limit` of them."""
+    rows = spark.read.schema("question string, ground_truth string, contexts array<string>").option("multiLine", True).json(path)
+    return rows.limit(limit) if limit is not None else rows
+
+
+def built_eval_set(sections: DataFrame, cases: DataFrame) -> DataFrame:
+    """sections(source, header, chunk), cases(question, ground_truth, picks array<struct<source, header>>): question,
+    ground_truth, contexts, the chunks of the picked sections in the order of the picks. Picks without a section give none."""
+    picks = cases.select("question", "ground_truth", F.posexplode_outer("picks").alias("at", "pick"))
+    found = picks.join(sections, (F.col("pick.source") == F.col("source")) & (F.col("pick.header") == F.col("header")), "left")
+    held = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("at", "chunk"))))
+    return found.groupBy("question", "ground_truth").agg(F.transform(held, lambda x: x["chunk"]).alias("contexts"))
+
+
+def write_sidecar(chunks: DataFrame, folder: str) -> None:
+    """All chunks, with an id each, beside an index."""
+    chunks.write.mode("overwrite").json(folder)
+
+
+def sidecar(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The chunks of a sidecar, to be joined by id."""
+    return spark.read.schema(schema).json(folder)
+
+
+def numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """documents() with ids doc-0, doc-1, ... in the order of sources and blocks. Files are counted by source, so that only
+    the list of sources is put in one order."""
+    rows = documents(spark, folder)
+    order = W.orderBy("source", "format").rowsBetween(W.unboundedPreceding, -1)
+    first = rows.groupBy("source", "format").agg(F.count("*").alias("n")).select("source", "format", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
+    within = W.partitionBy("source", "format").orderBy("block", "text")
+    number = F.col("first") + F.row_number().over(within) - 1
+    return rows.join(first, ["source", "format"]).select(F.concat(F.lit("doc-"), number.cast("string")).alias("id"), "source", "format", "block", "text")
+
+
 def golden_set(spark: SparkSession, path: str) -> DataFrame:
     """question, contexts, answer, reference of a file with a JSON object on each line; blank lines are skipped."""
     return spark.read.schema("question string, contexts array<string>, answer string, reference_answer string").json(path).where("question is not null")
@@ -73,5 +129,13 @@ def write_report(scores: DataFrame, folder: str) -> None:
     scores.groupBy("metric").agg(F.round(F.avg("score"), 4).alias("mean"), F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(folder)
 
 
+def write_markdown(scores: DataFrame, folder: str) -> None:
+    """The same means as a Markdown table."""
+    means = scores.groupBy("metric").agg(F.round(F.avg("score"), 4).alias("mean"), F.count("*").alias("n"))
+    row = F.format_string("| %s | %s | %d |", "metric", F.col("mean").cast("string"), "n")
+    lines = F.concat(F.array(F.lit("| metric | mean | n |"), F.lit("|-|-|-|")), F.transform(F.array_sort(F.collect_list(F.struct("metric", row.alias("line")))), lambda x: x["line"]))
+    means.agg(F.array_join(lines, "\n").alias("value")).coalesce(1).write.mode("overwrite").text(folder)  # a row for each metric
+
+
 def append_trace(records: DataFrame, folder: str) -> None:
     records.write.mode("append").json(folder)

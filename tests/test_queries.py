@@ -99,8 +99,3 @@ def test_lsh_recall_and_pca(spark):
     v = np.array([r.embedding for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()], float)
     s = np.linalg.svd(v - v.mean(0), compute_uv=False)
     assert np.allclose(np.sqrt((p**2).sum(0)), s[:2], rtol=1e-4)
-
-
-@pytest.mark.parametrize("name", ["chunk_semantic", "chunk_header_sections", "semantic_cache_replay"])
-def test_has_rows(spark, name):
-    assert catalog.queries()[name](spark, SMALL).count() > 0
