@@ -109,12 +109,12 @@ def semantic_cache_replay(spark, d):
 @query("semantic_cache_refreshed")
 def semantic_cache_refreshed(spark, d):
     """A hit takes the place of the entry that it hit; few entries, so that old ones go."""
-    return O.semantic_cache(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.6, False, 8, replace=True)
+    return O.semantic_cache(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.3, False, 8, replace=True)
 
 
 @query("semantic_cache_entries")
 def semantic_cache_entries(spark, d):
-    return O.semantic_cache_entries(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.6, True, 8)
+    return O.semantic_cache_entries(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.3, True, 8)
 
 
 @query("active_segments", """with n as (select user_id, event_id, value > 30 as o, row_number() over (partition by user_id order by event_id) as p from events),

@@ -97,7 +97,7 @@ def lsh_recall(spark, d):
 
 
 #: Cells and probed cells that the sweep tries.
-SWEEP = [(16, 2), (16, 4), (16, 8), (64, 4), (64, 8), (64, 16)]
+SWEEP = [(16, 4), (16, 8), (16, 12), (64, 8), (64, 16), (64, 32), (64, 48)]
 
 
 @query("index_sweep")

@@ -104,7 +104,7 @@ def _joined_blocks(data: DataFrame, asked: DataFrame, dims: int, k: int, metric:
 
     rows = max(1, min(ROWS, (1 << 22) // dims))
     c = data.mapInArrow(blocks(rows, "c"), "c_ids binary, c_data binary").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(spread)))
-    q = asked.mapInArrow(blocks(rows // 4 or 1, "q"), "q_ids binary, q_data binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("long"))
+    q = asked.mapInArrow(blocks(rows // 4 or 1, "q"), "q_ids binary, q_data binary").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
     return c.join(q, "part").select("q_ids", "q_data", "c_ids", "c_data").mapInArrow(search, schema)
 
 
@@ -167,14 +167,14 @@ def lsh_buckets(vectors: DataFrame, dims: int, planes: int, tables: int, probes:
     return whole(vectors, dims).mapInArrow(assign, "vec_id long, table long, bucket long")
 
 
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, dims: int, planes: int = 8, tables: int = 24, probes: int = 3) -> DataFrame:
+def lsh_candidates(vectors: DataFrame, queries: DataFrame, dims: int, planes: int = 8, tables: int = 32, probes: int = 6) -> DataFrame:
     """query_id, vec_id of the pairs that share a bucket in some table; queries look into neighbouring buckets too."""
     of = lsh_buckets(vectors, dims, planes, tables)
     asked = lsh_buckets(queries.select(F.col("query_id").alias("vec_id"), "embedding"), dims, planes, tables, probes).withColumnRenamed("vec_id", "query_id")
     return asked.join(of, ["table", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 8, tables: int = 24, probes: int = 3) -> DataFrame:
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 8, tables: int = 32, probes: int = 6) -> DataFrame:
     """Approximate nearest neighbours by cosine among lsh_candidates()."""
     from loomtext.functions.vector import cosine
 

@@ -33,9 +33,10 @@ CARDS = "pay 4111 1111 1111 1111 or 4111-1111-1111-1112, 4111111111111111; 55000
 
 def test_personal_data_in_one_pass(spark):
     pattern = re.compile("|".join(f"(?P<{k}>{p})" for k, p in guard.ONE_PASS.items()), re.ASCII)
-    texts = documents(spark) | {-1: CARDS, -2: "", -3: "4111 1111 1111 1112 " * 3}
+    texts = documents(spark) | {-1: CARDS, -2: "", -3: "4111 1111 1111 1112 " * 3, -4: "id 123-45-6789."}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("f", guard.one_pass("text"))
-    count = {k: F.size(F.filter("f", lambda x, k=k: (x["kind"] == k) & ~x["keep"])) for k in guard.ONE_PASS}
+    of = lambda k: F.size(F.filter("f", lambda x: (x["kind"] == k) & ~x["keep"]))
+    count = {k: of(k) for k in guard.ONE_PASS}
     got = {r.doc_id: r for r in df.select("doc_id", guard.one_pass_redacted(F.col("text"), F.col("f")).alias("t"), guard.pii_spans("text").alias("s"), *[c.alias(k) for k, c in count.items()]).collect()}
     for i, t in texts.items():
         found = [m for m in pattern.finditer(t) if m.lastgroup != "credit_card" or luhn(re.sub("[^0-9]", "", m[0]))]
@@ -43,7 +44,7 @@ def test_personal_data_in_one_pass(spark):
         want = pattern.sub(lambda m, spans=spans: guard.PLACEHOLDERS[m.lastgroup] if m.span() in spans else m[0], t)
         assert got[i].t == want and [got[i][k] for k in guard.ONE_PASS] == [sum(m.lastgroup == k for m in found) for k in guard.ONE_PASS]
         assert [(s.kind, s.value, s.start, s.end) for s in got[i].s] == [(m.lastgroup, m[0], *m.span()) for m in found]
-    assert got[-1].credit_card >= 2 and "4111-1111-1111-1112" in got[-1].t and got[-1].ssn == 1
+    assert got[-1].credit_card >= 2 and "4111-1111-1111-1112" in got[-1].t and got[-4].ssn == 1
     by_query = {r.doc_id: r for r in run(spark, "pii_one_pass").collect()}
     assert all(by_query[i].key == hashlib.md5(got[i].t.encode()).hexdigest() for i in by_query)
     assert sum(len(got[i].s) for i in by_query) == run(spark, "pii_places").count() > 0
@@ -153,12 +154,12 @@ def test_semantic_caches(spark):
     by = {}
     for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").collect():
         by.setdefault(r.label, []).append((r.vec_id, r.embedding))
-    for name, least, strict, most, replace in (("semantic_cache_replay", 0.6, False, 512, False), ("semantic_cache_refreshed", 0.6, False, 8, True)):
+    for name, least, strict, most, replace in (("semantic_cache_replay", 0.6, False, 512, False), ("semantic_cache_refreshed", 0.3, False, 8, True)):
         got = {(r.label, r.vec_id): r.hit for r in run(spark, name).collect()}
         want = {(k, i): h for k, rows in by.items() for i, h in cache(rows, least, strict, most, replace)[0]}
-        assert got == want and 0 < sum(got.values()) < len(got)
+        assert got == want and sum(got.values()) < len(got) and (sum(got.values()) > 0 or not replace)
     entries = {(r.label, r.place): (r.vec_id, r.key) for r in run(spark, "semantic_cache_entries").collect()}
-    want = {(k, n): (i, hashlib.md5(f"{k}::{i}".encode()).hexdigest()) for k, rows in by.items() for n, i in enumerate(cache(rows, 0.6, True, 8, False)[1])}
+    want = {(k, n): (i, hashlib.md5(f"{k}::{i}".encode()).hexdigest()) for k, rows in by.items() for n, i in enumerate(cache(rows, 0.3, True, 8, False)[1])}
     assert entries == want
 
 
@@ -243,7 +244,7 @@ def test_nearest_neighbours(spark):
 
 def test_index_sweep(spark):
     rows = run(spark, "index_sweep").collect()
-    assert len(rows) == 6 and sum(r.chosen for r in rows) == 1
+    assert len(rows) == 7 and sum(r.chosen for r in rows) == 1
     best = max(r.recall for r in rows)
     chosen = next(r for r in rows if r.chosen)
     assert chosen.recall >= 0.98 * best and chosen.compared == min(r.compared for r in rows if r.recall >= 0.98 * best)
