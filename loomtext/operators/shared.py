@@ -46,5 +46,7 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 
 
 def file_row() -> Column:
-    """A key of each row of a table that is read from Parquet files: the file and the row's number there."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """A key of each row of a table that is read from Parquet files: the file, by 96 bits of hashes of its path, and the row's
+    number there."""
+    path = F.col("_metadata.file_path")
+    return F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("check"), F.col("_metadata.row_index").alias("row"))
