@@ -188,7 +188,7 @@ def resharded(docs: DataFrame, old_shard: Column, new_shards: int, folder: str,
     rows = keyed.select("key", "held").join(placement.select("key", "old_shard", "shard", "slot", F.col("shard").isin(changed).alias("changes")), "key")
     out = rows.where("changes").select("held.*", "old_shard", "slot", "shard")
     file = F.floor(F.col("slot") / BLOCK_ROWS)
-    out.repartition("shard", file).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    out.repartition("shard", file).sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     untouched = rows.where("not changes") if set(range(new_shards)) - set(changed) else rows.limit(0)
     return spark.read.schema(out.schema).parquet(folder), untouched.select("held.*", "old_shard", "slot", "shard")
 
