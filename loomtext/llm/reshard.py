@@ -134,7 +134,7 @@ def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS, key
     per_shard = max(LEAST_BLOCKS, -(-blocks // max(1, len(old))))
     block = F.pmod(F.xxhash64("key"), F.lit(per_shard)).cast("int")
     within = W.partitionBy("old_shard", "block").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    ordered = saved(rows.withColumn("block", block).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))))
+    ordered = saved(rows.withColumn("block", block).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).drop("key"))
     sums = ordered.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
     begins = sums.select("old_shard", "block", (F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block")) - F.col("bytes")).alias("begins"))
     at = F.col("begins") + F.col("before")
