@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, langid, lattice, licenses, packing, reshard, secrets, simhash, tokencount, topk
+from loomtext.llm import decontaminate, langid, lattice, licenses, packing, reshard, secrets, simhash, substrings, tokencount, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.query,
         "op9_reshard": reshard.query,
         "op10_licenses": licenses.query,
+        "op13_substrings": substrings.query,
         "packed_conversations": packing.conversations_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": topk.SQL}
+    return {"op8_topk": topk.SQL, "op13_substrings": substrings.SQL}
