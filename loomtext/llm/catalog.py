@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, langid, lattice, licenses, packing, reshard, secrets, simhash, substrings, tokencount, topk, whitening
+from loomtext.llm import decontaminate, langid, lattice, licenses, packing, prefixtrie, reshard, secrets, simhash, substrings, tokencount, topk, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.query,
         "op9_reshard": reshard.query,
         "op10_licenses": licenses.query,
+        "op11_prefix_trie": prefixtrie.query,
         "op12_whitening": whitening.query,
         "op13_substrings": substrings.query,
         "packed_conversations": packing.conversations_query,
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": topk.SQL, "op13_substrings": substrings.SQL}
+    return {"op8_topk": topk.SQL, "op11_prefix_trie": prefixtrie.SQL, "op13_substrings": substrings.SQL}
