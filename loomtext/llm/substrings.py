@@ -7,8 +7,9 @@ anchors and looked for elsewhere; around the anchors that occur again the window
 same way.
 
 What occurs again is found in buckets of hashes. A task first settles what repeats inside itself: of each hash it sends one
-witness, so that a passage that a third of all documents share is as many rows of its bucket as there are tasks. Hashes travel
-as packed arrays, a row for each task and bucket; buckets are as many as the text asks for.
+witness, so that a passage that a third of all documents share is as many rows of its bucket as there are tasks. Hashes,
+places and texts travel in packed and compressed rows: hashes by task and bucket, places by pages of rows of a file, texts as
+parts of such pages.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,27 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Odd multipliers of the two lanes of hashes (fixed values); 1 less has few factors of two.
 LANES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
 #: Bytes of text that a step looks at, entries that a task holds before it sends them, entries of a bucket on average, words
-#: whose hashes a worker remembers, bytes that a word takes on average, tasks that buckets are dealt to at most.
-STEP_BYTES, HELD, BUCKET, WORDS, WORD_BYTES, MOST_TASKS = 1 << 20, 1 << 20, 1 << 18, 1 << 17, 6, 100_000
+#: whose hashes a worker remembers, bytes that a word takes on average, tasks that buckets are dealt to at most, bits of a
+#: row's number in its page.
+STEP_BYTES, HELD, BUCKET, WORDS, WORD_BYTES, MOST_TASKS, PAGE = 1 << 20, 1 << 20, 1 << 19, 1 << 17, 6, 100_000, 10
 
 _BLANK = re.compile(rb"[ \t-\r]")
-_KEY = "file long, check int, row long"
-#: Of a task and a bucket: files, by two hashes of each; of each witness its hashes, file (a number in this list), row, place
-#: and whether the task holds its hashes twice; of each other entry its file, row and place.
-_PACKED = "bucket int, files binary, checks binary, first binary, second binary, file binary, row binary, at binary, twice binary, known_file binary, known_row binary, known_at binary"
+_KEY = "file long, check int, page long"
+#: Of a task and a bucket: files, by two hashes of each; of each witness its hashes (48 bits of the first, beside those that
+#: say the bucket), file (a number in this list), row and place, and whether the task holds its hashes twice; of each other
+#: entry its file, row and place.
+_PACKED = "bucket int, files binary, checks binary, first binary, second binary, witnesses binary, twice binary, others binary"
+
+
+def _tight(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers of one length, compressed by planes of bytes."""
+    planes = np.stack([x.astype("<u4", copy=False) for x in arrays]).view(np.uint8).reshape(len(arrays), -1, 4)
+    return zstandard.ZstdCompressor(level=1).compress(planes.transpose(0, 2, 1).tobytes()) if planes.size else b""
+
+
+def _loose(packed: bytes, arrays: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed) if packed else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(arrays, 4, -1).transpose(0, 2, 1)).view("<u4").reshape(arrays, -1)
 
 
 class WordHashes:
@@ -136,42 +151,44 @@ class _Sender:
         known = np.array(list(self.files), [("file", "<i8"), ("check", "<i4")])
         self.files, self.entries, self.size = {}, [], 0
         order = np.lexsort(hashes[::-1])
-        hashes, file, row, at = [h[order] for h in hashes], file[order], row[order], at[order]
-        same = np.ones(len(order) - 1, bool)
-        for h in hashes:
-            same &= h[1:] == h[:-1]
-        head = np.append(True, ~same)
-        twice = head & np.append(same, False)
+        same = _same(hashes, order)
         # The first of equal entries goes as their witness, the others as places that are known to occur again.
+        head, twice = np.empty(len(order), bool), np.empty(len(order), bool)
+        head[order], twice[order] = np.append(True, ~same), np.append(same, False)
         cell = (hashes[0] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
-        cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist()
+        order = np.argsort(cell, kind="stable")  # rows and places stay in order
+        cell, cuts = cell[order], np.flatnonzero(np.diff(cell[order], prepend=np.uint64(1 << 63)))
         rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(cell)], strict=True):
-            here, number = np.unique(file[a:b], return_inverse=True)
-            number, h = number.astype(np.uint32), head[a:b]
-            packed = [x[a:b][h].tobytes() for x in hashes] + [b""] * (2 - len(hashes))
-            witness = [x[h].tobytes() for x in (number, row[a:b], at[a:b])]
-            others = [x[~h].tobytes() for x in (number, row[a:b], at[a:b])]
-            rows.append((int(cell[a]), known["file"][here].tobytes(), known["check"][here].tobytes(), *packed, *witness, np.packbits(twice[a:b][h]).tobytes(), *others))
-        names = [x.split()[0] for x in _PACKED.split(", ")]
+        for own in np.split(order, cuts[1:]):
+            here, number = np.unique(file[own], return_inverse=True)
+            number, h = number.astype(np.uint32), head[own]
+            w = own[h]
+            packed = [hashes[0][w].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), hashes[1][w].tobytes() if len(hashes) > 1 else b""]
+            place = [_tight(number[k], np.diff(row[own][k], prepend=np.uint32(0)), at[own][k]) for k in (h, ~h)]
+            rows.append((known["file"][here].tobytes(), known["check"][here].tobytes(), *packed, place[0], np.packbits(twice[w]).tobytes(), place[1]))
+        buckets, names = cell[cuts].tolist(), [x.split()[0] for x in _PACKED.split(", ")]
         for i in range(0, len(rows), 256):
             columns = zip(*rows[i : i + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[i : i + 256], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names)
 
 
-def _places(lists: list[bytes] | None) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.uint32) for x in lists or [b""]]).astype(np.int64)
+def _same(hashes: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Whether each entry but the first, in this order, equals the one before."""
+    same = np.ones(max(0, len(order) - 1), bool)
+    for h in hashes:
+        h = h[order]
+        same &= h[1:] == h[:-1]
+    return same
 
 
 def _hashed(window: int, buckets: int, around: bool):
-    """Rows (file, check, row, text[, places]) to packed entries: anchors or, around places of anchors, windows."""
+    """Rows (file, check, row, text) to packed entries of anchors; or parts of pages and places of anchors (file, check, blob,
+    places) to packed entries of the windows around these."""
     length = window if around else window - PERIOD + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, of_runs, sender = WordHashes(), Runs(), _Sender(buckets)
-        for batch in pieces(batches, 3, STEP_BYTES):
-            files, checks, rows, texts = (batch.column(i).to_pylist() for i in range(4))
-            held = batch.column(4).to_pylist() if around else [None] * len(rows)
+        for files, checks, rows, texts, held in (_page_texts if around else _plain_texts)(batches):
             parts, wanted, first = [], [], 0
             several: list[bytes] = []
             for i, text in enumerate(texts):
@@ -182,7 +199,7 @@ def _hashed(window: int, buckets: int, around: bool):
                     if len(several) > WORDS:
                         parts.append(of_words.of(several))
                         several = []
-                at = windows(_places(held[i]), n, window) if around else anchors(n, window)
+                at = windows(held[i], n, window) if around else anchors(n, window)
                 if len(at):
                     wanted.append((i, first, at))
                 first += n
@@ -203,61 +220,116 @@ def _hashed(window: int, buckets: int, around: bool):
     return scan
 
 
-def _found(file: np.ndarray, check: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(file, check, row, places) of places, a row for each document."""
-    if not len(at):
-        return
-    order = np.lexsort((row, check, file))
-    file, check, row, at = file[order], check[order], row[order], at[order]
-    cuts = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (check[1:] != check[:-1]) | (row[1:] != row[:-1])))
-    offsets = pa.array(np.append(cuts, len(at)).astype(np.int32) * 4)
-    places = pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, offsets.buffers()[1], pa.py_buffer(at.tobytes())])
-    whole = pa.RecordBatch.from_arrays([pa.array(file[cuts]), pa.array(check[cuts]), pa.array(row[cuts].astype(np.int64)), places], ["file", "check", "row", "places"])
-    for i in range(0, len(cuts), 4096):
-        yield whole.slice(i, 4096)
-
-
-def _settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    first, second, file, check, row, at, again = (np.concatenate(x) for x in zip(*held, strict=True))
-    hashes = [first, second] if len(second) else [first]
-    order = np.lexsort(hashes[::-1])
-    same = np.ones(len(order) - 1, bool)
-    for h in hashes:
-        h = h[order]
-        same &= h[1:] == h[:-1]
-    pick = order[again[order] | np.append(False, same) | np.append(same, False)]
-    yield from _found(file[pick], check[pick], row[pick], at[pick])
+def _plain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in pieces(batches, 3, STEP_BYTES):
+        yield *(batch.column(i).to_pylist() for i in range(4)), None
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for file, check, part, places in _opened(batches):
+        has = [i for i, x in enumerate(places) if len(x)]
+        if has:
+            part = part.take(pa.array(has))
+            yield [file] * len(has), [check] * len(has), part.column("row").to_pylist(), part.column("text").to_pylist(), [places[i] for i in has]
+
+
+def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, check, row, text[, held]) to (file, check, page, blob): parts of pages of up to about STEP_BYTES, compressed."""
+    how = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in pieces(batches, 3, STEP_BYTES):
+        place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (r >> PAGE for r in batch.column(2).to_pylist()), strict=True))
+        cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(a, b - a).select(batch.schema.names[2:])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=how) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([place[a][0]], pa.int64()), pa.array([place[a][1]], pa.int32()), pa.array([place[a][2]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["file", "check", "page", "blob"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(file, check, blob, places) to file, check, the part of a page (row, text, ...) and the places in each of its texts."""
+    for batch in batches:
+        for file, check, blob, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            part = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+            row, at = np.concatenate([_loose(x, 2) for x in lists or [b""]], axis=1)
+            order = np.lexsort((at, row))
+            row, at = row[order], at[order].astype(np.int64)
+            own = part.column(0).to_numpy() & ((1 << PAGE) - 1)
+            yield file, check, part, [at[a:b] for a, b in zip(np.searchsorted(row, own), np.searchsorted(row, own, "right"), strict=True)]
+
+
+class _Found:
+    """Places that occur again, sent by pages."""
+
+    def __init__(self):
+        self.entries, self.size = [], 0
+
+    def add(self, file: np.ndarray, check: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            self.entries.append((file, check, row, at))
+            self.size += len(at)
+        if self.size > HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        file, check, row, at = (np.concatenate(x) for x in zip(*self.entries, strict=True))
+        self.entries, self.size = [], 0
+        order = np.lexsort((at, row, check, file))
+        file, check, row, at = file[order], check[order], row[order], at[order]
+        page, local = (row >> np.uint32(PAGE)).astype(np.int64), row & np.uint32((1 << PAGE) - 1)
+        cuts = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (check[1:] != check[:-1]) | (page[1:] != page[:-1])))
+        packed = [_tight(r, a) for r, a in zip(np.split(local, cuts[1:]), np.split(at, cuts[1:]), strict=True)]
+        whole = pa.RecordBatch.from_arrays([pa.array(file[cuts]), pa.array(check[cuts]), pa.array(page[cuts]), pa.array(packed, pa.binary())], ["file", "check", "page", "places"])
+        for i in range(0, len(cuts), 1024):
+            yield whole.slice(i, 1024)
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed entries of whole buckets, one bucket after the other, to (file, check, row, places) of those that occur again."""
-    now, held = None, []
+    """Packed entries of whole buckets, one bucket after the other, to (file, check, page, places) of those that occur again."""
+    now, held, found = None, [], _Found()
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        first, second, file, check, row, at, again = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes = [first, second] if len(second) else [first]
+        order = np.lexsort(hashes[::-1])
+        same = _same(hashes, order)
+        pick = order[again[order] | np.append(False, same) | np.append(same, False)]
+        held.clear()
+        yield from found.add(file[pick], check[pick], row[pick], at[pick])
+
     for batch in batches:
-        for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, files, checks, first, second, witnesses, twice, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now and held:
-                yield from _settled(held)
-                held = []
+                yield from settled()
             now = bucket
-            kinds = ("<i8", "<i4", "<u8", "<u4", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
-            files, checks, first, second, file, row, at, twice, known_file, known_row, known_at = (np.frombuffer(x, k) for x, k in zip(packed, kinds, strict=True))
-            held.append((first, second, files[file], checks[file], row, at, np.unpackbits(twice, count=len(at)).astype(bool)))
-            yield from _found(files[known_file], checks[known_file], known_row, known_at)
+            files, checks = np.frombuffer(files, "<i8"), np.frombuffer(checks, "<i4")
+            places = []
+            for packed in (witnesses, others):
+                file, row, at = _loose(packed, 3)
+                places.append((files[file], checks[file], np.cumsum(row, dtype=np.uint32), at))
+            hashes = np.zeros((len(first) // 6, 8), np.uint8)
+            hashes[:, :6] = np.frombuffer(first, np.uint8).reshape(-1, 6)
+            held.append((hashes.view("<u8").ravel(), np.frombuffer(second, "<u4"), *places[0], np.unpackbits(np.frombuffer(twice, np.uint8), count=len(hashes)).astype(bool)))
+            yield from found.add(*places[1])
     if held:
-        yield from _settled(held)
+        yield from settled()
+    yield from found.flush()
 
 
 def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
-    """(file, check, row, places): for each document the places whose hashes occur at another place too."""
+    """(file, check, page, places): for each page of rows packed lists of rows and places whose hashes occur at another place too."""
     dealt = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_again, f"{_KEY}, places binary").groupBy("file", "check", "row").agg(F.collect_list("places").alias("places"))
+    return dealt.mapInArrow(_again, f"{_KEY}, places binary").groupBy("file", "check", "page").agg(F.collect_list("places").alias("places"))
 
 
 def _kept(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1, STEP_BYTES):
+        for _, _, part, places in _opened(batches):
             out = []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at = _places(places)
+            for text, at in zip(part.column("text").to_pylist(), places, strict=True):
                 n, left, kept = 0, 0, []
                 marks = np.zeros(int(at.max(initial=-window)) + window + 1, np.int32)
                 np.add.at(marks, at, 1)
@@ -273,29 +345,32 @@ def _kept(window: int):
                         left += len(words)
                 out.append((n, n - left, b" ".join(kept)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["held", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("held"), *columns], ["held", "n_words", "n_removed", "kept"])
 
     return scan
 
 
-def repeated_windows(docs: DataFrame, key: Column, window: int = WINDOW) -> DataFrame:
-    """docs(text), key: a struct (file, check, row) that no two rows share and that a second reading gives again. Returns
-    (file, check, row, places): lists of packed 32-bit numbers of the words at which windows begin whose words begin anywhere
-    else too, of each row that has such windows."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """rows(file, check, row, text as binary), keys that no two rows share and that a second reading gives again. Returns
+    (file, check, page, places): for pages of 2^PAGE rows packed lists of rows and numbers of words, of the windows whose words
+    begin anywhere else too."""
     if window < PERIOD:
         raise ValueError(f"windows have {PERIOD} words at least")
-    spark = docs.sparkSession
-    texts = docs.select(key.alias("key"), utf8("text").alias("text")).select("key.*", "text")
+    texts = rows.select("file", "check", "row", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Text of one-letter words has three times the usual words, and so three times the usual entries in a bucket.
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = lambda share: max(least, int(total * share / WORD_BYTES / BUCKET) + 1)
     few, many = buckets(len(COVER) / PERIOD), buckets(1)
     places = saved(_repeated(texts.mapInArrow(_hashed(window, few, False), _PACKED), few))
-    around = texts.join(places, ["file", "check", "row"]).select("file", "check", "row", "text", "places")
+    around = _pages(texts).join(places, ["file", "check", "page"]).select("file", "check", "blob", "places")
     return saved(_repeated(around.mapInArrow(_hashed(window, many, True), _PACKED), many))
 
 
+def _pages(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_paged, f"{_KEY}, blob binary")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, key: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """docs(text, any more columns). The same rows and columns, and n_words, n_removed and kept: the text's words without
     those in windows of `window` words that also begin anywhere else, in the same row too, joined by single blanks.
@@ -312,9 +387,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: Column | None =
     rows = docs.select(held, utf8("text").alias("text"), (own if key is None else key).alias("key"))
     if key is None:
         rows = saved(rows)
-    places = repeated_windows(rows, F.col("key"), window)
-    both = rows.select("held", "text", "key.*").join(places, ["file", "check", "row"], "left").select("held", "text", "places")
-    out = both.mapInArrow(_kept(window), f"held {both.schema['held'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
+    rows = rows.select("key.*", "text", "held")
+    places = repeated_windows(rows, window)
+    both = _pages(rows.select("file", "check", "row", "text", "held")).join(places, ["file", "check", "page"], "left").select("file", "check", "blob", "places")
+    out = both.mapInArrow(_kept(window), f"held {rows.schema['held'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
     taken, new = list(columns), []
     for name, column in (("n_words", F.col("n_words")), ("n_removed", F.col("n_removed")), ("kept", F.col("kept").cast("string"))):
         while name in taken:
