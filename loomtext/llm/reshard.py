@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import file_row, saved, shared_folder, table, utf8
+from loomtext.llm.common import file_row, saved, shared_folder, small, table, utf8
 
-#: Shards before and after, for the query; rows of a block on average; least blocks of
+#: Shards before and after, for the query; rows and bytes of a block on average; least blocks of
 #: an old shard; bytes that each row takes beside its text.
-OLD, NEW, BLOCK_ROWS, LEAST_BLOCKS, ROW_BYTES = 32, 40, 20_000, 8, 16
+OLD, NEW, BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS, ROW_BYTES = 32, 40, 4000, 64 << 20, 8, 16
 
 
 @dataclass
@@ -107,18 +107,58 @@ def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS, key
 
     key: a column that no two rows share and that a second reading gives again; without one, the rows are saved with a key
     first. An old shard's number that is also a new one's keeps its bytes for nothing; a row without an old shard moves.
-    Null ids and repeated rows are placed like any other. More columns, of any name and type, come out as they are, but for
+    Null ids and repeated rows are placed like any other, rows of no size as if of one byte. More columns, of any name and type, come out as they are, but for
     those called `shard` or `slot`: an underscore is added to their names. No rows, no result. On the driver are the old and
     new shards' sizes only."""
     names = _renamed(rows.columns, ("shard", "slot"))
     held = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=True)]).alias("row")
-    old_shard = F.coalesce(F.col("old_shard").cast("int"), F.lit(-1)).alias("old_shard")
-    rows = rows.select(held, F.col("size").cast("long").alias("size"), old_shard, (F.col(f"`{key}`") if key else F.monotonically_increasing_id()).alias("key"))
+    rows = rows.select(held, _weight(F.col("size")), _shard_of("old_shard"), (F.col(f"`{key}`") if key else F.monotonically_increasing_id()).alias("key"))
     if not key:
         rows = saved(rows)
+    return _layout(rows, new_shards, block_rows).placed(rows).select("row.*", "shard", "slot")
+
+
+def _shard_of(column: str | Column) -> Column:
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("int"), F.lit(-1)).alias("old_shard")
+
+
+def _weight(size: Column) -> Column:
+    """Rows without a size or of less than one byte take one, so that each has a place on its shard's line."""
+    return F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(1)).alias("size")
+
+
+@dataclass
+class Layout:
+    """Where the rows of each old shard's blocks go. cuts(old_shard, cut_from, cut_to, shard): stretches of old shards, one at
+    most for each pair of shards. begins(old_shard, block, begins): where a block begins in its shard's line of bytes.
+    slots(shard, old_shard, block, base, n): a row's slot, less its number in its block, and how many there are."""
+
+    per_shard: int
+    cuts: DataFrame
+    begins: DataFrame
+    slots: DataFrame | None = None
+
+    def at(self, rows: DataFrame) -> DataFrame:
+        """rows(key, old_shard, size, ...) dealt by blocks, with their number there, first byte and new shard."""
+        order = W.partitionBy("old_shard", "block").orderBy("key")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(self.per_shard)).cast("int"))
+        rows = rows.withColumns({"number": F.row_number().over(order), "at": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")})
+        rows = rows.join(small(self.begins), ["old_shard", "block"]).withColumn("at", F.col("at") + F.col("begins"))
+        return rows.join(F.broadcast(self.cuts), "old_shard").where("at >= cut_from and at < cut_to").drop("begins", "cut_from", "cut_to")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """The rows with shard and slot; each moves once, to its block."""
+        found = self.at(rows).join(small(self.slots.drop("n")), ["shard", "old_shard", "block"])
+        return found.withColumn("slot", (F.col("base") + F.col("number")).cast("long")).drop("block", "number", "at", "base")
+
+
+def _layout(rows: DataFrame, new_shards: int, block_rows: int) -> Layout:
+    """rows(key, old_shard, size), of which only these columns are read."""
+    rows = rows.select("key", "old_shard", "size")
     by_shard = rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     old = sorted((r.old_shard, r.bytes, r.n) for r in by_shard)
-    supply, demand = [b for _, b, _ in old], capacities(sum(b for _, b, _ in old), new_shards)
+    total = sum(b for _, b, _ in old)
+    supply, demand = [b for _, b, _ in old], capacities(total, new_shards)
     flow = min_cost_flow(supply, demand, [[int(s != j) for j in range(new_shards)] for s, _, _ in old])
     cuts = []
     for (s, _, _), out in zip(old, flow, strict=True):
@@ -127,30 +167,18 @@ def assigned(rows: DataFrame, new_shards: int, block_rows: int = BLOCK_ROWS, key
             if out[j]:
                 cuts.append((s, at, at + out[j], j))
                 at += out[j]
-    spark = rows.sparkSession
-    # At most one cut for each pair of shards: its size is bound by their numbers.
-    cut = spark.createDataFrame(cuts, "old_shard int, cut_from long, cut_to long, shard int")
-    blocks = max(1, -(-sum(n for _, _, n in old) // block_rows))
+    blocks = max(1, -(-sum(n for _, _, n in old) // block_rows), -(-total // BLOCK_BYTES))
     per_shard = max(LEAST_BLOCKS, -(-blocks // max(1, len(old))))
-    block = F.pmod(F.xxhash64("key"), F.lit(per_shard)).cast("int")
-    within = W.partitionBy("old_shard", "block").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    ordered = saved(rows.withColumn("block", block).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).drop("key"))
-    sums = ordered.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    begins = sums.select("old_shard", "block", (F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block")) - F.col("bytes")).alias("begins"))
-    at = F.col("begins") + F.col("before")
-    placed = saved(
-        ordered.join(begins, ["old_shard", "block"])
-        .withColumn("at", at)
-        .join(F.broadcast(cut), "old_shard")
-        .where("at >= cut_from and at < cut_to")
-        .select("row", "old_shard", "block", "at", "shard")
-    )
-    counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
-    order = W.partitionBy("shard").orderBy("old_shard", "block")
-    first = counts.select("shard", "old_shard", "block", (F.sum("n").over(order) - F.col("n")).alias("first"))
-    local = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("at")) - 1
-    slots = placed.withColumn("local", local).join(first, ["shard", "old_shard", "block"])
-    return slots.select("row.*", "shard", (F.col("first") + F.col("local")).cast("long").alias("slot"))
+    # At most one cut for each pair of shards: its size is bound by their numbers.
+    cut = rows.sparkSession.createDataFrame(cuts, "old_shard int, cut_from long, cut_to long, shard int")
+    block = F.pmod(F.xxhash64("key"), F.lit(per_shard)).cast("int").alias("block")
+    sums = saved(rows.groupBy("old_shard", block).agg(F.sum("size").alias("bytes")))
+    begins = saved(sums.select("old_shard", "block", (F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block")) - F.col("bytes")).alias("begins")))
+    layout = Layout(per_shard, cut, begins)
+    counts = saved(layout.at(rows).groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"), F.min("number").alias("least")))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy("old_shard", "block")) - F.col("n")
+    layout.slots = saved(counts.select("shard", "old_shard", "block", (before - F.col("least")).alias("base"), "n"))
+    return layout
 
 
 def size_of() -> Column:
@@ -179,18 +207,17 @@ def resharded(docs: DataFrame, old_shard: Column, new_shards: int, folder: str,
     spark = docs.sparkSession
     names = _renamed(docs.columns, ("old_shard", "shard", "slot"))
     held = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("held")
-    keyed = docs.select((F.monotonically_increasing_id() if key is None else key).alias("key"), held, (size_of() if size is None else size).alias("size"), old_shard.cast("int").alias("old_shard"))
+    keyed = docs.select((F.monotonically_increasing_id() if key is None else key).alias("key"), held, _weight(size_of() if size is None else size), _shard_of(old_shard), old_shard.cast("int").alias("given"))
     if key is None:
         keyed = saved(keyed)
-    placement = saved(assigned(keyed.select("key", "size", "old_shard"), new_shards, key="key"))
-    moved = placement.where("not (old_shard <=> shard)").select(F.explode(F.array("old_shard", "shard")).alias("shard"))
-    changed = sorted(r.shard for r in moved.where("shard is not null").distinct().collect())  # numbers of shards
-    rows = keyed.select("key", "held").join(placement.select("key", "old_shard", "shard", "slot", F.col("shard").isin(changed).alias("changes")), "key")
-    out = rows.where("changes").select("held.*", "old_shard", "slot", "shard")
-    file = F.floor(F.col("slot") / BLOCK_ROWS)
-    out.repartition("shard", file).sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-    untouched = rows.where("not changes") if set(range(new_shards)) - set(changed) else rows.limit(0)
-    return spark.read.schema(out.schema).parquet(folder), untouched.select("held.*", "old_shard", "slot", "shard")
+    layout = _layout(keyed, new_shards, BLOCK_ROWS)
+    pairs = [(r.old_shard, r.shard) for r in layout.slots.select("old_shard", "shard").distinct().collect()]  # numbers of shards
+    changed = {s for pair in pairs if pair[0] != pair[1] for s in pair}
+    # Texts move once, to the block that says their places.
+    rows = layout.placed(keyed).select("held.*", F.col("given").alias("old_shard"), "slot", "shard")
+    rows.where(F.col("shard").isin(sorted(changed))).sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    untouched = rows.where(~F.col("shard").isin(sorted(changed))) if set(range(new_shards)) - changed else rows.limit(0)
+    return spark.read.schema(rows.schema).parquet(folder), untouched
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
