@@ -113,7 +113,7 @@ class SlicedBloom:
 
 def train(labelled: DataFrame, bits: int = 18, hashes: int = 3, least_share: float = 0.02, rows_per_language: int = 5000) -> SlicedBloom | None:
     """labelled(doc_id, text, lang). A filter for each language from about rows_per_language of its rows, chosen by a hash
-    of doc_id (all rows, if fewer); an n-gram is held if at least least_share of them have it. What reaches the driver is
+    of doc_id and text (all rows, if fewer; rows that repeat both are chosen or not together); an n-gram is held if at least least_share of them have it. What reaches the driver is
     a row for each language and, for every 64 languages, at most 2^bits cells. None if nothing is labelled. There may be
     any number of languages; the filters take 2^bits / 8 bytes each."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -122,7 +122,7 @@ def train(labelled: DataFrame, bits: int = 18, hashes: int = 3, least_share: flo
         return None
     languages = sorted(per)
     share = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, rows_per_language / n))])
-    drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]
+    drawn = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]
     sample = labelled.where(drawn).select("lang", "text")
     number = {x: i for i, x in enumerate(languages)}
 

@@ -39,41 +39,58 @@ def _rule(label: str, keywords: str, pattern: str, weight: float) -> Rule:
     return Rule(label, tuple(keywords.split()), re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), weight)
 
 
-#: Families with versions: label, short names, keywords of the long name, long name, versions (fixed values).
+#: Families with versions: label, short names, whether a short name says enough alone (None: with a whole version), keyword of short names, keywords of
+#: the long name, long name, identifier, versions (fixed values).
 FAMILIES = [
-    ("agpl", r"(?:gnu )?agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "1.0 3.0"),
-    ("lgpl", r"(?:gnu )?lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "2.0 2.1 3.0"),
-    ("gpl", r"(?:gnu )?gpl", "general", r"(?:gnu )?general public licen[sc]e", "1.0 2.0 3.0"),
-    ("gfdl", r"(?:gnu )?g?fdl", "documentation", r"(?:gnu )?free documentation licen[sc]e", "1.1 1.2 1.3"),
-    ("apache", r"asl", "apache", r"apache(?: software)?(?: licen[sc]e)?", "1.0 1.1 2.0"),
-    ("mpl", r"mpl", "mozilla", r"mozilla public licen[sc]e", "1.0 1.1 2.0"),
-    ("epl", r"epl", "eclipse", r"eclipse public licen[sc]e", "1.0 2.0"),
-    ("cddl", r"cddl", "distribution", r"common development and distribution licen[sc]e", "1.0 1.1"),
-    ("eupl", r"eupl", "european", r"european union public licen[sc]e", "1.0 1.1 1.2"),
-    ("cecill", r"cecill(?: [abc])?", "cecill", r"cecill free software licen[sc]e(?: agreement)?", "1.0 2.0 2.1"),
-    ("artistic", r"artistic", "artistic", r"(?:the )?artistic licen[sc]e", "1.0 2.0"),
-    ("osl", r"osl", "open", r"open software licen[sc]e", "1.0 2.0 2.1 3.0"),
-    ("afl", r"afl", "academic", r"academic free licen[sc]e", "1.1 1.2 2.0 2.1 3.0"),
-    ("cpl", r"cpl", "common", r"common public licen[sc]e", "1.0"),
-    ("lppl", r"lppl", "latex", r"latex project public licen[sc]e", "1.0 1.1 1.2 1.3"),
-    ("ofl", r"(?:sil )?ofl", "font", r"(?:sil )?open font licen[sc]e", "1.0 1.1"),
-    ("odbl", r"odbl", "database", r"open (?:data commons )?(?:open )?database licen[sc]e", "1.0"),
-    ("bsl", r"bsl", "boost", r"boost software licen[sc]e", "1.0"),
-    ("ncsa", r"ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", "1.0"),
-    ("upl", r"upl", "universal", r"universal permissive licen[sc]e", "1.0"),
-    ("zpl", r"zpl", "zope", r"zope public licen[sc]e", "1.1 2.0 2.1"),
-    ("php", r"php licen[sc]e", "php", r"(?:the )?php licen[sc]e", "3.0 3.01"),
-    ("python", r"psfl?", "python", r"python software foundation licen[sc]e", "2.0"),
+    ("agpl", r"(?:gnu )?agpl", True, "agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "agpl", "1.0 3.0"),
+    ("lgpl", r"(?:gnu )?lgpl", True, "lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", "2.0 2.1 3.0"),
+    ("gpl", r"(?:gnu )?gpl", True, "gpl", "general", r"(?:gnu )?general public licen[sc]e", "gpl", "1.0 2.0 3.0"),
+    ("gfdl", r"(?:gnu )?g?fdl", False, "fdl", "documentation", r"(?:gnu )?free documentation licen[sc]e", "gfdl", "1.1 1.2 1.3"),
+    ("apache", r"apache|asl", False, "apache asl", "apache", r"apache(?: software)? licen[sc]e", "apache", "1.0 1.1 2.0"),
+    ("mpl", r"mpl", False, "mpl", "mozilla", r"mozilla public licen[sc]e", "mpl", "1.0 1.1 2.0"),
+    ("epl", r"epl", False, "epl", "eclipse", r"eclipse public licen[sc]e", "epl", "1.0 2.0"),
+    ("cddl", r"cddl", True, "cddl", "distribution", r"common development and distribution licen[sc]e", "cddl", "1.0 1.1"),
+    ("eupl", r"eupl", True, "eupl", "european", r"european union public licen[sc]e", "eupl", "1.0 1.1 1.2"),
+    ("cecill", r"cecill(?: [abc])?", True, "cecill", "cecill", r"cecill free software licen[sc]e(?: agreement)?", "cecill", "1.0 2.0 2.1"),
+    ("artistic", r"(?:the )?artistic", False, "artistic", "artistic", r"(?:the )?artistic licen[sc]e", "artistic", "1.0 2.0"),
+    ("osl", r"osl", False, "osl", "open", r"open software licen[sc]e", "osl", "1.0 2.0 2.1 3.0"),
+    ("afl", r"afl", False, "afl", "academic", r"academic free licen[sc]e", "afl", "1.1 1.2 2.0 2.1 3.0"),
+    ("cpl", r"cpl", False, "cpl", "common", r"common public licen[sc]e", "cpl", "1.0"),
+    ("lppl", r"lppl", True, "lppl", "latex", r"latex project public licen[sc]e", "lppl", "1.0 1.1 1.2 1.3"),
+    ("ofl", r"(?:sil )?ofl", False, "ofl", "font", r"(?:sil )?open font licen[sc]e", "ofl", "1.0 1.1"),
+    ("odbl", r"odbl", True, "odbl", "database", r"open (?:data commons )?(?:open )?database licen[sc]e", "odbl", "1.0"),
+    ("bsl", r"bsl", False, "bsl", "boost", r"boost software licen[sc]e", "bsl", "1.0"),
+    ("ncsa", r"ncsa", False, "ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", "ncsa", ""),
+    ("upl", r"upl", False, "upl", "universal", r"universal permissive licen[sc]e", "upl", "1.0"),
+    ("zpl", r"zpl", False, "zpl", "zope", r"zope public licen[sc]e", "zpl", "1.1 2.0 2.1"),
+    ("php", r"(?:the )?php", False, "php", "php", r"(?:the )?php licen[sc]e", "php", "3.0 3.01"),
+    ("python", r"psf", None, "psf", "python", r"python software foundation licen[sc]e", "psf", "2.0"),
 ]
+#: Identifiers of licences outside these families, as words, and their labels (fixed values).
+IDENTIFIERS = {
+    "mit": "mit", "isc": "isc", "bsd 4 clause": "bsd-4-clause", "bsd 3 clause": "bsd-3-clause", "bsd 2 clause": "bsd-2-clause", "0bsd": "0bsd", "zlib": "zlib",
+    "unlicense": "unlicense", "wtfpl": "wtfpl", "ms pl": "ms-pl", "ms rl": "ms-rl", "cc0 1 0": "cc0",
+}
 #: Clauses of Creative Commons licences and their names, and their versions (fixed values).
 CLAUSES = {"by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?", "by-nc": "attribution non ?commercial", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative)?s?", "by": "attribution"}
 CC_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
 #: Single notices: label, keywords, pattern, weight (fixed values).
 NOTICES = [
-    ("mit", "mit", r"(?:the )?mit licen[sc]e|under (?:the )?mit|licen[sc]ed? mit", 0.9),
+    ("mit", "mit", r"(?:the )?mit licen[sc]e|licen[sc]e:? mit|(?:licen[sc]ed|released|distributed|available) under mit", 0.9),
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
     ("isc", "isc", r"(?:the )?isc licen[sc]e", 0.9),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
+    ("isc", "permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose", 0.9),
+    ("gpl", "redistribute", r"(?:you can|may) redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 0.95),
+    ("lgpl", "redistribute", r"(?:you can|may) redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e", 0.95),
+    ("agpl", "redistribute", r"(?:you can|may) redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e", 0.95),
+    ("apache", "compliance", r"you may not use this file except in compliance with the licen[sc]e", 0.9),
+    ("mpl", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at", 0.95),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 0.9),
+    ("bsl", "obtaining", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e", 0.95),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
+    ("cc0", "dedicated", r"has dedicated the work to the public domain by waiving", 0.95),
+    ("artistic", "package", r"the intent of this document is to state the conditions under which a package may be copied", 0.9),
+    ("wtfpl", "everyone", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed", 0.9),
     ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd|bsd 4 clause|original bsd licen[sc]e", 0.95),
     ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd|bsd 3 clause|(?:new|modified|revised) bsd(?: licen[sc]e)?", 0.95),
     ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd|bsd 2 clause|simplified bsd(?: licen[sc]e)?|freebsd licen[sc]e", 0.95),
@@ -91,9 +108,6 @@ NOTICES = [
     ("cc", "creative", r"creative commons(?: licen[sc]e)?", 0.6),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary|proprietary licen[sc]e", 0.8),
     ("reserved", "reserved droits derechos rechte", r"(?:all |some )rights(?: are)? reserved|tous droits réservés|todos los derechos reservados|alle rechte vorbehalten", 0.7),
-    ("reserved", "droits", r"tous droits réservés", 0.7),
-    ("reserved", "derechos", r"todos los derechos reservados", 0.7),
-    ("reserved", "rechte", r"alle rechte vorbehalten", 0.7),
     ("no-redistribution", "redistribut", r"(?:may|must|can) not be (?:copied or )?redistributed|redistribution (?:is )?(?:prohibited|forbidden|not permitted)", 0.7),
     ("copyright", "copyright", r"copyright(?: c)?(?: by)?(?: \d{4})+", 0.5),
     ("terms", "licen", r"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |an? )?(?:\S+ ){0,5}?licen[sc]e", 0.4),
@@ -109,15 +123,20 @@ def _version(v: str) -> str:
 def rules() -> list[Rule]:
     """In order of priority: identifiers, then named licences with a version, then without, then other notices."""
     exact, named, plain = [], [], []
-    for label, short, keyword, long, versions in FAMILIES:
-        first = re.sub(r"\(\?:[^()]*\)\??|\W.*", " ", short).split()[0] if label not in ("gfdl", "cecill", "python") else {"gfdl": "fdl", "cecill": "cecill", "python": "psf"}[label]
+    exact += [_rule(label, "spdx", rf"spdx licen[sc]e identifier {words}", 1.0) for words, label in IDENTIFIERS.items()]
+    for label, short, alone, key, keyword, long, words, versions in FAMILIES:
+        if not versions:
+            exact.append(_rule(label, "spdx", rf"spdx licen[sc]e identifier {words}", 1.0))
+        # A short name that is also a word, a name or another thing's acronym needs a word about licences beside it.
+        about = rf"(?:licen[sc]ed?|released|distributed|available) (?:(?:under|in|by) )?(?:the )?(?:terms of )?(?:the )?(?:{short})"
         for v in versions.split():
             number, later = _version(v), r" (?:or (?:at your option )?(?:any )?|and )later(?: version)?"
-            exact.append(_rule(f"{label}-{v}", "spdx", rf"spdx licen[sc]e identifier {label} {v.replace('.', ' ')}(?: only| or later)?", 1.0))
-            for key, name in ((first, short), (keyword, long)):
-                stem = rf"{name} ?(?:version|ver|v)? ?{number}"
-                named += [_rule(f"{label}-{v}-or-later", key, stem + later, 0.95), _rule(f"{label}-{v}", key, stem + r"(?: only)?", 0.95)]
-        plain += [_rule(label, first, short, 0.6 if len(first) < 4 else 0.8), _rule(label, keyword, long, 0.8)]
+            exact.append(_rule(f"{label}-{v}", "spdx", rf"spdx licen[sc]e identifier {words} {v.replace('.', ' ')}(?: only| or later)?", 1.0))
+            stem = rf" ?(?:version|ver|v)? ?{number}"
+            certain = rf"(?:{short}){stem}" if alone else rf"(?:{short}) ?v? ?{v.replace('.', ' ')}|(?:{short}){stem} licen[sc]e" if alone is None else rf"{about}{stem}|(?:{short})(?: (?:version|ver|v) ?{number}| v{number}|{stem} licen[sc]e)"
+            for keys, name in ((key, rf"(?:{certain})"), (keyword, rf"{long}{stem}")):
+                named += [_rule(f"{label}-{v}-or-later", keys, name + later, 0.95), _rule(f"{label}-{v}", keys, name + r"(?: only)?", 0.95)]
+        plain += [_rule(label, key, short if alone else rf"{about}|(?:{short}) licen[sc]e", 0.8), _rule(label, keyword, long, 0.8)]
     for clause, name in CLAUSES.items():
         code = clause.replace("-", " ")
         for v in CC_VERSIONS.split():

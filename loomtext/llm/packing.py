@@ -172,31 +172,35 @@ class Packer:
             yield out
 
 
-_SCHEMA = "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
+_SCHEMA = "start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 
 
 def _packed(vocabulary: str, end: int, capacity: int, segments: int, loss: int):
+    """Rows (key, prompt, text) to pieces; a key, of any type, comes out as it went in."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer = shared_ids(vocabulary), Packer(capacity, segments, loss)
         made = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
+        kind = None
 
         def write(sequences: Iterator[list]) -> None:
             nonlocal made
             for pieces in sequences:
                 offset = 0
-                for (doc_id, total), start, ids, loss_from in pieces:
-                    rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), packer.demand(start, len(ids), loss_from)[2], total, made, offset))
+                for (key, total), start, ids, loss_from in pieces:
+                    rows.append((key, start, len(ids), ids.astype("<u4").tobytes(), packer.demand(start, len(ids), loss_from)[2], total, made, offset))
                     offset += len(ids)
                 made += 1
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.binary() if i == 3 else pa.int64() for i in range(8)]
+            kinds = [kind, *(pa.binary() if i == 2 else pa.int64() for i in range(7))]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             rows.clear()
-            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays(columns, ["key", *(x.split()[0] for x in _SCHEMA.split(", "))])
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             keys, prompts, texts = (batch.column(i).to_pylist() for i in range(3))
             for a, b in slices(texts):
                 of_prompt = tokens.ids(prompts[a:b]) if any(prompts[a:b]) else [np.zeros(0, np.uint32)] * (b - a)
@@ -214,17 +218,18 @@ def _packed(vocabulary: str, end: int, capacity: int, segments: int, loss: int):
     return pack
 
 
-def packed(docs: DataFrame, vocabulary: str, prompt: str | None = None, end: int = 1, capacity: int = 2048, segments: int = 64, loss: int = 2048) -> DataFrame:
-    """docs(doc_id, text and, if given, the prompt column), other columns ignored. A row for each piece of a document's
-    ids (prompt, text, then `end`): doc_id, start, length, ids (little-endian unsigned 32-bit), loss_tokens, doc_tokens,
+def packed(docs: DataFrame, vocabulary: str, prompt: str | None = None, end: int = 1, capacity: int = 2048, segments: int = 64, loss: int = 2048, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(key columns, text and, if given, the prompt column), other columns ignored. A row for each piece of a document's
+    ids (prompt, text, then `end`): the key columns, start, length, ids (little-endian unsigned 32-bit), loss_tokens, doc_tokens,
     sequence_id and offset. A prompt's tokens bear no loss. No sequence has more than `capacity` tokens, `segments`
     pieces or `loss` loss-bearing tokens.
 
     A null text or prompt is empty: its document is the end token alone. Repeated rows, null or equal ids are packed
     each on their own. Documents longer than a sequence are cut into full ones first. An empty table gives no rows."""
     of = F.coalesce(F.col(prompt), F.lit("")) if prompt else F.lit("")
-    texts = docs.select(F.col("doc_id").cast("long"), of.alias("prompt"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_packed(vocabulary, end, capacity, segments, loss), _SCHEMA)
+    texts = docs.select(F.struct(*key).alias("key"), of.alias("prompt"), F.coalesce("text", F.lit("")).alias("text"))
+    out = f"key {texts.schema['key'].dataType.simpleString()}, {_SCHEMA}"
+    return texts.mapInArrow(_packed(vocabulary, end, capacity, segments, loss), out).select("key.*", *(x.split()[0] for x in _SCHEMA.split(", ")))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
@@ -240,18 +245,17 @@ TURNS, LOSS = 16, 1024
 
 
 def examples(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text). Each assistant's turn with the turn before it as its prompt: doc_id (conv_id
-    times 2^20 plus turn), conv_id, turn, prompt, text. A turn without one before it has a null prompt; of repeated turns
+    """conversations(conv_id, turn, role, text). Each assistant's turn with the turn before it as its prompt: conv_id, turn,
+    prompt, text. A turn without one before it has a null prompt; of repeated turns
     before it, the one with the smallest text is taken; repeated assistant's turns are examples each on their own."""
     before = conversations.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
     answers = conversations.where("role = 'assistant'").select("conv_id", "turn", "text")
     both = answers.join(before, ["conv_id", "turn"], "left")
-    return both.select((F.shiftleft("conv_id", 20) + F.col("turn")).alias("doc_id"), "conv_id", "turn", "prompt", "text")
+    return both.select("conv_id", "turn", "prompt", "text")
 
 
 def conversations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction data under all three limits: prompts bear no loss."""
     docs = examples(table(spark, sf_dir, "conversations"))
-    pieces = packed(docs, public_tokenizers.path("byte_bpe_50k.json"), "prompt", segments=TURNS, loss=LOSS)
-    of = F.shiftright("doc_id", 20).alias("conv_id"), (F.col("doc_id") % (1 << 20)).alias("turn")
-    return pieces.select(*of, "start", "length", F.crc32("ids").alias("ids_crc32"), "loss_tokens", "doc_tokens", "sequence_id", "offset")
+    pieces = packed(docs, public_tokenizers.path("byte_bpe_50k.json"), "prompt", segments=TURNS, loss=LOSS, key=("conv_id", "turn"))
+    return pieces.select("conv_id", "turn", "start", "length", F.crc32("ids").alias("ids_crc32"), "loss_tokens", "doc_tokens", "sequence_id", "offset")

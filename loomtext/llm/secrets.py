@@ -39,16 +39,31 @@ CLASSES = (
 #: Runs that are no secrets: ids by design, counters, words joined by marks.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|[^0-9]*|[^A-Za-z]*"  # letters alone or figures alone
+    r"|[^A-Za-z]*"  # figures alone
     r"|[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,4}"  # words and a number
     r"|[-_/=+]*(([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)([-_/=+]+(([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+))*[-_/=+]*"  # plain parts between marks
 )
+#: Letters alone are words if parts of one case, or such with one capital, hold this share of them; in random letters of both
+#: cases they hold about half.
+WORDLIKE = 0.8
+_WORD_PART, _LETTERS, _SIMPLE = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{2,}(?![a-z])"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A stretch that holds a placeholder is none; where the placeholder is a part of its own between marks, it only ends a run.
 PLACEHOLDER = re.compile(r"EXAMPLE|example|xxxxxx|XXXXXX|placeholder|PLACEHOLDER")
 PART = re.compile(r"(?<![A-Za-z0-9])(EXAMPLE|example|x{6,}|X{6,}|placeholder|PLACEHOLDER)(?![A-Za-z0-9])")
 _TERM = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
+def allowed(run: str) -> bool:
+    """Whether a run of a class is no secret whatever its entropy."""
+    if ALLOWED.fullmatch(run):
+        return True
+    if any(map(str.isdigit, run)):
+        return False
+    parts = _LETTERS.findall(run)
+    simple = sum(len(p) if _SIMPLE.fullmatch(p) else sum(len(m) for m in _WORD_PART.findall(p)) for p in parts)
+    return simple >= WORDLIKE * sum(map(len, parts))
+
+
 def entropic(text: str, least: float) -> Iterator[tuple[int, int]]:
     """Maximal stretches of the string that windows of entropy `least` or more cover."""
     counts: dict[str, int] = {}
@@ -125,7 +140,7 @@ def entropy_spans(text: str, covered: list[tuple[str, int, int]]) -> list[tuple[
                     if run.span() in judged:  # a run of a narrower class
                         continue
                     judged.add(run.span())
-                    if not ALLOWED.fullmatch(s):
+                    if not allowed(s):
                         spans += [(from_ + x, from_ + y) for x, y in entropic(s, least) if not PLACEHOLDER.search(s, x, y)]
         last = -1
         for x, y in sorted(spans):

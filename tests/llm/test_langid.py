@@ -1,3 +1,4 @@
+import random
 import numpy as np
 from conftest import MIDDLE
 
@@ -87,3 +88,12 @@ def test_filters_against_sets(spark):
             right[lang] = max(0.0, (n - len(of_text[i]) * wrong) / (1 - wrong))
         if any(map(str.isalpha, t)) and max(right.values()) > 0:
             assert right[got[i].lang_pred] >= max(right.values()) - 1e-6 and abs(got[i].score - right[got[i].lang_pred] / sum(right.values())) < 1e-6
+
+
+def test_rows_that_share_an_id_are_drawn_one_by_one(spark):
+    rng = random.Random(8)
+    speak = {"en": "the and of to in that", "de": "der und die von zu das"}
+    for doc_id in (7, None):
+        rows = [(doc_id, " ".join(rng.choices(speak[x].split(), k=30)), x) for x in speak for _ in range(50)]
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=5)
+        assert model.predict(["the of that in and", "das die der und von"])[0] == ["en", "de"]

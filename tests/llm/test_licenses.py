@@ -140,3 +140,68 @@ def test_labels_of_real_documents_against_no_prefilter(spark):
             continue
         kept = quadratic([(n, *m.span()) for n, r in enumerate(rules) for m in r.pattern.finditer(joined)])
         assert got[i] == ",".join(sorted({rules[n].label for n, _, _ in kept} | {k for _, k in plain(t)[1]})), i
+
+
+ORDINARY = """The Apache helicopter landed near the village.
+It was an artistic photo of the harbour.
+We met under the MIT dome at noon.
+The EPL match ended 2-0 after extra time.
+She signed in ASL to the audience.
+The AFL final draws a large crowd every year.
+Our CPL 1 training starts in May.
+The BSL interpreter arrived late.
+He wrote the parser in PHP 3 years ago.
+The MPL 2 bus leaves from gate 4.
+An open font was used for the poster.
+The library is open to the public.
+General public health has improved.
+A common development plan was agreed.
+The European Union public debate went on.
+Python is a software language, and foundations matter.
+Zero clause contracts are rare.
+The academic year is free of charge.
+Permission is hereby given to leave early.
+He lost his driving licence in 2019.
+The universal remote was permissive about batteries.
+Creative people share a common room.
+The PSF of the telescope was measured twice.
+Boost your software skills.
+Eclipse glasses were sold to the public.
+The artistic director resigned.
+OSL 3 is a town code.
+The upper limit, UPL 1, was passed.
+Redistribution of wealth was discussed.
+Mozilla and Zope are names of things.""".splitlines()
+
+
+def test_ordinary_sentences_give_nothing():
+    assert len(ORDINARY) == 30
+    assert {t: f for t in ORDINARY if (f := found(t))} == {}
+
+
+def test_an_identifier_for_each_label():
+    for words, label in licenses.IDENTIFIERS.items():
+        assert found(f"# SPDX-License-Identifier: {words.replace(' ', '-')}") == [label], words
+    assert found("SPDX-License-Identifier: MIT") == ["mit"] and found("// SPDX-License-Identifier: CC0-1.0") == ["cc0"]
+    for label, *_, identifier, versions in licenses.FAMILIES:
+        for v in versions.split() or [""]:
+            name = f"{identifier}-{v}".rstrip("-")
+            assert found(f"SPDX-License-Identifier: {name.upper()}") == [f"{label}-{v}".rstrip("-")], name
+    for clause in licenses.CLAUSES:
+        assert found(f"SPDX-License-Identifier: CC-{clause.upper()}-4.0") == [f"cc-{clause}-4.0"]
+
+
+def test_texts_of_licences():
+    says = {
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": ["apache-2.0", "apache"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at": ["mpl-2.0", "mpl"],
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published": ["lgpl"],
+        "This is free and unencumbered software released into the public domain.": ["unlicense"],
+        "Released under the EPL": ["epl"],
+        "an Apache 2.0 licence": ["apache-2.0"],
+        "Apache License 2.0": ["apache-2.0"],
+        "BSL v1.0": ["bsl-1.0"],
+        "licensed under MIT": ["mit"],
+    }
+    for text, labels in says.items():
+        assert sorted(found(text)) == sorted(labels), text

@@ -103,6 +103,13 @@ def test_conversations(spark):
     assert packing.examples(hot).where("conv_id = 2").first().prompt is None and packing.examples(hot.limit(0)).count() == 0
 
 
+def test_conversations_keep_their_ids(spark):
+    rows = [(c, t + i, r, "x y") for c, t in ((1 << 44, 1), (5, 2_000_000), (-3, 1), (None, 4), (6, -9)) for i, r in enumerate(("user", "assistant"))]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = packing.packed(packing.examples(talk), PATH, "prompt", key=("conv_id", "turn")).collect()
+    assert {(r.conv_id, r.turn) for r in got} == {(c, t) for c, t, r, _ in rows if r == "assistant"}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "A."), (3, "A."), (None, "b"), (4, "word " * 30000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")

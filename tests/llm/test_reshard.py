@@ -101,5 +101,5 @@ def test_odd_rows(spark):
 
 def test_rows_of_no_size_have_places(spark):
     rows = spark.createDataFrame([(i, None if i % 3 else 0, i % 2) for i in range(30)], "doc_id int, size long, old_shard int")
-    got = assigned(rows, 3).collect()
+    got = reshard.assigned(rows, 3).collect()
     assert sorted(r.doc_id for r in got) == list(range(30)) and sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(3) for i in range(10)]
