@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.jobs import chunking, governance, operations, retrieval, services, texts, vectors  # noqa: F401
+from loomtext.jobs import chunking, governance, operations, retrieval, services, stored, texts, vectors  # noqa: F401
 from loomtext.jobs.registry import QUERIES, SQL, Query
 
 
