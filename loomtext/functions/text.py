@@ -153,10 +153,17 @@ def buckets(c: Column | str, dims: int = 256) -> Column:
     return F.transform(tokens(c), lambda t: hash_bucket(t, dims))
 
 
-def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the counts of two lists; 0 if either is empty. For short lists: each element is looked for in the other list."""
+def bag_cosine(a: Column, b: Column, dims: int = 256) -> Column:
+    """Cosine of the counts of two lists of bucket numbers below dims; 0 if either is empty. Short lists are compared element by
+    element, long ones by their counts, so that a pair takes at most dims steps for each element."""
+
+    def counts(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(x, lambda j: j == d)).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.transform(x, lambda i: F.size(F.filter(y, lambda j: j == i))), F.lit(0), lambda s, n: s + n).cast("double")
+        n, m = F.size(x).cast("double"), F.size(y).cast("double")
+        each = F.aggregate(F.transform(x, lambda i: F.size(F.filter(y, lambda j: j == i))), F.lit(0), lambda s, k: s + k).cast("double")
+        whole = F.aggregate(F.zip_with(counts(x), counts(y), lambda p, q: p * q), F.lit(0.0), lambda s, k: s + k)
+        return F.when(n * m <= dims * (n + m), each).otherwise(whole)
 
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))

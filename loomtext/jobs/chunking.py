@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.jobs.registry import query, table
 from loomtext.operators import chunk as C
+from loomtext.operators import lexical as L
 
 _SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
 _BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -113,12 +114,49 @@ def chunk_sweep(spark, d):
 
 
 def _sweep_rows(spark, d):
-    settings = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in _SWEEP])
-    cut = F.transform(settings, lambda x: F.struct(x["size"].alias("size"), x["overlap"].alias("overlap"), F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), x["size"] - x["overlap"]), lambda s: F.substring(F.col("text"), s + 1, x["size"])).alias("chunks")))
+    cut = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap"), C.slices(F.col("text"), s, o).alias("chunks")) for s, o in _SWEEP])
     rows = table(spark, d, "documents").select(F.explode(cut).alias("x")).select("x.size", "x.overlap", F.explode("x.chunks").alias("chunk")).where(F.btrim("chunk", F.lit(" ")) != "")
     return rows
 
 
+def _proxy_sql() -> str:
+    sliced = " union all ".join(f"select 'slices' as strategy, {s}::bigint as size, {o}::bigint as overlap, doc_id, chunk_index, chunk from ({_windows(s, o, False)})" for s, o in _SWEEP)
+    sentences = " union all ".join(f"select 'sentences' as strategy, {s}::bigint as size, 0::bigint as overlap, doc_id, chunk_index, chunk from ({_fold(_SENTENCES, s, chr(39) + ' ' + chr(39), 0)})" for s in _PACKED)
+    return f"""with c as ({sliced} union all {sentences}),
+ct as (select strategy, size, overlap, doc_id, chunk_index, list_distinct(regexp_extract_all(lower(chunk), '[a-z0-9]+')) as t from c), cu as (select *, len(t) as n, unnest(t) as term from ct),
+qd as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from benchmark), qu as (select query_id, len(t) as m, unnest(t) as term from qd),
+f as (select strategy, size, overlap, query_id, doc_id, chunk_index, round(2.0::double * count(*) / (any_value(n) + any_value(m)), 6) as f1 from cu join qu using (term) group by all),
+b as (select strategy, size, overlap, query_id, max(f1) as best from f group by all),
+k as (select strategy, size, overlap, count(*) as chunks from ct group by all),
+p as (select strategy, size, overlap, round(sum(best) / (select count(*) from qd where len(t) > 0), 4) as proxy from b group by all)
+select strategy, size, overlap, chunks, proxy, row_number() over (order by proxy desc, chunks, strategy, size, overlap) = 1 as chosen from k join p using (strategy, size, overlap)"""
+
+
+_PACKED = (300, 900)
+
+
+@query("chunk_sweep_chosen", _proxy_sql())
+def chunk_sweep_chosen(spark, d):
+    """Slices and packed sentences of several sizes, judged by how well a question's best chunk answers it: the mean over the
+    questions of the largest F1 of distinct tokens. All settings come from one scan; the best is marked, of equal ones that with
+    fewer chunks."""
+    setting = lambda strategy, size, overlap, chunks: F.struct(F.lit(strategy).alias("strategy"), F.lit(size).cast("long").alias("size"), F.lit(overlap).cast("long").alias("overlap"), chunks.alias("chunks"))
+    cut = F.array(*[setting("slices", s, o, C.windows(F.col("text"), s, o, stop_early=False)) for s, o in _SWEEP], *[setting("sentences", s, 0, C.sentence_chunks(F.col("text"), s)) for s in _PACKED])
+    rows = table(spark, d, "documents").select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.strategy", "x.size", "x.overlap", F.posexplode("x.chunks").alias("c", "chunk"))
+    name = F.concat_ws("/", "strategy", F.col("size").cast("string"), F.col("overlap").cast("string"))
+    chunks = rows.select("doc_id", "c", name.alias("setting"), F.array_distinct(T.tokens("chunk")).alias("t"))
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = questions.where(F.size(T.tokens("query")) > 0).count()
+    best = L.token_f1_top(chunks, questions, 1, ["doc_id", "c"], "t", by="setting")
+    proxy = best.groupBy("setting").agg(F.round(F.sum("score") / asked, 4).alias("proxy"))
+    counts = rows.groupBy("strategy", "size", "overlap").agg(F.count("*").alias("chunks")).withColumn("setting", name)
+    found = counts.join(proxy, "setting")
+    first = found.agg(F.min(F.struct(-F.col("proxy"), "chunks", "strategy", "size", "overlap")).alias("first"))  # of a row for each setting
+    mark = first.select(F.col("first.strategy").alias("s"), F.col("first.size").alias("n"), F.col("first.overlap").alias("o"), F.lit(True).alias("chosen"))
+    here = (F.col("strategy") == F.col("s")) & (F.col("size") == F.col("n")) & (F.col("overlap") == F.col("o"))
+    return found.join(F.broadcast(mark), here, "left").select("strategy", "size", "overlap", "chunks", "proxy", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 @query("chunk_semantic")
 def chunk_semantic(spark, d):
     """Sentences joined until the similarity of neighbours falls below a threshold that each document sets: mean less half a

@@ -10,6 +10,7 @@ from loomtext.jobs.registry import query, table
 from loomtext.operators import dense as D
 from loomtext.operators import fusion as U
 from loomtext.operators import lexical as L
+from loomtext.operators.chunk import slices
 from loomtext.operators.shared import saved, small
 
 
@@ -85,6 +86,16 @@ def hash_cosine_topk(spark, d):
     return D.hashed_top(*docs_and_questions(spark, d), 5, T.tokens)
 
 
+@query("filter_value_ranked", f"""with {_WORDS}, v as (select unnest(['fr', 'src3']) as value, unnest(['lang', 'source']) as field),
+qt as (select value as query_id, value as term, 1 as qtf from v){_HASH.replace(", dh as", ", dh as")},
+m as (select field, value, d.doc_id, coalesce(round(hs.score, 6), 0) as score from d join v on value = case field when 'lang' then lang else source end left join hs on hs.query_id = value and hs.doc_id = d.doc_id)
+select field, value, row_number() over (partition by field, value order by score desc, m.doc_id) as rank, m.doc_id, score from m qualify rank <= 5""".replace("qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(t) as term from q) group by all),\n", ""))
+def filter_value_ranked(spark, d):
+    """Documents that a filter `field=value` lets through, in order of their similarity with the filter's value."""
+    docs = table(spark, d, "documents")
+    return D.filtered_by_value(docs, "lang = fr", 5).unionByName(D.filtered_by_value(docs, "source=src3", 5))
+
+
 @query("hashing_embedding", f"with {_WORDS}{_HASH} select doc_id, count(*) as buckets, round(max(n / l), 6) as largest from dh join dn using (doc_id) group by doc_id")
 def hashing_embedding(spark, d):
     docs, _ = docs_and_questions(spark, d)
@@ -114,6 +125,20 @@ def rrf_zero_based(spark, d):
     return L.top(U.rrf(two_lists(spark, d), zero_based=True), 5)
 
 
+@query("rrf_all_documents", f"""with {_WORDS}{_BM25}{_HASH}, p as (select query_id, doc_id from q, d),
+s as (select query_id, doc_id, coalesce(round(bm.score, 6), 0) as words, coalesce(round(hs.score, 6), 0) as vectors from p left join bm using (query_id, doc_id) left join hs using (query_id, doc_id)),
+r as (select query_id, doc_id, row_number() over (partition by query_id order by words desc, doc_id) as words_rank, row_number() over (partition by query_id order by vectors desc, doc_id) as vectors_rank from s),
+f as (select *, round(1.0::double / (59 + words_rank) + 1.0::double / (59 + vectors_rank), 6) as score from r)
+select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score, words_rank, vectors_rank from f qualify rank <= 10""")
+def rrf_all_documents(spark, d):
+    """Fusion of two complete rankings: every document has a rank in both, places from zero; the ten best with their ranks."""
+    docs, questions = docs_and_questions(spark, d)
+    found = L.ranked_everywhere(docs, questions)
+    fused = found.withColumn("score", F.round(1.0 / (59 + F.col("words_rank")) + 1.0 / (59 + F.col("vectors_rank")), 6))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")  # tasks keep their ten best of a question
+    return fused.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 10").select("query_id", "rank", "doc_id", "score", "words_rank", "vectors_rank")
+
+
 @query("rrf_with_ranks", f"with {_LISTS} select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score, coalesce(min(rank) filter (list_id = 'words'), -1) as rank_words, coalesce(min(rank) filter (list_id = 'vectors'), -1) as rank_vectors from r group by all")
 def rrf_with_ranks(spark, d):
     return U.with_ranks(two_lists(spark, d), ["words", "vectors"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.coalesce(f"rank_{n}", F.lit(-1)).alias(f"rank_{n}") for n in ("words", "vectors")])
@@ -180,7 +205,7 @@ select query_id, doc_id, min(rank) as best_rank, max(score)::bigint as score fro
 def parent_document_topk(spark, d):
     """Ten best children of 300 characters; their parents by the best child's rank."""
     docs, questions = docs_and_questions(spark, d)
-    children = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(300)), lambda s: F.substring(F.col("text"), s + 1, F.lit(300)))).alias("c", "child"))
+    children = docs.select("doc_id", F.posexplode(slices(F.col("text"), 300)).alias("c", "child"))
     best = L.overlap_top(children, questions, 10, ids=["doc_id", "c"], text="child").withColumn("score", F.col("score").cast("long"))
     return best.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best_rank"), F.max("score").alias("score"))
 

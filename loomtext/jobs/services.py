@@ -9,6 +9,7 @@ from loomtext.functions import guard as G
 from loomtext.functions import text as T
 from loomtext.jobs.registry import query, table
 from loomtext.jobs.retrieval import _OVERLAP, _WORDS, _top, docs_and_questions
+from loomtext.operators.chunk import slices
 from loomtext.operators import dense as D
 from loomtext.operators import lexical as L
 from loomtext.operators.shared import saved, small
@@ -117,7 +118,7 @@ select count(*) as questions, round(avg(best), 6) as mean_best from (select quer
 def retrieval_proxy(spark, d):
     """Mean over questions of the best token F1 of any chunk of 512 characters."""
     docs, questions = docs_and_questions(spark, d)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(512)), lambda s: F.substring(F.col("text"), s + 1, F.lit(512)))
+    cut = slices(F.col("text"), 512)
     chunks = docs.select("doc_id", F.posexplode(cut).alias("c", "chunk")).select("doc_id", "c", F.array_distinct(T.tokens("chunk")).alias("t"))
     best = L.token_f1_top(chunks, questions, 1, ["doc_id", "c"], "t")
     return best.agg(F.count("*").alias("questions"), F.round(F.avg("score"), 6).alias("mean_best"))

@@ -22,14 +22,20 @@ def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     return df.select(*keep, chunks.alias("_chunks")).select(*keep, F.posexplode("_chunks").alias("chunk_index", "chunk"))
 
 
+def slices(text: Column, size: int, overlap: int = 0) -> Column:
+    """Slices of up to `size` characters, each beginning size - overlap after the one before, to the text's end. One pass of a
+    pattern over the text: it looks ahead for a slice and goes on by a step, so that no slice is counted from the beginning."""
+    pattern = rf"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}" if overlap else rf"(?s)(.{{1,{size}}})"
+    return F.regexp_extract_all(text, F.lit(pattern), 1)
+
+
 def windows(text: Column, size: int, overlap: int = 0, stop_early: bool = True) -> Column:
     """Slices of `size` characters, each beginning size - overlap after the one before. With stop_early the slice that
     reaches the end is the last; without, the starts go on to the end. Blank slices are dropped, the others trimmed."""
-    step, n = size - overlap, F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
+    cut = slices(text, size, overlap)
     if stop_early:
-        starts = F.filter(starts, lambda s: (s == 0) | (s < n - overlap))
-    cut = F.transform(starts, lambda s: F.btrim(F.substring(text, s + 1, F.lit(size)), F.lit(_BLANK)) if stop_early else F.substring(text, s + 1, F.lit(size)))
+        cut = F.filter(cut, lambda x, i: (i == 0) | (F.length(x) > overlap))  # the others end where the one before them does
+        cut = F.transform(cut, lambda x: F.btrim(x, F.lit(_BLANK)))
     return F.filter(cut, lambda x: F.btrim(x) != "")
 
 
@@ -142,7 +148,7 @@ def passages(text: Column, size: int = 300, least: int = 20) -> Column:
 def paragraph_slices(text: Column, size: int = 500, least: int = 20) -> Column:
     """What stands between blank lines, of `least` characters or more, in slices of `size`."""
     parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.btrim(x)), lambda x: F.length(x) >= least)
-    return F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(size)), lambda i: F.substring(p, i + 1, F.lit(size)))))
+    return F.flatten(F.transform(parts, lambda p: slices(p, size)))
 
 
 #: Where a unit of code or markup begins, by language (fixed values).

@@ -270,12 +270,20 @@ def hashed_top(docs: DataFrame, questions: DataFrame, k: int, tokens: Callable[[
         both = hash_vectors(docs, "doc_id", tokens("text"), dims).join(asked.withColumnRenamed("w", "q"), "bucket")
         found = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
         return scoring.ranked(found, k, ["doc_id"])
-    rows = asked.collect()
+    return scoring.search(docs, tokens("text"), *_dense_questions(asked.collect(), dims), k, ["doc_id"])
+
+
+def _dense_questions(rows: list, dims: int) -> tuple[Hashed, np.ndarray]:
     ids = np.unique(np.array([r.query_id for r in rows], np.int64))
     matrix = np.zeros((len(ids), dims))
     for r in rows:
         matrix[np.searchsorted(ids, r.query_id), r.bucket] = r.w
-    return scoring.search(docs, tokens("text"), Hashed(matrix), ids, k, ["doc_id"])
+    return Hashed(matrix), ids
+
+
+def hashed_questions(questions: DataFrame, tokens: Callable[[str], Column], dims: int = 256) -> tuple[Hashed, np.ndarray]:
+    """What scores documents by the cosine of hashed counts with these questions, and the questions with any token."""
+    return _dense_questions(hash_vectors(questions, "query_id", tokens("query"), dims).collect(), dims)
 
 
 def principal(vectors: DataFrame, dims: int, k: int = 2) -> DataFrame:
@@ -308,3 +316,23 @@ def principal(vectors: DataFrame, dims: int, k: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(xy[:, i]) for i in range(k))], ["vec_id", *(f"pc{i + 1}" for i in range(k))])
 
     return vectors.select("vec_id", "embedding").mapInArrow(place, "vec_id long, " + ", ".join(f"pc{i + 1} double" for i in range(k)))
+
+
+def filtered_by_value(docs: DataFrame, spec: str, k: int, text: str = "text", dims: int = 256) -> DataFrame:
+    """spec: `field=value`. docs(doc_id, text, the field): field, value, rank, doc_id, score, the k rows whose field, as text, is
+    the value and whose hashed counts are most like those of the value. A spec of another form, or of a field that isn't there,
+    gives no rows; a value without tokens ranks by doc_id."""
+    import re
+
+    from loomtext.functions.text import tokens
+
+    found = re.fullmatch(r"\s*([A-Za-z_][\w-]*)\s*=\s*(.+?)\s*", spec or "", re.DOTALL)
+    field, value = found.groups() if found else ("", "")
+    spark = docs.sparkSession
+    if field not in docs.columns:
+        return spark.createDataFrame([], "field string, value string, rank long, doc_id long, score double")
+    some = docs.where(F.col(f"`{field}`").cast("string") == value)
+    asked = spark.createDataFrame([(0, value)], "query_id long, query string")
+    hashed, ids = hashed_questions(asked, tokens, dims)
+    rows = scoring.everywhere(some, tokens(text), {"score": (hashed, ids)}, np.zeros(1, np.int64), "doc_id")
+    return scoring.ranked(rows, k, ["doc_id"]).select(F.lit(field).alias("field"), F.lit(value).alias("value"), "rank", "doc_id", "score")

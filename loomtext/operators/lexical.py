@@ -3,10 +3,11 @@ k of a question are merged; with more weights than a task should hold, postings
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,21 @@ def query_terms(queries: DataFrame, tokenize: Callable[[str], Column] = tokens)
     return queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(array of tokens, doc_id) to (doc_id, dl, term, tf)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            doc, coded, tf, length = scoring.counted(part.column(0))
+            number = len(coded)
+            doc, term = doc // max(1, number), doc % max(1, number)
+            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(doc)), pa.array(length[doc]), coded.take(pa.array(term)), pa.array(tf)], ["doc_id", "dl", "term", "tf"])
+
+
 def postings(docs: DataFrame, tokenize: Callable[[str], Column] = tokens) -> DataFrame:
-    """doc_id, dl, term, tf. Terms are counted inside each document's array, so nothing is shuffled."""
-    t = tokenize("text")
-    words = docs.select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.array_sort("t").alias("t"))
-    # In sorted order a term's number is the distance between its first place and its last.
-    runs = words.select("doc_id", "dl", "t", F.explode(F.array_distinct("t")).alias("term"))
-    return runs.select("doc_id", "dl", "term", (F.size("t") - F.array_position(F.reverse("t"), F.col("term")) - F.array_position("t", F.col("term")) + 2).cast("long").alias("tf"))
+    """doc_id, dl, term, tf. Terms are counted in the task that has the document; nothing is shuffled."""
+    rows = docs.select(tokenize("text").alias("t"), "doc_id")
+    return rows.mapInArrow(_counted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, dl long, term string, tf long")
 
 
 @dataclass
@@ -120,6 +129,28 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokenize: Callable[[st
     return scoring.search(docs, tokenize("text"), Bm25(model, whole.mean_length), model.ids, k, ["doc_id"], least=0.0 if positive_only else None)
 
 
+def _bm25(docs: DataFrame, queries: DataFrame, tokenize: Callable[[str], Column]) -> Bm25:
+    whole = Collection.of(docs, tokenize)
+    return Bm25(scoring.Model.of(saved(whole.bm25_weights(query_terms(queries, tokenize))).collect()), whole.mean_length)
+
+
+def ranked_everywhere(docs: DataFrame, queries: DataFrame, tokenize: Callable[[str], Column] = tokens, dims: int = 256) -> DataFrame:
+    """docs(doc_id, text), queries(query_id, query), a stated set of questions whose weights a task can hold. Every document for
+    every question: query_id, doc_id, its scores words (BM25) and vectors (cosine of hashed counts), 0 where nothing is shared,
+    and its complete ranks by each, words_rank and vectors_rank, ties by doc_id. Rows are ranked by ranges of question and
+    score, so that a question's ranks take as many tasks as its documents fill."""
+    from loomtext.operators.dense import hashed_questions
+    from loomtext.operators.running import numbered
+
+    model = _bm25(docs, queries, tokenize)
+    hashed, ids = hashed_questions(queries, tokenize, dims)
+    asked = np.array(sorted({r.query_id for r in queries.select("query_id").collect()}), np.int64)
+    rows = scoring.everywhere(docs, tokenize("text"), {"words": (model, model.model.ids), "vectors": (hashed, ids)}, asked, "doc_id")
+    for name in ("words", "vectors"):
+        rows = numbered(rows, ["query_id"], [F.desc(name), F.asc("doc_id")], f"{name}_rank")
+    return rows
+
+
 def bm25_joined(docs: DataFrame, weights: DataFrame, mean_length: float, tokenize: Callable[[str], Column] = tokens, positive_only: bool = False) -> DataFrame:
     """weights(query_id, term, w): query_id, doc_id, score of all documents that share a term, by a join of postings."""
     tf = postings(docs, tokenize)
@@ -195,15 +226,17 @@ class TokenF1:
         return 2 * shared / (np.bincount(c.doc, minlength=len(c.length))[None] + self.sizes[:, None])
 
 
-def token_f1_top(docs: DataFrame, queries: DataFrame, k: int, ids: list[str], tokens_column: str, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
-    """docs(ids, an array of tokens), queries(query_id, query): the k documents of largest F1 of distinct tokens."""
+def token_f1_top(docs: DataFrame, queries: DataFrame, k: int, ids: list[str], tokens_column: str, most: int = scoring.MOST_WEIGHTS, by: str | None = None) -> DataFrame:
+    """docs(ids, an array of tokens, `by` if given), queries(query_id, query): the k documents of largest F1 of distinct tokens,
+    in each group `by`."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     if not is_small(asked, most):
         sizes = asked.groupBy("query_id").agg(F.count("*").alias("m"))
-        held = docs.select(*ids, F.size(F.array_distinct(tokens_column)).alias("n"), F.explode(F.array_distinct(tokens_column)).alias("term"))
-        shared = held.join(asked, "term").groupBy("query_id", *ids, "n").agg(F.count("*").alias("k")).join(sizes, "query_id")
-        return scoring.ranked(shared.select("query_id", *ids, F.round(2.0 * F.col("k") / (F.col("n") + F.col("m")), 6).alias("score")), k, ids)
+        also = [by] if by else []
+        held = docs.select(*ids, *also, F.size(F.array_distinct(tokens_column)).alias("n"), F.explode(F.array_distinct(tokens_column)).alias("term"))
+        shared = held.join(asked, "term").groupBy("query_id", *ids, *also, "n").agg(F.count("*").alias("k")).join(sizes, "query_id")
+        return scoring.ranked(shared.select("query_id", *ids, *also, F.round(2.0 * F.col("k") / (F.col("n") + F.col("m")), 6).alias("score")), k, ids, also or None)
     rows = asked.collect()
     model = scoring.Model.of([(r.query_id, r.term, 1.0) for r in rows])
     sizes = np.bincount(np.searchsorted(model.ids, [r.query_id for r in rows]), minlength=len(model.ids))
-    return scoring.search(docs, F.col(tokens_column), TokenF1(model, sizes), model.ids, k, ids)
+    return scoring.search(docs, F.col(tokens_column), TokenF1(model, sizes), model.ids, k, ids, by)
