@@ -14,6 +14,18 @@ from loomtext.operators.graph import components
 from loomtext.operators.shared import deleted, file_row, saved, shared_folder, small  # noqa: F401
 
 
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers hold BATCH_ROWS rows at most: with Spark's 10,000, texts of 100 KB would make 1 GB
+    each in the worker and in its executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
