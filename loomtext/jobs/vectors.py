@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import vector as V
 from loomtext.jobs.registry import query, table
 from loomtext.operators import dense as D
+from loomtext.operators import graphindex as G
 from loomtext.operators.predicates import where
 from loomtext.operators.shared import saved
 
@@ -96,6 +97,29 @@ def lsh_recall(spark, d):
     return found.crossJoin(share)  # a row each
 
 
+#: Neighbours, candidates and rows kept that the sweep tries: the first two make an index, the last is a walk's.
+GRAPHS = [(4, 16, 16), (4, 16, 48), (8, 32, 12), (8, 32, 24), (16, 64, 12), (16, 64, 24)]
+
+
+@query("graph_index_sweep")
+def graph_index_sweep(spark, d):
+    """For each setting of an index by proximity graphs, recall of 10 neighbours and the share of pairs compared; chosen is the
+    cheapest setting with a recall of 0.95, or the one of best recall if none has it."""
+    v = table(spark, d, "embeddings")
+    asked, exact = _queries(v), saved(D.knn(v, _queries(v), 10))
+    pairs = v.count() * asked.count()
+    rows = []
+    for neighbours, candidates in dict.fromkeys(g[:2] for g in GRAPHS):
+        index = G.indexed(v, DIMS, neighbours, candidates)
+        for kept in (k for *g, k in GRAPHS if tuple(g) == (neighbours, candidates)):
+            near, compared = G.graph_knn(index, asked, 10, DIMS, kept)
+            reached, many = D.recall(near, exact).first()[0] or 0.0, compared.agg(F.sum("compared")).first()[0] or 0
+            rows.append((neighbours, candidates, kept, float(reached), round(many / max(pairs, 1), 4)))
+    enough = [r for r in rows if r[3] >= 0.95] or [max(rows, key=lambda r: r[3])]
+    best = min(enough, key=lambda r: (r[4], r))
+    return spark.createDataFrame([(*r, r == best) for r in rows], "neighbours int, candidates int, kept int, recall double, compared double, chosen boolean")
+
+
 #: Cells and probed cells that the sweep tries.
 SWEEP = [(16, 4), (16, 8), (16, 12), (64, 8), (64, 16), (64, 32), (64, 48)]
 
