@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomtext.jobs.registry import query, table
 from loomtext.operators.shared import saved, shared_folder
 from loomtext.sources.stored import Collection
-from loomtext.streaming import ingest
+from loomtext.streaming import ingest, sessions
 
 
 def _folder(spark) -> str:
@@ -52,3 +52,19 @@ def ingested_chunks(spark, d):
     chunks = saved(held.rows())
     held._files.fs.delete(held._files.path(folder), True)
     return chunks.where("text like 'start %'").groupBy(F.substring_index("source", "#", 1).alias("source")).agg(F.countDistinct("source").alias("documents"))
+
+
+@query("session_values", "select conv_id::varchar as session, turn as seq, role as name, lag(text) over (partition by conv_id, role order by turn) as value from conversations")
+def session_values(spark, d):
+    """Conversations as a stream of commands: each turn sets its role's value, and the reply is the value before."""
+    turns = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversation[s].parquet")  # a pattern may name a file
+    commands = turns.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.col("turn").alias("at"), F.lit("set").alias("op"), F.col("role").alias("name"), F.col("text").alias("value"))
+    folder, name = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    sessions.with_store(spark)
+    try:
+        replies = sessions.sessions(commands).select("session", "seq", "name", "value")
+        replies.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/replies").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(replies.schema).parquet(f"{folder}/replies")

@@ -1,38 +1,28 @@
-"""Values at given ranks of groups, without sorting groups: counts by ranges of values say in which range a rank lies, and only
-the distinct values of that range are put in order."""
+"""Values at given ranks of groups. Rows are numbered by ranges of group and value, so that neither a large group nor one value
+far from the others puts all rows into one task."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.operators.running import numbered
 from loomtext.operators.shared import saved, small
 
-#: Ranges of values of a group.
-RANGES = 4096
-
 
 def at_ranks(df: DataFrame, by: str, value: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
     """by, n and a column for each of ranks(n), the value at that place (from 1) of the group's values in order. Null values
     don't count; a group without others has no row. A null group is one group. Values are numbers."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
-    sizes = saved(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high")))
+    sizes = saved(rows.groupBy("g").agg(F.count("*").alias("n")))
     wanted = ranks(F.col("n"))
-    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
-    cell = F.least(F.lit(RANGES - 1), F.floor((F.col("v").cast("double") - F.col("low")) / span * RANGES)).cast("int")
-    bounds = sizes.select(F.col("g").alias("h"), "low", "high")
-    placed = rows.join(small(bounds), F.col("g").eqNullSafe(F.col("h"))).select("g", "v", cell.alias("cell"))
-    counts = placed.groupBy("g", "cell").agg(F.count("*").alias("c"))
-    upto = counts.select("g", "cell", F.sum("c").over(W.partitionBy("g").orderBy("cell")).alias("end"), "c")
     asked = sizes.select(F.col("g").alias("h"), F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in wanted.items()])).alias("x"))
-    inside = upto.join(small(asked), F.col("g").eqNullSafe(F.col("h")) & (F.col("x.rank") <= F.col("end")) & (F.col("x.rank") > F.col("end") - F.col("c")))
-    targets = saved(inside.select(F.col("g").alias("h"), F.col("cell").alias("at"), "x.name", (F.col("x.rank") - F.col("end") + F.col("c")).alias("left")))
-    values = placed.join(small(targets), F.col("g").eqNullSafe(F.col("h")) & (F.col("cell") == F.col("at"))).groupBy("g", "name", "left", "v").agg(F.count("*").alias("c"))
-    found = values.withColumn("end", F.sum("c").over(W.partitionBy("g", "name").orderBy("v"))).where((F.col("left") <= F.col("end")) & (F.col("left") > F.col("end") - F.col("c")))
-    wide = found.groupBy("g").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in wanted])
+    # Equal values are told apart by a number, so that one value of most rows is spread over tasks too.
+    placed = numbered(rows.withColumn("u", F.monotonically_increasing_id()), ["g"], ["v", "u"], "place")
+    found = placed.join(small(asked), F.col("g").eqNullSafe(F.col("h")) & (F.col("place") == F.col("x.rank")))
+    wide = found.groupBy("g").agg(*[F.max(F.when(F.col("x.name") == k, F.col("v"))).alias(k) for k in wanted])
     return wide.join(sizes.select(F.col("g").alias("h"), "n"), F.col("g").eqNullSafe(F.col("h"))).select(F.col("g").alias(by), "n", *wanted)
 
 

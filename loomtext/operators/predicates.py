@@ -72,11 +72,13 @@ def created(df: DataFrame, name: str, metric: str = "cosine") -> None:
     """A collection: a table that carries its metric as a property."""
     spark = df.sparkSession
     df.write.mode("errorifexists").saveAsTable(name)
-    spark.sql(f"alter table {name} set tblproperties ('metric' = '{metric}')")
+    if not metric.isidentifier():
+        raise ValueError(f"no metric: {metric}")
+    spark.sql(f"alter table identifier(:name) set tblproperties ('metric' = '{metric}')", args={"name": name})
 
 
 def metric_of(spark: SparkSession, name: str) -> str | None:
-    found = {r.key: r.value for r in spark.sql(f"show tblproperties {name}").collect()}
+    found = {r.key: r.value for r in spark.sql("show tblproperties identifier(:name)", args={"name": name}).collect()}
     return found.get("metric")
 
 
@@ -85,4 +87,4 @@ def collections(spark: SparkSession) -> list[str]:
 
 
 def dropped(spark: SparkSession, name: str) -> None:
-    spark.sql(f"drop table if exists {name}")
+    spark.sql("drop table if exists identifier(:name)", args={"name": name})
