@@ -227,9 +227,10 @@ def packed(docs: DataFrame, vocabulary: str, prompt: str | None = None, end: int
     A null text or prompt is empty: its document is the end token alone. Repeated rows, null or equal ids are packed
     each on their own. Documents longer than a sequence are cut into full ones first. An empty table gives no rows."""
     of = F.coalesce(F.col(prompt), F.lit("")) if prompt else F.lit("")
-    texts = docs.select(F.struct(*key).alias("key"), of.alias("prompt"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select((F.struct(*key) if len(key) > 1 else F.col(key[0])).alias("key"), of.alias("prompt"), F.coalesce("text", F.lit("")).alias("text"))
     out = f"key {texts.schema['key'].dataType.simpleString()}, {_SCHEMA}"
-    return texts.mapInArrow(_packed(vocabulary, end, capacity, segments, loss), out).select("key.*", *(x.split()[0] for x in _SCHEMA.split(", ")))
+    columns = [F.col("key").alias(key[0])] if len(key) == 1 else ["key.*"]
+    return texts.mapInArrow(_packed(vocabulary, end, capacity, segments, loss), out).select(*columns, *(x.split()[0] for x in _SCHEMA.split(", ")))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
