@@ -16,6 +16,7 @@ back to the dictionaries that hold them; documents are then scored dictionary by
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, inf, log, log1p
@@ -33,6 +34,8 @@ from loomtext.llm.common import deleted, fold, saved, shared_folder, table, utf8
 
 #: What begins a word in the vocabulary's pieces (fixed value); words after which a task begins its next dictionary.
 MARK, WORDS = "▁", 250_000
+#: Characters of a word beyond which its edges are not kept but looked up again on the way back.
+LONG_WORD = 4096
 #: Added to each piece's expected count; added to ranks where scores are ranks.
 SMOOTH, SHIFT, ROUNDS = 0.1, 10.0, 2
 
@@ -63,11 +66,51 @@ class Lattice:
         """The log probability of a character that is no piece, by its bytes."""
         return sum(self.bytes[b][1] for b in c.encode())
 
+    def _from(self, s: str, i: int) -> Iterator[tuple[int, float, int]]:
+        """The edges from a place: the next place, log probability, piece (-1: the character, by its bytes)."""
+        single = False
+        for j in range(i + 1, len(s) + 1):
+            hit = self.table.get(s[i:j], 0)
+            if hit:
+                single |= j == i + 1
+                yield j, hit[1], hit[0]
+            elif hit == 0:
+                break
+        if not single:
+            yield i + 1, self._fallback(s[i]), -1
+
+    def _count(self, piece: int, c: str, n: float, into: np.ndarray | list) -> None:
+        """Adds n to a piece, or to each byte of the character that none is."""
+        if piece >= 0:
+            into[piece] += n
+        else:
+            for b in c.encode():
+                if self.bytes[b][0] >= 0:
+                    into[self.bytes[b][0]] += n
+
+    def _expect_long(self, s: str, count: float, into: np.ndarray | list) -> None:
+        """As expect, in 16 bytes a character: two numbers for each place, and edges looked up again on the way back."""
+        n = len(s)
+        alpha = array("d", [-inf]) * (n + 1)
+        alpha[0] = 0.0
+        for i in range(n):
+            here = alpha[i]
+            for j, w, _ in self._from(s, i):
+                x, y = here + w, alpha[j]
+                alpha[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+        rest = array("d", [0.0]) * n + array("d", [1.0])
+        for i in range(n - 1, -1, -1):
+            for j, w, piece in self._from(s, i):
+                if rest[j] != 0.0:
+                    part = rest[j] * exp(alpha[i] + w - alpha[j])
+                    rest[i] += part
+                    self._count(piece, s[i], count * part, into)
+
     def forward(self, word: str) -> float:
         """The log of the word's probability, over all segmentations."""
         s, get = MARK + word, self.table.get
         n = len(s)
-        alpha = [-inf] * (n + 1)
+        alpha = [-inf] * (n + 1) if n <= LONG_WORD else array("d", [-inf]) * (n + 1)
         alpha[0] = 0.0
         for i in range(n):
             here, single = alpha[i], False
@@ -89,6 +132,8 @@ class Lattice:
         """Adds to each piece's place in `into` its expected number in the word, `count` times."""
         s, get = MARK + word, self.table.get
         n = len(s)
+        if n > LONG_WORD:
+            return self._expect_long(s, count, into)
         edges: list[tuple[int, int, float, int]] = []  # place, next place, log probability, piece (-1: by its bytes)
         alpha = [-inf] * (n + 1)
         alpha[0] = 0.0
@@ -118,12 +163,7 @@ class Lattice:
             # Of what reaches j, the share that comes by this edge.
             part = rest[j] * exp(alpha[i] + w - alpha[j])
             rest[i] += part
-            if piece >= 0:
-                into[piece] += count * part
-            else:
-                for b in s[i].encode():
-                    if self.bytes[b][0] >= 0:
-                        into[self.bytes[b][0]] += count * part
+            self._count(piece, s[i], count * part, into)
 
 
 _READ = "kind int, grp long, idx int, word binary, c long, doc_id long, held_out boolean, n_words long, vec binary"

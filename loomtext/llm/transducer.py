@@ -8,11 +8,14 @@ every chunk its true start, and the cuts follow.
 The second one reads the bytes of a pretoken. A state holds, for the places from which a vocabulary entry could
 still be under way, the last token of the tokenization of the text so far and its count relative to now; that is
 all that later bytes can ask about. A transition carries the change of the token count. States are compiled when
-first met, as the whole machine is far larger than the part that texts use.
+first met, as the whole machine is far larger than the part that texts use. A long pretoken is cut into chunks; a chunk's
+map, from the states before it to the state after it and the change of the count, is kept for those states alone that
+come into question, and maps compose in a tree.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import unicodedata
 from functools import lru_cache
@@ -28,6 +31,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, ONE_MORE, TWO_M
 STATES = 8
 #: After so many characters most chunk maps are constant.
 SETTLED = 4
+#: Bytes of a chunk of a long pretoken, bytes before it that guess the state that it begins in, longest pretoken remembered.
+CHUNK, WARM, REMEMBERED = 4096, 64, 128
 #: Contractions of the tokenizer's pattern (fixed values).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -228,8 +233,9 @@ class TokenCounter:
         """Whether the merges make this token of its own bytes."""
         return self.merge(token) == [token]
 
-    def run(self, data: bytes) -> int:
-        state = count = 0
+    def run(self, data: bytes, state: int = 0) -> tuple[int, int]:
+        """From a state: the state after the bytes, and the change of the count."""
+        count = 0
         go = self.go
         for b in data:
             key = state << 8 | b
@@ -238,7 +244,57 @@ class TokenCounter:
                 step = go[key] = self._compile(state, b)
             state = step[0]
             count += step[1]
-        return count
+        return state, count
+
+    def long(self, data: bytes, chunk: int = CHUNK, warm: int = WARM) -> int:
+        """The count of a long pretoken, by maps of its chunks. What is compiled for it is kept apart, and bounded: states in
+        maps are held by what they are, not by number, and so outlive the transitions that led to them."""
+        machine = copy.copy(self)
+        machine._forget()
+        root = machine.states[0]
+        parts = [data[i : i + chunk] for i in range(0, len(data), chunk)]
+        made: dict[bytes, dict] = {}  # equal chunks share a map
+        maps = [made.setdefault(p, {}) for p in parts]
+
+        def through(i: int, before: tuple) -> tuple[tuple, int]:
+            """What chunk i does to a state; run if its map doesn't say."""
+            if before not in maps[i]:
+                if len(machine.go) > self.most // 4:
+                    machine._forget()
+                if before not in machine.number:
+                    machine.number[before] = len(machine.states)
+                    machine.states.append(before)
+                after, n = machine.run(parts[i], machine.number[before])
+                maps[i][before] = machine.states[after], n
+            return maps[i][before]
+
+        # Each chunk from the state that a few bytes before it lead to, whatever stands before those.
+        guesses = [root]
+        for i in range(1, len(parts)):
+            guesses.append(machine.states[machine.run(parts[i - 1][-warm:])[0]])
+            through(i, guesses[i])
+        # Level by level: runs of chunks as maps; a map that lacks the state before it is asked for it from below.
+        levels = [maps]
+
+        def asked(level: int, i: int, before: tuple) -> tuple[tuple, int]:
+            if level == 0:
+                return through(i, before)
+            known = levels[level][i]
+            if before not in known:
+                state, n = asked(level - 1, 2 * i, before)
+                if 2 * i + 1 < len(levels[level - 1]):
+                    state, m = asked(level - 1, 2 * i + 1, state)
+                    n += m
+                known[before] = state, n
+            return known[before]
+
+        while len(levels[-1]) > 1:
+            levels.append([{} for _ in range(-(-len(levels[-1]) // 2))])
+            for i in range(len(levels[-1])):
+                asked(len(levels) - 1, i, guesses[i << (len(levels) - 1)])
+        total = asked(len(levels) - 1, 0, root)[1]
+        machine._forget()
+        return total
 
     def counts(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > self.most or len(self.go) > 4 * self.most:
@@ -250,7 +306,12 @@ class TokenCounter:
                 if n is None:
                     p = pieces[i]
                     n = known.get(p)
-                    out[i] = known.setdefault(p, self.run(p.encode())) if n is None else n
+                    if n is None:
+                        data = p.encode()
+                        n = self.run(data)[1] if len(data) <= CHUNK else self.long(data)
+                        if len(data) <= REMEMBERED:
+                            known[p] = n
+                    out[i] = n
         return np.array(out, np.int64)
 
     def count(self, texts: list[str]) -> np.ndarray:

@@ -1,4 +1,6 @@
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -41,6 +43,24 @@ def test_forward_and_expected_counts_over_all_segmentations():
         assert all(isclose(into[i], 3 * counts[x] / total, rel_tol=1e-9, abs_tol=1e-12) for i, x in enumerate(pieces))
 
 
+def test_long_words_need_little_memory(monkeypatch):
+    pieces, logs = lattice.vocabulary(PATH)
+    model = lattice.Lattice(pieces, logs)
+    word = "".join(random.Random(3).choice("abcdeé日") for _ in range(3000))
+    kept, again = np.zeros(len(pieces)), np.zeros(len(pieces))
+    model.expect(word, 2, kept)
+    before = model.forward(word)
+    monkeypatch.setattr(lattice, "LONG_WORD", 100)
+    model.expect(word, 2, again)
+    assert np.allclose(kept, again, rtol=1e-9, atol=1e-12) and model.forward(word) == before
+    total, word = [0.0] * len(pieces), word * 20
+    tracemalloc.start()
+    model.expect(word, 1, total)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * len(word) + 2e6
+
+
 def plain(docs):
     """By id: tokens, known tokens, training tokens and base score."""
     words = {i: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in docs.items()}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -33,6 +34,25 @@ def test_every_code_point(library):
     assert transducer.TokenCounter(PATH).count(texts).tolist() == library(texts)
 
 
+def test_long_pretokens_by_maps_of_chunks(library):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9000)), "a" * 20_000, "the" * 3000 + "ab" * 3000, "é" * 5001, "日本語" * 1500, "-" * 9999, "na" * 2048 + "x"]
+    assert transducer.TokenCounter(PATH).count(words).tolist() == library(words)
+    counter = transducer.TokenCounter(PATH, most=200)  # forgets many times within a word
+    for chunk, warm in ((1, 1), (7, 3), (64, 8), (1000, 0)):
+        assert [counter.long(w.encode(), chunk, max(1, warm)) for w in words] == library(words)
+
+
+def test_a_long_pretoken_leaves_little_behind():
+    counter = transducer.TokenCounter(PATH, most=8000)
+    rng = random.Random(6)
+    tracemalloc.start()
+    counter.count(["".join(rng.choice("abcdefghijklmnop") for _ in range(60_000))])
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 40e6 and not counter.known and len(counter.go) < 100
+
+
 def test_forgetting_changes_nothing(library):
     texts = odd_texts(600, 2)
     counter = transducer.TokenCounter(PATH, most=50)
