@@ -45,6 +45,30 @@ def bm25_topk(spark, d):
     return L.bm25_top(*docs_and_questions(spark, d), 10)
 
 
+_TURNS = _WORDS.replace("item_id as query_id", "concat_ws(':', conv_id, turn) as query_id").replace("from benchmark", "from conversations where role = 'user'")
+
+
+def _turns(spark, d):
+    """What users say, each turn a question."""
+    said = table(spark, d, "conversations").where("role = 'user'")
+    return said.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("bm25_turns", f"with {_TURNS}{_BM25}{_top('bm', 10)}")
+def bm25_turns(spark, d):
+    """Questions that grow with the data: no task is to hold their weights."""
+    return L.bm25_top(table(spark, d, "documents"), _turns(spark, d), 10, most=0)
+
+
+@query("bm25_turns_work")
+def bm25_turns_work(spark, d):
+    """What the search of bm25_turns reads and scores, beside the postings that a join would make into pairs."""
+    docs = table(spark, d, "documents")
+    whole = L.Collection.of(docs)
+    weights = saved(whole.bm25_weights(L.query_terms(_turns(spark, d))))
+    return L.bm25_by_impact(docs, weights, 10, whole.mean_length).work()
+
+
 @query("bm25_positive_split", """with d as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as t from documents),
 q as (select item_id as query_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as t from benchmark),
 qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(t) as term from q) group by all),

@@ -1,5 +1,5 @@
 """Search by words: BM25, TF-IDF, overlap. Documents are scored where they are, for all questions at once, and each task's best
-k of a question are merged; with more weights than a task should hold, postings and weights are joined instead."""
+k of a question are merged; with more weights than a task should hold, postings in order of impact are searched instead."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import tokens
-from loomtext.operators import scoring
+from loomtext.operators import impact, scoring
 from loomtext.operators.shared import is_small, saved, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -124,7 +124,8 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokenize: Callable[[st
     whole = Collection.of(docs, tokenize)
     weights = saved(whole.bm25_weights(query_terms(queries, tokenize)))
     if not is_small(weights, most):
-        return top(bm25_joined(docs, weights, whole.mean_length, tokenize, positive_only), k)
+        found = bm25_by_impact(docs, weights, k, whole.mean_length, tokenize).scores
+        return top(found.where("score > 0") if positive_only else found, k)
     model = scoring.Model.of(weights.collect())
     return scoring.search(docs, tokenize("text"), Bm25(model, whole.mean_length), model.ids, k, ["doc_id"], least=0.0 if positive_only else None)
 
@@ -151,12 +152,17 @@ def ranked_everywhere(docs: DataFrame, queries: DataFrame, tokenize: Callable[[s
     return rows
 
 
-def bm25_joined(docs: DataFrame, weights: DataFrame, mean_length: float, tokenize: Callable[[str], Column] = tokens, positive_only: bool = False) -> DataFrame:
-    """weights(query_id, term, w): query_id, doc_id, score of all documents that share a term, by a join of postings."""
+def bm25_by_impact(docs: DataFrame, weights: DataFrame, k: int, mean_length: float, tokenize: Callable[[str], Column] = tokens) -> impact.Found:
+    """weights(query_id, term, w), as many as there may be; docs have ids of their own."""
     tf = postings(docs, tokenize)
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    scored = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturated).alias("score"))
-    return scored.where("score > 0") if positive_only else scored
+    return _by_impact(tf.select("doc_id", "term", saturated.alias("x")), weights, k)
+
+
+def _by_impact(impacts: DataFrame, weights: DataFrame, k: int) -> impact.Found:
+    """Of the documents' words only those that questions hold are indexed."""
+    asked = small(saved(weights.select("term").distinct()))
+    return impact.Index.of(impacts.join(asked, "term", "left_semi")).search(weights, k)
 
 
 def overlap_top(docs: DataFrame, queries: DataFrame, k: int, by: str | None = None, ids: list[str] | None = None, text: str = "text", tokenize: Callable[[str], Column] = tokens, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
@@ -183,7 +189,7 @@ def bow_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scor
     weights = saved(_unit(query_terms(queries).select("query_id", "term", F.col("qtf").cast("double").alias("w"))))
     if not is_small(weights, most):
         of_docs = postings(docs).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
-        return top(sparse_cosine(of_docs, weights), k)
+        return top(cosine_by_impact(of_docs, weights, k).scores, k)
     model = scoring.Model.of(weights.collect())
     return scoring.search(docs, tokens("text"), Cosine(model), model.ids, k, ["doc_id"])
 
@@ -200,17 +206,16 @@ def tfidf_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = sc
 
     weights = saved(_unit(weighted(query_terms(queries).withColumnRenamed("qtf", "tf"), "query_id")))
     if not (is_small(weights, most) and is_small(idf, most)):
-        return top(sparse_cosine(weighted(postings(docs), "doc_id"), weights), k)
+        return top(cosine_by_impact(weighted(postings(docs), "doc_id"), weights, k).scores, k)
     known = {r.term: r.idf for r in idf.collect()}
     model = scoring.Model.of(weights.collect(), list(known))
     return scoring.search(docs, tokens("text"), Cosine(model, np.array([known[t] for t in sorted(known)], float)), model.ids, k, ["doc_id"])
 
 
-def sparse_cosine(of_docs: DataFrame, of_queries: DataFrame) -> DataFrame:
-    """Of (doc_id, term, w) and (query_id, term, w) of length 1: query_id, doc_id, score, where they share a term."""
+def cosine_by_impact(of_docs: DataFrame, of_queries: DataFrame, k: int) -> impact.Found:
+    """Of (doc_id, term, w) and (query_id, term, w) of length 1, as many as there may be."""
     size = of_docs.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    dots = of_docs.join(of_queries.withColumnRenamed("w", "q"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return dots.join(size, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("dn")).alias("score"))
+    return _by_impact(of_docs.join(size, "doc_id").select("doc_id", "term", (F.col("w") / F.col("dn")).alias("x")), of_queries, k)
 
 
 @dataclass
