@@ -79,14 +79,11 @@ class Lattice:
         if not single:
             yield i + 1, self._fallback(s[i]), -1
 
-    def _count(self, piece: int, c: str, n: float, into: np.ndarray | list) -> None:
-        """Adds n to a piece, or to each byte of the character that none is."""
-        if piece >= 0:
-            into[piece] += n
-        else:
-            for b in c.encode():
-                if self.bytes[b][0] >= 0:
-                    into[self.bytes[b][0]] += n
+    def _by_bytes(self, c: str, n: float, into: np.ndarray | list) -> None:
+        """Adds n to each byte of a character that no piece is."""
+        for b in c.encode():
+            if self.bytes[b][0] >= 0:
+                into[self.bytes[b][0]] += n
 
     def _expect_long(self, s: str, count: float, into: np.ndarray | list) -> None:
         """As expect, in 16 bytes a character: two numbers for each place, and edges looked up again on the way back."""
@@ -104,7 +101,10 @@ class Lattice:
                 if rest[j] != 0.0:
                     part = rest[j] * exp(alpha[i] + w - alpha[j])
                     rest[i] += part
-                    self._count(piece, s[i], count * part, into)
+                    if piece >= 0:
+                        into[piece] += count * part
+                    else:
+                        self._by_bytes(s[i], count * part, into)
 
     def forward(self, word: str) -> float:
         """The log of the word's probability, over all segmentations."""
@@ -163,7 +163,10 @@ class Lattice:
             # Of what reaches j, the share that comes by this edge.
             part = rest[j] * exp(alpha[i] + w - alpha[j])
             rest[i] += part
-            self._count(piece, s[i], count * part, into)
+            if piece >= 0:
+                into[piece] += count * part
+            else:
+                self._by_bytes(s[i], count * part, into)
 
 
 _READ = "kind int, grp long, idx int, word binary, c long, doc_id long, held_out boolean, n_words long, vec binary"
