@@ -57,6 +57,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str], logs: np.ndarray):
         value = dict(zip(pieces, zip(range(len(pieces)), map(float, logs), strict=True), strict=True))
+        self.logs = list(map(float, logs))
         self.bytes = [value.pop(f"<0x{b:02X}>", (-1, -inf)) for b in range(256)]
         # The beginnings of pieces, so that a place's pieces end where no longer one can follow.
         self.table: dict[str, tuple[int, float] | None] = {p[:i]: None for p in value for i in range(1, len(p))}
@@ -128,6 +129,33 @@ class Lattice:
                 alpha[i + 1] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
         return alpha[-1]
 
+    def forward_both(self, word: str, other: Lattice) -> tuple[float, float]:
+        """forward() of this and of another lattice of the same pieces, which are looked up once."""
+        s, get, logs = MARK + word, self.table.get, other.logs
+        n = len(s)
+        alpha, beta = ([-inf] * (n + 1) if n <= LONG_WORD else array("d", [-inf]) * (n + 1) for _ in range(2))
+        alpha[0] = beta[0] = 0.0
+        for i in range(n):
+            here, there, single = alpha[i], beta[i], False
+            for j in range(i + 1, n + 1):
+                hit = get(s[i:j], 0)
+                if hit:
+                    piece, w = hit
+                    x, y = here + w, alpha[j]
+                    alpha[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+                    x, y = there + logs[piece], beta[j]
+                    beta[j] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+                    if j == i + 1:
+                        single = True
+                elif hit == 0:
+                    break
+            if not single:
+                x, y = here + self._fallback(s[i]), alpha[i + 1]
+                alpha[i + 1] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+                x, y = there + other._fallback(s[i]), beta[i + 1]
+                beta[i + 1] = x if y == -inf else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
+        return alpha[-1], beta[-1]
+
     def expect(self, word: str, count: float, into: np.ndarray | list) -> None:
         """Adds to each piece's place in `into` its expected number in the word, `count` times."""
         s, get = MARK + word, self.table.get
@@ -248,8 +276,10 @@ def _words_scored(path: str, logs: np.ndarray):
         learned = own if logs is given or (logs == given).all() else Lattice(pieces, logs)
         for batch in batches:
             words = [w.decode() for w in batch.column(0).to_pylist()]
-            own_p = pa.array(map(own.forward, words), pa.float64())
-            log_p = own_p if learned is own else pa.array(map(learned.forward, words), pa.float64())
+            if learned is own:
+                own_p = log_p = pa.array(map(own.forward, words), pa.float64())
+            else:
+                own_p, log_p = (pa.array(x, pa.float64()) for x in zip(*(own.forward_both(w, learned) for w in words), strict=True)) if words else (pa.array([], pa.float64()),) * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), log_p, own_p], ["word", "c", "log_p", "own_p"])
 
     return score

@@ -49,7 +49,9 @@ def test_long_words_need_little_memory(monkeypatch):
     word = "".join(random.Random(3).choice("abcdeé日") for _ in range(3000))
     kept, again = np.zeros(len(pieces)), np.zeros(len(pieces))
     model.expect(word, 2, kept)
-    before = model.forward(word)
+    before, other = model.forward(word), lattice.Lattice(pieces, logs[::-1])
+    for w in (word, "", "an ordinary word", "日é"):
+        assert model.forward_both(w, other) == (model.forward(w), other.forward(w))
     monkeypatch.setattr(lattice, "LONG_WORD", 100)
     model.expect(word, 2, again)
     assert np.allclose(kept, again, rtol=1e-9, atol=1e-12) and model.forward(word) == before
