@@ -1,9 +1,10 @@
 """Near copies by the overlap of word shingles: the corpus pipeline's form of operator 1, where fingerprints can't decide.
 
+Operator 1 proposes pairs first: texts whose fingerprints differ in two bits or fewer, which meet at anchors.
 Two texts whose shingle sets overlap by 0.8 differ in about 10 of 64 fingerprint bits, far beyond what anchors reach. So a
-second key proposes pairs: MinHash bands; the shingle sets themselves decide. Texts with equal shingle sets are one node. A
-node has BANDS values, each of ROWS least hashes; two sets of Jaccard similarity s share one with chance 1 - (1 - s^5)^24,
-0.99993 at 0.8. Of the nodes that share a value, each is first compared with the smallest, at the cost of a comparison for
+second key proposes more: MinHash bands. The shingle sets themselves decide on the pairs of either. Texts with equal shingle
+sets are one node, with the fingerprints of all of them. A node has BANDS values, each of ROWS least hashes; two sets of
+Jaccard similarity s share one with chance 1 - (1 - s^5)^24, 0.99993 at 0.8. Of the nodes that share a value, each is first compared with the smallest, at the cost of a comparison for
 each member of a group. Only where that leaves several components are pairs across components looked at, inside the join: a
 sketch of 2,048 bits, each the parity of one more least hash, decides which pairs have their sets compared. A pair at 0.8 is
 missed by it with chance 0.000003. A pair is made once, where it first shares a value. So the components are those of all pairs that share a value, while of a large group whose
@@ -23,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import connected_components, pieces, saved, small, utf8
+from loomtext.llm import simhash
+from loomtext.llm.common import connected_components, pieces, saved, shuffles_deleted, small, utf8
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 24, 5, 42
@@ -146,11 +148,12 @@ def _signed(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in pieces(batches, 2, STEP_BYTES):
-            sets = shingles.sets(batch.column(2).to_pylist())
+            texts = batch.column(2).to_pylist()
+            sets, fps = shingles.sets(texts), np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(texts))
             prints = pa.array((xxhash.xxh3_128_digest(s.tobytes()) for s in sets), pa.binary())
             values = [v if len(s) else v[:0] for v, s in zip(bands(sets), sets, strict=True)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, sizes, _lists(values)], ["doc_id", "key", "print", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, sizes, _lists(values), pa.array(fps.view(np.int64))], ["doc_id", "key", "print", "size", "bands", "fp"])
 
     return scan
 
@@ -214,14 +217,24 @@ def _hooked(links: DataFrame) -> DataFrame:
     return hooked
 
 
-def _groups(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """texts(doc_id, key, text). Returns (doc_id, key, print) of each and (print, best) of each print whose component has
-    several rows: the smallest doc_id and key in it."""
+def _anchored(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, size, band, value): operator 1's links as values of one more band. A fingerprint is the value of the nodes that
+    have it and of those that have one linked to it."""
+    held = saved(prints.select("print", "fp").distinct())
+    links = simhash.links(held.select("fp").distinct())
+    linked = held.join(links, F.col("fp") == F.col("v")).select("print", F.col("u").alias("value"))
+    of = held.withColumnRenamed("fp", "value").unionByName(linked).distinct()
+    return saved(nodes.join(of, "print").select("node", "size", F.lit(BANDS).alias("band"), "value").distinct())
+
+
+def _grouped(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """texts(doc_id, key, text). Returns (doc_id, key, print) of each and (print, first, c) of each print whose component c has
+    several rows; first: the smallest doc_id and key of the print. Both are saved."""
     key = texts.schema["key"].dataType.simpleString()
-    prints = saved(texts.mapInArrow(_signed(width), f"doc_id long, key {key}, print binary, size long, bands array<long>"))
+    prints = saved(texts.mapInArrow(_signed(width), f"doc_id long, key {key}, print binary, size long, bands array<long>, fp long"))
     rows = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("rows"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     nodes = saved(rows.withColumn("node", F.monotonically_increasing_id()))
-    values = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
+    values = _anchored(prints, nodes).unionByName(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")))
     span = values.groupBy("value").agg(F.min(F.struct("node", "size")).alias("m"), F.max("node").alias("most")).where("m.node < most").select("value", "m")
     shared = saved(values.join(span, "value"))
     # The sets of the nodes that share a value, made again from one text of each.
@@ -248,11 +261,19 @@ def _groups(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, Data
     most = F.least("f.common", "g.common")  # shingles that two sets can share
     reach = most >= F.lit(least) * (F.col("f.size") + F.col("g.size") - most) - 1e-9
     differ = (F.col("f.node") < F.col("g.node")) & (F.col("f.c") != F.col("g.c")) & reach
-    earlier = reduce(Column.__or__, ((F.col("f.band") > i) & (F.col(f"f.b{i}") == F.col(f"g.b{i}")) for i in range(BANDS - 1)))
-    across = f.join(g, (F.col("f.value") == F.col("g.value")) & differ & ~earlier & near).select(F.col("f.node").alias("u"), F.col("g.node").alias("v"))
+    earlier = reduce(Column.__or__, ((F.col("f.band") > i) & (F.col(f"f.b{i}") == F.col(f"g.b{i}")) for i in range(BANDS)))
+    across = f.join(g, (F.col("f.value") == F.col("g.value")) & differ & ~earlier & near).select(F.col("f.node").alias("u"), F.col("g.node").alias("v")).distinct()
     more = _similar(saved(across), held, least)
     found = connected_components(links.unionByName(more)).withColumnRenamed("node", "of")
     grouped = saved(nodes.join(found, F.col("node") == F.col("of"), "left").where("rows > 1 or component is not null").select("print", "first", F.coalesce("component", "node").alias("c")))
+    return prints, grouped
+
+
+def _groups(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """texts(doc_id, key, text). Returns (doc_id, key, print) of each and (print, best) of each print whose component has
+    several rows: the smallest doc_id and key in it."""
+    with shuffles_deleted(texts.sparkSession):
+        prints, grouped = _grouped(texts, width, least)
     best = grouped.groupBy("c").agg(F.min("first").alias("best"))
     return prints.select("doc_id", "key", "print"), grouped.join(best, "c").select("print", "best")
 

@@ -2,7 +2,7 @@ import numpy as np
 from conftest import MIDDLE
 
 import corpus_pipeline
-from loomtext.llm import nearcopies
+from loomtext.llm import nearcopies, simhash
 
 
 def plain(text):
@@ -105,3 +105,18 @@ def test_sets_too_many_for_the_tasks_are_joined(spark, monkeypatch):
     rows = [*enumerate(chain), (7, chain[1]), (8, " ".join(f"v{i}" for i in range(90)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in nearcopies.components(docs).collect()) == [*((i, 0) for i in range(5)), (7, 0), (8, 8)]
+
+
+def test_texts_near_at_anchors_are_compared(spark):
+    """What is repeated decides the fingerprints of these texts, what is not their sets: operator 1 brings pairs together that
+    share no band's value, and the sets decide."""
+    often = "these five words come again " * 60
+    rows = [(i, often + " ".join(f"t{i}x{j}" for j in range(12))) for i in range(4)]
+    rows += [(4, " ".join(f"v{j}" for j in range(60))), (5, None)]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows[:4]]
+    assert all((a ^ b).bit_count() <= 2 for a in prints for b in prints)
+    values = nearcopies.bands(nearcopies.Shingles(5).sets([t.encode() for _, t in rows[:4]]))
+    assert any(not (a == b).any() for i, a in enumerate(values) for b in values[:i])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, want in ((0.1, [0, 0, 0, 0, 4, 5]), (0.8, [0, 1, 2, 3, 4, 5])):
+        assert [r.component_id for r in sorted(nearcopies.components(docs, least=least).collect())] == want
