@@ -18,7 +18,7 @@ from __future__ import annotations
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from math import exp, inf, log, log1p
 
 import numpy as np
@@ -36,6 +36,8 @@ from loomtext.llm.common import deleted, fold, saved, shared_folder, table, utf8
 MARK, WORDS = "▁", 250_000
 #: Characters of a word beyond which its edges are not kept but looked up again on the way back.
 LONG_WORD = 4096
+#: Words whose lattices are arrays together, characters beyond which a word goes alone, as do words of a smaller probability.
+TOGETHER, SHORT_WORD, LEAST = 4096, 64, 1e-250
 #: Added to each piece's expected count; added to ranks where scores are ranks.
 SMOOTH, SHIFT, ROUNDS = 0.1, 10.0, 2
 
@@ -197,6 +199,103 @@ class Lattice:
                 self._by_bytes(s[i], count * part, into)
 
 
+    @cached_property
+    def _tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The beginnings of pieces by number, 0 the empty one: (number and next character) in order, the beginning that each
+        makes, and the piece that a beginning is, or -1."""
+        number = {"": 0} | {x: i + 1 for i, x in enumerate(self.table)}
+        key = np.array([number[x[:-1]] << 21 | ord(x[-1]) for x in self.table], np.int64)
+        order = np.argsort(key)
+        return key[order], order + 1, np.array([-1, *(v[0] if v else -1 for v in self.table.values())], np.int64)
+
+    def _edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """All edges of the words' lattices: place, next place, piece (-1: by its bytes), character, where they begin and end
+        in their word; and each word's first and last place. Places are numbered through all words."""
+        keys, made, piece_of = self._tree
+        text = [MARK + w for w in words]
+        size = np.array([len(t) for t in text], np.int64)
+        code = np.frombuffer("".join(text).encode("utf-32-le"), "<u4").astype(np.int64)
+        ends, number = np.cumsum(size), np.arange(len(text))
+        left = np.repeat(ends, size) - np.arange(len(code))
+        at, state, found = np.arange(len(code)), np.zeros(len(code), np.int64), []
+        length = 0
+        while len(at):
+            key = state << 21 | code[at + length]
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[i] == key
+            length += 1
+            piece = np.full(len(at), -1)
+            piece[hit] = piece_of[made[i[hit]]]
+            edge = piece >= 0 if length > 1 else slice(None)
+            found.append((at[edge], np.full(len(at), length)[edge], piece[edge]))
+            on = hit & (left[at] > length)
+            at, state = at[on], made[i[on]]
+        at, many, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        word = np.repeat(number, size)
+        begin = at - (ends - size)[word[at]]
+        return at + word[at], at + word[at] + many, piece, code[at], begin, begin + many, ends - size + number, ends + number
+
+    def _weights(self, piece: np.ndarray, char: np.ndarray) -> np.ndarray:
+        p = np.exp(self.logs)[piece]
+        for c in np.unique(char[piece < 0]).tolist():
+            p[(piece < 0) & (char == c)] = exp(self._fallback(chr(c)))
+        return p
+
+    def forward_many(self, words: list[str], lattices: list[Lattice]) -> list[list[float]]:
+        """forward() of each word by each of the lattices, which have this one's pieces. Probabilities are summed as they are,
+        for edges of many words at a time; words too long or too improbable for that go alone."""
+        out = [[0.0] * len(words) for _ in lattices]
+        alone = {i for i, w in enumerate(words) if len(w) > SHORT_WORD}
+        short = [i for i in range(len(words)) if i not in alone]
+        for n in range(0, len(short), TOGETHER):
+            of = short[n : n + TOGETHER]
+            a, b, piece, char, begin, _, first, last = self._edges([words[i] for i in of])
+            order = np.argsort(begin, kind="stable")
+            a, b, piece, char, begin = (x[order] for x in (a, b, piece, char, begin))
+            for lattice, logs in zip(lattices, out, strict=True):
+                alpha = _summed(a, b, lattice._weights(piece, char), begin, first, int(last[-1]) + 1)[last]
+                alone.update(of[i] for i in np.flatnonzero(alpha < LEAST))
+                for i, x in zip(of, np.log(np.maximum(alpha, LEAST)).tolist(), strict=True):
+                    logs[i] = x
+        for i in alone:
+            for lattice, logs in zip(lattices, out, strict=True):
+                logs[i] = lattice.forward(words[i])
+        return out
+
+    def expect_many(self, words: list[str], into: np.ndarray) -> None:
+        """expect() of each word, once, as forward_many() goes."""
+        alone = [w for w in words if len(w) > SHORT_WORD]
+        short = [w for w in words if len(w) <= SHORT_WORD]
+        for n in range(0, len(short), TOGETHER):
+            of = short[n : n + TOGETHER]
+            a, b, piece, char, begin, end, first, last = self._edges(of)
+            p, places = self._weights(piece, char), int(last[-1]) + 1
+            order = np.argsort(begin, kind="stable")
+            alpha = _summed(a[order], b[order], p[order], begin[order], first, places)
+            order = np.argsort(-end, kind="stable")
+            rest = _summed(b[order], a[order], p[order], end[order], last, places)
+            total = alpha[last]
+            alone += [of[i] for i in np.flatnonzero(total < LEAST)]
+            share = np.where(total < LEAST, 0, 1 / np.maximum(total, LEAST))
+            part = alpha[a] * p * rest[b] * np.repeat(share, last - first + 1)[a]
+            known = piece >= 0
+            into += np.bincount(piece[known], part[known], len(into))
+            for c, x in zip(char[~known].tolist(), part[~known].tolist(), strict=True):
+                self._by_bytes(chr(c), x, into)
+        for w in alone:
+            self.expect(w, 1, into)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, p: np.ndarray, step: np.ndarray, first: np.ndarray, places: int) -> np.ndarray:
+    """Sums over all ways from `first` along edges a to b, in order of steps; edges of one step lead to different places."""
+    sums = np.zeros(places)
+    sums[first] = 1.0
+    bounds = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        sums[b[i:j]] += sums[a[i:j]] * p[i:j]
+    return sums
+
+
 _READ = "kind int, grp long, idx int, word binary, c long, doc_id long, held_out boolean, n_words long, vec binary"
 _READ_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
 
@@ -258,11 +357,9 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
 def _expected(path: str, logs: np.ndarray):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)[0]
-        lattice, total = Lattice(pieces, logs), [0.0] * len(pieces)
+        lattice, total = Lattice(pieces, logs), np.zeros(len(pieces))
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                lattice.expect(word.decode(), 1, total)
-        total = np.array(total)
+            lattice.expect_many([w.decode() for w in batch.column(0).to_pylist()], total)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "n"])
 
@@ -276,10 +373,8 @@ def _words_scored(path: str, logs: np.ndarray):
         learned = own if logs is given or (logs == given).all() else Lattice(pieces, logs)
         for batch in batches:
             words = [w.decode() for w in batch.column(0).to_pylist()]
-            if learned is own:
-                own_p = log_p = pa.array(map(own.forward, words), pa.float64())
-            else:
-                own_p, log_p = (pa.array(x, pa.float64()) for x in zip(*(own.forward_both(w, learned) for w in words), strict=True)) if words else (pa.array([], pa.float64()),) * 2
+            own_p, *others = (pa.array(x, pa.float64()) for x in own.forward_many(words, [own] if learned is own else [own, learned]))
+            log_p = others[0] if others else own_p
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), log_p, own_p], ["word", "c", "log_p", "own_p"])
 
     return score

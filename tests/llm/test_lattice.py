@@ -150,3 +150,22 @@ def test_the_vocabularys_own_score(spark):
         assert isclose(plainly[i].lattice_score, learned[i].lattice_score, rel_tol=1e-9) and isclose(plainly[i].score, plainly[i].lattice_score, rel_tol=1e-12)
     better = sum(learned[i].score > learned[i].lattice_score for i in texts)
     assert better >= 0.9 * len(texts)
+
+
+def test_many_words_at_once_are_as_each_alone(monkeypatch):
+    pieces, logs = lattice.vocabulary(PATH)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeétion日🙂") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    words += ["", "a", "" * 60, "🙂" * 64, "word" * 16, "x" * 65, "ab" * 3000, "▁a▁"]
+    seldom = np.log(np.random.default_rng(6).dirichlet(np.full(len(pieces), 0.05)) + 1e-12)
+    own, other = lattice.Lattice(pieces, logs), lattice.Lattice(pieces, seldom)
+    monkeypatch.setattr(lattice, "TOGETHER", 100)
+    for many, one in zip(own.forward_many(words, [own, other]), (own.forward, other.forward), strict=True):
+        assert np.allclose(many, [one(w) for w in words], rtol=1e-11, atol=1e-11)
+    for model in (own, other):
+        many, alone = np.zeros(len(pieces)), np.zeros(len(pieces))
+        model.expect_many(words, many)
+        for w in words:
+            model.expect(w, 1, alone)
+        assert np.allclose(many, alone, rtol=1e-9, atol=1e-12)
+    assert own.forward_many([], [own]) == [[]]
