@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import table
 from loomtext.llm.tokencount import slices
-from loomtext.llm.transducer import pretokens
+from loomtext.llm.transducer import byte_letters, pretokens
 
 POOL = 1024
 
@@ -36,6 +36,7 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        self.letters = byte_letters()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self._forget()
 
@@ -46,15 +47,13 @@ class TokenIds:
             self.start.append(len(self.flat))
 
     def _learn(self, pieces: set[str]) -> None:
-        """Asks the library for many pieces at a time, each as a word of its own."""
-        new = list(pieces)
-        for a in range(0, len(new), 1000):
-            words = new[a : a + 1000]
-            got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-            size = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)) if got.ids else np.zeros(len(words), np.int64)
-            self.known.update(zip(words, range(len(self.start) - 1, len(self.start) - 1 + len(words)), strict=True))
-            self.start.extend((self.start[-1] + np.cumsum(size)).tolist())
-            self.flat.extend(got.ids)
+        """Asks the library's model for each piece, in the letters that stand for its bytes: pieces are cut already, and no
+        special token is in them."""
+        tokenize, letters, flat, start = self.library.model.tokenize, self.letters, self.flat, self.start
+        for n, piece in enumerate(pieces, len(start) - 1):
+            flat.extend([t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
+            start.append(len(flat))
+            self.known[piece] = n
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the strings of special tokens are those tokens."""
@@ -124,8 +123,9 @@ class Packer:
         live = self.live
         left, out = self.limits.copy(), []
         weight = self.need[live].mean(0) / self.limits**2
+        tokens, pieces, bearing = self.need.T
         while live.any():
-            fits = live & (self.need <= left).all(1)
+            fits = live & (tokens <= left[0]) & (pieces <= left[1]) & (bearing <= left[2])
             if not fits.any():
                 break
             best = int(np.argmax(np.where(fits, self.need @ (weight * left), -1)))

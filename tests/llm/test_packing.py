@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -116,3 +117,11 @@ def test_odd_rows(spark):
     got = packing.packed(docs, PATH).collect()
     assert sum(r.length for r in got) == sum(len(x) + 1 for x in all_ids([t or "" for _, t in rows]))
     assert packing.packed(docs.limit(0), PATH).count() == 0
+
+
+def test_new_pieces_are_asked_of_the_model_alone():
+    """Not of the whole library, which would cut each piece again."""
+    texts = ["\0 a Zé's\n\n  日本 🙂", "", " ÿ­Ā", "word Word  WORD"]
+    tokens = packing.TokenIds(PATH)
+    tokens.library = SimpleNamespace(model=tokens.library.model)
+    assert [x.tolist() for x in tokens.ids(texts)] == all_ids(texts)
