@@ -202,6 +202,8 @@ def _similar(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return saved(pairs.mapInArrow(compare, "u long, v long"))
+    # Spark takes a list for one number and could send the sets: the joins are stated.
+    held = held.hint("merge")
     both = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return saved(both.where(common >= F.lit(least) * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v"))
@@ -236,7 +238,8 @@ def _grouped(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, Dat
     nodes = saved(rows.withColumn("node", F.monotonically_increasing_id()))
     values = _anchored(prints, nodes).unionByName(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")))
     span = values.groupBy("value").agg(F.min(F.struct("node", "size")).alias("m"), F.max("node").alias("most")).where("m.node < most").select("value", "m")
-    shared = saved(values.join(span, "value"))
+    # Spark sizes rows made of lists as the lists' rows and could send all values to every task: the join is stated.
+    shared = saved(values.hint("merge").join(span, "value"))
     # The sets of the nodes that share a value, made again from one text of each.
     wanted = saved(nodes.join(shared.select("node").distinct(), "node").select("node", F.col("first.key").alias("first")))
     again = texts.join(small(wanted), F.col("key") == F.col("first")).select("node", "text")

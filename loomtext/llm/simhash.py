@@ -114,11 +114,13 @@ def _anchored(threshold: int):
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """fps(fp), distinct fingerprints. Returns (u, v): those that differ in at most threshold bits."""
+    """fps(fp), distinct fingerprints. Returns (u, v): those that differ in at most threshold bits. Spark sizes the anchors as the
+    fingerprints that they are made from, 61 times too low, and would send them all to the driver and to each task: the join is
+    stated."""
     schema = "anchor long, fp long"
     home = fps.select("fp").mapInArrow(_anchored(0), schema)
     looked_up = fps.select("fp").mapInArrow(_anchored(threshold), schema)
-    f, g = home.alias("f"), looked_up.alias("g")
+    f, g = home.alias("f"), looked_up.hint("merge").alias("g")
     near = F.bit_count(F.col("f.fp").bitwiseXOR(F.col("g.fp"))) <= threshold
     return f.join(g, (F.col("f.anchor") == F.col("g.anchor")) & (F.col("f.fp") < F.col("g.fp")) & near).select(
         F.col("f.fp").alias("u"), F.col("g.fp").alias("v")

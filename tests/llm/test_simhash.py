@@ -90,3 +90,13 @@ def test_rows_without_an_id_link_others(spark):
     assert got[9] == got[7] == got[f"{plain(middle):016x}"] == 7 and got[3] == 3 and got[f"{plain('alone and far away'):016x}"] is None
     only = spark.createDataFrame([(7, b), (None, middle)], "doc_id long, text string")
     assert {r.component_id for r in simhash.simhash_components(only).collect()} == {7}
+
+
+def test_anchors_are_not_sent_to_the_driver(spark):
+    """61 lookups of a fingerprint are sized as the fingerprint: their join is stated, at Spark's own limit for broadcasts."""
+    fps = spark.range(300).selectExpr("id * 7919 as fp").union(spark.createDataFrame([(1,), (7918,)], "fp long"))
+    found = simhash.links(fps.distinct())
+    assert found.where("u = 1 and v = 0 or u = 0 and v = 1").count() == 1
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
