@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value of c. Spark makes an expression that stands inside another's lambda anew for each element; a value that is
+    bound here is made once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def tokens(c: Column | str) -> Column:
     """Runs of a-z and 0-9 of the lower-case text."""
     return F.regexp_extract_all(F.lower(_c(c)), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -46,8 +54,12 @@ def facts(c: Column | str) -> Column:
 
 def ngrams(words: Column, n: int = 3) -> Column:
     """Consecutive words, joined by blanks; none if there are fewer than n."""
-    at = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - n + 1)
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def normalized(c: Column | str) -> Column:
