@@ -9,6 +9,7 @@ from loomtext.functions import guard as G
 from loomtext.functions import text as T
 from loomtext.jobs.registry import query, table
 from loomtext.operators import order as R
+from loomtext.operators.grams import supported
 from loomtext.operators.predicates import upserted, where, without
 
 _P = {k: v.replace("'", "''") for k, v in G.PII.items()}
@@ -169,16 +170,9 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 g as (select conv_id, turn, q as qt, list_filter(a, lambda w: w not in ({_STOP})) as aw, list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) as a, list_transform(range(1, greatest(len(q) - 1, 1)), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2]) as q from t)
 select conv_id, turn, round(case when len(a) > 0 then len(list_filter(a, lambda x: list_contains(q, x)))::double / len(a) when len(aw) > 0 then len(list_filter(aw, lambda x: list_contains(qt, x)))::double / len(aw) else 1 end, 6) as faithfulness from g""")
 def trigram_faithfulness(spark, d):
-    return _answers(spark, d).select("conv_id", "turn", F.round(_supported(), 6).alias("faithfulness"))
-
-
-def _supported():
     """Share of the answer's trigrams that the context holds; without trigrams of its words but stop words; 1 without those."""
-    a, q = T.tokens("a"), T.tokens("q")
-    grams, context = T.ngrams(a), T.ngrams(q)
-    words = F.filter(a, lambda w: ~w.isin(T.STOPWORDS))
-    share = lambda of, within: F.size(F.filter(of, lambda x: F.array_contains(within, x))) / F.size(of)
-    return F.when(F.size(grams) > 0, share(grams, context)).when(F.size(words) > 0, share(words, q)).otherwise(1.0)
+    words = _answers(spark, d).select("conv_id", "turn", T.tokens("a").alias("a"), T.tokens("q").alias("q"))
+    return supported(words, T.STOPWORDS).select("conv_id", "turn", F.round("share", 6).alias("faithfulness"))
 
 
 _SPLIT = r"list_filter(string_split(regexp_replace({0}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
