@@ -56,7 +56,7 @@ def _turns(spark, d):
 
 @query("bm25_turns", f"with {_TURNS}{_BM25}{_top('bm', 10)}")
 def bm25_turns(spark, d):
-    """Questions that grow with the data: no task is to hold their weights."""
+    """Questions that grow with the data: no task is to hold all of their weights."""
     return L.bm25_top(table(spark, d, "documents"), _turns(spark, d), 10, most=0)
 
 

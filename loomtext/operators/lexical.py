@@ -1,5 +1,6 @@
 """Search by words: BM25, TF-IDF, overlap. Documents are scored where they are, for all questions at once, and each task's best
-k of a question are merged; with more weights than a task should hold, postings in order of impact are searched instead."""
+k of a question are merged; with more weights than a task should hold, BM25 takes the questions in blocks, and cosines are
+searched by postings in order of impact."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import tokens
 from loomtext.operators import impact, scoring
-from loomtext.operators.shared import is_small, saved, small
+from loomtext.operators.shared import SMALL_ROWS, is_small, saved, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -68,7 +69,9 @@ class Collection:
         idf = self.terms.withColumn("idf", F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         floor = FLOOR * (idf.agg(F.avg("idf")).first()[0] or 0.0)
         weight = F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")) * F.col("qtf")
-        return idf.join(small(asked), "term").select("query_id", "term", weight.alias("w"))
+        # Spark sizes the questions' words as the questions: where they are many, the join is stated.
+        asked = F.broadcast(asked) if is_small(asked, SMALL_ROWS) else asked.hint("merge")
+        return idf.join(asked, "term").select("query_id", "term", weight.alias("w"))
 
     def idf(self) -> DataFrame:
         """term, idf = ln((n + 1) / (df + 1)) + 1."""
@@ -123,11 +126,11 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokenize: Callable[[st
     """docs(doc_id, text), queries(query_id, query): query_id, rank, doc_id, score, of documents that share a term."""
     whole = Collection.of(docs, tokenize)
     weights = saved(whole.bm25_weights(query_terms(queries, tokenize)))
+    least = 0.0 if positive_only else None
     if not is_small(weights, most):
-        found = bm25_by_impact(docs, weights, k, whole.mean_length, tokenize).scores
-        return top(found.where("score > 0") if positive_only else found, k)
+        return scoring.search_in_blocks(docs, tokenize("text"), weights, lambda model: Bm25(model, whole.mean_length), k, ["doc_id"], least=least)
     model = scoring.Model.of(weights.collect())
-    return scoring.search(docs, tokenize("text"), Bm25(model, whole.mean_length), model.ids, k, ["doc_id"], least=0.0 if positive_only else None)
+    return scoring.search(docs, tokenize("text"), Bm25(model, whole.mean_length), model.ids, k, ["doc_id"], least=least)
 
 
 def _bm25(docs: DataFrame, queries: DataFrame, tokenize: Callable[[str], Column]) -> Bm25:
