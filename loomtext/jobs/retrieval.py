@@ -66,7 +66,7 @@ def bm25_turns_work(spark, d):
     docs = table(spark, d, "documents")
     whole = L.Collection.of(docs)
     weights = saved(whole.bm25_weights(L.query_terms(_turns(spark, d))))
-    return L.bm25_by_impact(docs, weights, 10, whole.mean_length).work()
+    return L.bm25_work(docs, weights, whole)
 
 
 @query("bm25_positive_split", """with d as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as t from documents),

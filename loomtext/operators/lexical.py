@@ -155,11 +155,13 @@ def ranked_everywhere(docs: DataFrame, queries: DataFrame, tokenize: Callable[[s
     return rows
 
 
-def bm25_by_impact(docs: DataFrame, weights: DataFrame, k: int, mean_length: float, tokenize: Callable[[str], Column] = tokens) -> impact.Found:
-    """weights(query_id, term, w), as many as there may be; docs have ids of their own."""
-    tf = postings(docs, tokenize)
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    return _by_impact(tf.select("doc_id", "term", saturated.alias("x")), weights, k)
+def bm25_work(docs: DataFrame, weights: DataFrame, whole: Collection, tokenize: Callable[[str], Column] = tokens) -> DataFrame:
+    """What bm25_top() takes for weights(query_id, term, w), saved, in blocks of questions; one row: questions, postings of their
+    words (what a join of postings makes), postings read, pairs that share a word, pairs that were scored to the end. Nothing is
+    left out before it is scored, so all postings are read and all pairs scored."""
+    read = weights.join(whole.terms, "term").agg(F.count_distinct("query_id").alias("questions"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    pairs = F.lit(scoring.met(docs, tokenize("text"), weights, lambda model: Bm25(model, whole.mean_length))).cast("long")
+    return read.select("questions", "postings", F.col("postings").alias("postings_read"), pairs.alias("pairs_met"), pairs.alias("pairs_scored"))
 
 
 def _by_impact(impacts: DataFrame, weights: DataFrame, k: int) -> impact.Found:

@@ -1,11 +1,14 @@
 """Questions in blocks: the same results as in one, of whole documents, with only the best rows kept."""
 
+import re
+from collections import Counter
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from loomtext.functions import text
-from loomtext.jobs import retrieval
+from loomtext.jobs import catalog, retrieval
 from loomtext.operators import impact, lexical, scoring
 
 
@@ -26,6 +29,18 @@ def test_blocks_of_questions(spark, monkeypatch, many):
     assert lexical.bm25_top(docs, named.limit(0), 5, most=-1).count() == 0
 
 
+def test_work_of_turns(spark):
+    """Figures of the search that bm25_turns does, not of another one."""
+    cut = lambda rows, key: [(key(r), text_of) for r in rows for text_of in [Counter(re.findall("[a-z0-9]+", (r.text or "").lower()))]]
+    docs = cut(spark.read.parquet(f"{SMALL}/documents.parquet").collect(), lambda r: r.doc_id)
+    turns = cut(spark.read.parquet(f"{SMALL}/conversations.parquet").where("role = 'user'").collect(), lambda r: (r.conv_id, r.turn))
+    df = Counter(w for _, d in docs for w in d)
+    pairs = sum(bool(t.keys() & d.keys()) for _, t in turns for _, d in docs)
+    postings = sum(df[w] for _, t in turns for w in t)
+    asked = sum(any(w in df for w in t) for _, t in turns)
+    assert tuple(catalog.queries()["bm25_turns_work"](spark, SMALL).first()) == (asked, postings, postings, pairs, pairs)
+
+
 @pytest.mark.parametrize("digits", [None, 1])
 def test_best_of_slices(digits):
     """A question's best k, ties by ids, whatever the slices."""
