@@ -93,7 +93,7 @@ def lsh_recall(spark, d):
     v = table(spark, d, "embeddings")
     found = D.recall(D.lsh_knn(v, _queries(v), 10, DIMS), D.knn(v, _queries(v), 10))
     n, asked = v.count(), _queries(v).count()
-    share = D.lsh_candidates(v, _queries(v), DIMS).agg(F.round(F.count("*") / F.lit(n * asked), 4).alias("compared"))
+    share = D.compared(v, _queries(v), DIMS, D.Buckets(DIMS)).select(F.round(F.col("n") / F.lit(n * asked), 4).alias("compared"))
     return found.crossJoin(share)  # a row each
 
 

@@ -17,7 +17,7 @@ from loomtext.operators import scoring
 from loomtext.operators.shared import is_small, saved, small
 
 #: Numbers of query vectors that go to every task; vectors that one matrix product takes.
-MOST_NUMBERS, ROWS = 4_000_000, 4096
+MOST_NUMBERS, ROWS, DIGITS = 4_000_000, 4096, 6
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -41,12 +41,18 @@ def whole(vectors: DataFrame, dims: int, id_: str = "vec_id") -> DataFrame:
     return v.where(F.col(id_).isNotNull() & (F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull()))
 
 
-def _nearest(ids: np.ndarray, q: np.ndarray, of: np.ndarray, m: np.ndarray, metric: str, least: float | None) -> np.ndarray:
-    """Rounded similarities; -inf for a query's own id and for what is below least."""
-    s = np.round(similarity(metric, q, m), 6)
+#: Of all queries with all rows, which are compared: a function of the queries' and the rows' vectors.
+Among = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, of: np.ndarray, m: np.ndarray, metric: str, least: float | None, among: Among | None) -> np.ndarray:
+    """Similarities; -inf for a query's own id, for what is not compared and for what is below least when rounded."""
+    s = similarity(metric, q, m)
     s[ids[:, None] == of[None]] = -np.inf
+    if among is not None:
+        s[~among(q, m)] = -np.inf
     if least is not None:
-        s[s < least] = -np.inf
+        s[np.round(s, DIGITS) < least] = -np.inf
     return s
 
 
@@ -55,35 +61,70 @@ def _best_rows(ids: np.ndarray, best: scoring.Best) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[question], of, value)], ["query_id", "vec_id", "score"])
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None, most: int = MOST_NUMBERS) -> DataFrame:
-    """vectors(vec_id, embedding), queries(query_id, embedding): query_id, rank, vec_id, score; a query's own id takes no
-    part. Vectors with a null, without an id or of other dimensions than most of the queries take none either. Each task keeps
-    its best k of each query, and those are merged. Queries of up to `most` numbers go to all tasks; more of them are blocks of
-    rows that meet the vectors' blocks in a join. least: scores below it are left out, which may leave none."""
+#: What meets a slice of rows: of a new state for these queries, and of a row's ids and vectors what comes out at once and at the end.
+Meet = Callable[[np.ndarray, np.ndarray], tuple[Callable[[np.ndarray, np.ndarray], None], Callable[[], pa.RecordBatch]]]
+
+
+def _common(queries: DataFrame) -> tuple[int, int]:
+    """The dimensions that most queries have, and how many."""
     sizes = queries.where("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
     common = sizes.orderBy(F.desc("n"), "d").first()
-    dims = common.d if common else 1
+    return (common.d, common.n) if common else (1, 0)
+
+
+def _all_met(vectors: DataFrame, queries: DataFrame, dims: int, n: int, meet: Meet, schema: str, most: int) -> DataFrame:
+    """All rows with all queries, of which about `n` have `dims` numbers. Queries of up to `most` numbers go to all tasks, and what
+    a task has of its rows is a row batch of `schema`; more of them are blocks of rows that meet the vectors' blocks in a join."""
     data, asked = whole(vectors, dims), whole(queries, dims, "query_id").dropDuplicates(["query_id"])
-    schema = "query_id long, vec_id long, score double"
-    if (common.n if common else 0) * dims > most:
-        return scoring.ranked(_joined_blocks(data, asked, dims, k, metric, least, schema), k, ["vec_id"])
-    rows = asked.orderBy("query_id").collect()
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), dims)))
+    if n * dims > most:
+        return _joined_blocks(data, asked, dims, meet, schema)
+    rows = asked.orderBy("query_id").toArrow()
+    q = rows.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, dims)
+    shared = vectors.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best, step = scoring.Best(len(ids), k, 1), max(1, min(ROWS, scoring.CELLS // max(1, len(ids))))
+        add, out = meet(ids, q)
+        step = max(1, min(ROWS, scoring.CELLS // max(1, len(ids))))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                of = part.column(0).to_numpy()
-                best.add(_nearest(ids, q, of, _matrix(part.column(1), dims), metric, least), [of])
-        yield _best_rows(ids, best)
+                add(part.column(0).to_numpy(), _matrix(part.column(1), dims))
+        yield out()
+
+    return data.mapInArrow(run, schema)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None, most: int = MOST_NUMBERS, dims: int | None = None, among: Among | None = None) -> DataFrame:
+    """vectors(vec_id, embedding), queries(query_id, embedding): query_id, rank, vec_id, score; a query's own id takes no
+    part. Vectors with a null, without an id or of other dimensions than `dims`, or than most of the queries, take none either. Each
+    task keeps its best k of each query, and those are merged. Queries of up to `most` numbers go to all tasks; more of them are
+    blocks of rows that meet the vectors' blocks in a join. least: scores below it are left out, which may leave none. among: only
+    pairs that it names are looked at."""
+    common, n = _common(queries)
+
+    def meet(ids: np.ndarray, q: np.ndarray):
+        best = scoring.Best(len(ids), k, 1)
+        return lambda of, m: best.add(_nearest(ids, q, of, m, metric, least, among), [of], DIGITS), lambda: _best_rows(ids, best)
+
+    return scoring.ranked(_all_met(vectors, queries, dims or common, n, meet, "query_id long, vec_id long, score double", most), k, ["vec_id"])
+
+
+def compared(vectors: DataFrame, queries: DataFrame, dims: int, among: Among, most: int = MOST_NUMBERS) -> DataFrame:
+    """One row `n`: how many pairs of a query and another row `among` names. Counted where the rows are; no pair becomes a row."""
 
-    return scoring.ranked(data.mapInArrow(run, schema), k, ["vec_id"])
+    def meet(ids: np.ndarray, q: np.ndarray):
+        total = [0]
 
+        def add(of: np.ndarray, m: np.ndarray) -> None:
+            total[0] += int((among(q, m) & (ids[:, None] != of[None])).sum())
 
-def _joined_blocks(data: DataFrame, asked: DataFrame, dims: int, k: int, metric: str, least: float | None, schema: str, spread: int = 64) -> DataFrame:
+        return add, lambda: pa.RecordBatch.from_arrays([pa.array(total, pa.int64())], ["n"])
+
+    return _all_met(vectors, queries, dims, _common(queries)[1], meet, "n long", most).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def _joined_blocks(data: DataFrame, asked: DataFrame, dims: int, meet: Meet, schema: str, spread: int = 64) -> DataFrame:
     def blocks(rows: int, key: str):
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -96,16 +137,17 @@ def _joined_blocks(data: DataFrame, asked: DataFrame, dims: int, k: int, metric:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, of = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
-                best = scoring.Best(len(ids), k, 1)
-                best.add(_nearest(ids, np.frombuffer(r["q_data"]).reshape(-1, dims), of, np.frombuffer(r["c_data"]).reshape(-1, dims), metric, least), [of])
-                yield _best_rows(ids, best)
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                add, out = meet(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_data"]).reshape(-1, dims))
+                add(np.frombuffer(r["c_ids"], "<i8"), np.frombuffer(r["c_data"]).reshape(-1, dims))
+                yield out()
 
     rows = max(1, min(ROWS, (1 << 22) // dims))
     c = data.mapInArrow(blocks(rows, "c"), "c_ids binary, c_data binary").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(spread)))
     q = asked.mapInArrow(blocks(rows // 4 or 1, "q"), "q_ids binary, q_data binary").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    return c.join(q, "part").select("q_ids", "q_data", "c_ids", "c_data").mapInArrow(search, schema)
+    # Spark sizes the repeated blocks as one of each and could send them all: the join is stated.
+    return c.join(q.hint("merge"), "part").select("q_ids", "q_data", "c_ids", "c_data").mapInArrow(search, schema)
 
 
 def group_means(vectors: DataFrame, group: str) -> DataFrame:
@@ -150,38 +192,44 @@ def _sign_bits(m: np.ndarray, normals: np.ndarray, tables: int, planes: int) ->
     return ((far > 0) * (1 << np.arange(planes))).sum(2), np.abs(far)
 
 
-def lsh_buckets(vectors: DataFrame, dims: int, planes: int, tables: int, probes: int = 0, seed: int = 7) -> DataFrame:
-    """vec_id, table, bucket: signs of random projections, a bucket in each of several tables; with probes, also the buckets
-    across the nearest planes, one plane each."""
-    normals = np.random.default_rng(seed).standard_normal((tables * planes, dims))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, far = _sign_bits(_matrix(batch.column(1), dims), normals, tables, planes)
-            near = np.argsort(far, axis=2)[:, :, :probes]
+@dataclass
+class Buckets:
+    """Pairs of a query and a row that share a bucket in some table: signs of random projections, a bucket in each of several
+    tables; queries look into the buckets across their nearest planes too, one plane each."""
+
+    dims: int
+    planes: int = 8
+    tables: int = 32
+    probes: int = 6
+    seed: int = 7
+
+    def _of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The planes' normals, and for each table and bucket the queries that look into it, a bit each."""
+        if getattr(self, "_last", (None,))[0] is not q:
+            normals = np.random.default_rng(self.seed).standard_normal((self.tables * self.planes, self.dims))
+            bucket, far = _sign_bits(q, normals, self.tables, self.planes)
+            near = np.argsort(far, axis=2)[:, :, : self.probes]
             every = np.concatenate([bucket[:, :, None], bucket[:, :, None] ^ (1 << near)], axis=2)
-            many = tables * (probes + 1)
-            table = np.tile(np.repeat(np.arange(tables), probes + 1), len(bucket))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(table), pa.array(every.ravel())], ["vec_id", "table", "bucket"])
-
-    return whole(vectors, dims).mapInArrow(assign, "vec_id long, table long, bucket long")
-
-
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, dims: int, planes: int = 8, tables: int = 32, probes: int = 6) -> DataFrame:
-    """query_id, vec_id of the pairs that share a bucket in some table; queries look into neighbouring buckets too."""
-    of = lsh_buckets(vectors, dims, planes, tables)
-    asked = lsh_buckets(queries.select(F.col("query_id").alias("vec_id"), "embedding"), dims, planes, tables, probes).withColumnRenamed("vec_id", "query_id")
-    return asked.join(of, ["table", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
-
-
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 8, tables: int = 32, probes: int = 6) -> DataFrame:
-    """Approximate nearest neighbours by cosine among lsh_candidates()."""
-    from loomtext.functions.vector import cosine
-
-    pairs = lsh_candidates(vectors, queries, dims, planes, tables, probes)
-    q, v = queries.select("query_id", F.col("embedding").alias("qe")), vectors.select("vec_id", "embedding")
-    scored = pairs.join(v, "vec_id").join(small(q), "query_id").select("query_id", "vec_id", F.round(cosine("qe", "embedding"), 6).alias("score"))
-    return scoring.ranked(scored, k, ["vec_id"])
+            looks = []
+            for t in range(self.tables):
+                held = np.zeros((1 << self.planes, len(q)), bool)
+                held[every[:, t].ravel(), np.repeat(np.arange(len(q)), every.shape[2])] = True
+                looks.append(np.packbits(held, axis=1))
+            self._last = q, normals, np.stack(looks)
+        return self._last[1:]
+
+    def __call__(self, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+        normals, looks = self._of(q)
+        bucket, _ = _sign_bits(m, normals, self.tables, self.planes)
+        found = np.zeros((len(m), looks.shape[2]), np.uint8)
+        for t in range(self.tables):
+            found |= looks[t][bucket[:, t]]
+        return np.unpackbits(found, axis=1, count=len(q)).T.astype(bool)
+
+
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 8, tables: int = 32, probes: int = 6, most: int = MOST_NUMBERS) -> DataFrame:
+    """Approximate nearest neighbours by cosine among the pairs of Buckets."""
+    return knn(vectors, queries, k, most=most, dims=dims, among=Buckets(dims, planes, tables, probes))
 
 
 def trained_cells(vectors: DataFrame, dims: int, cells: int, sample: int = 20_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
