@@ -135,7 +135,7 @@ def index_sweep(spark, d):
     rows = None
     for cells, probes in SWEEP:
         near, scored = D.cell_knn(v, asked, 10, centres[cells], probes)
-        share = scored.agg(F.round(F.sum("scored") / F.lit(pairs), 4).alias("compared"))
+        share = scored.select(F.round(F.when(F.col("n") > 0, F.col("n")) / F.lit(pairs), 4).alias("compared"))
         row = D.recall(near, exact).crossJoin(share).select(F.lit(cells).alias("cells"), F.lit(probes).alias("probes"), "recall", "compared")  # a row each
         rows = row if rows is None else rows.unionByName(row)
     rows = saved(rows)

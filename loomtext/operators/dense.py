@@ -251,29 +251,30 @@ def trained_cells(vectors: DataFrame, dims: int, cells: int, sample: int = 20_00
     return centres
 
 
-def in_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1, id_: str = "vec_id") -> DataFrame:
-    """id, cell, embedding: the nearest centres of each row, `probes` of them."""
-    shared, dims = vectors.sparkSession.sparkContext.broadcast(centres), centres.shape[1]
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.argsort(-(_matrix(batch.column(1), dims) @ shared.value.T), axis=1, kind="stable")[:, :probes]
-            row = np.repeat(np.arange(batch.num_rows), near.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(near.ravel().astype(np.int64)), batch.column(1).take(pa.array(row))], [id_, "cell", "embedding"])
+@dataclass
+class Cells:
+    """Pairs of a query and a row that lies in one of the query's `probes` nearest cells; a row's cell is that of its nearest centre."""
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    return whole(vectors, dims, id_).mapInArrow(assign, f"{id_} long, cell long, embedding {kind}")
+    centres: np.ndarray
+    probes: int
 
+    def __call__(self, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+        if getattr(self, "_last", (None,))[0] is not q:
+            near = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+            looks = np.zeros((len(self.centres), len(q)), bool)
+            looks[near.ravel(), np.repeat(np.arange(len(q)), near.shape[1])] = True
+            self._last = q, np.packbits(looks, axis=1)
+        if not len(self.centres):
+            return np.zeros((len(q), len(m)), bool)
+        found = self._last[1][(m @ self.centres.T).argmax(1)]
+        return np.unpackbits(found, axis=1, count=len(q)).T.astype(bool)
 
-def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int) -> tuple[DataFrame, DataFrame]:
-    """Approximate nearest neighbours by cosine among the rows of each query's nearest cells; and (query_id, scored), how many
-    rows each query was compared with. Cells are joined by number; a task keeps the best k of a query in what it holds."""
-    from loomtext.functions.vector import cosine
 
-    asked = in_cells(queries, centres, probes, "query_id").withColumnRenamed("embedding", "qe")
-    pairs = in_cells(vectors, centres).join(small(asked), "cell").where("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine("qe", "embedding"), 6).alias("score"))
-    return scoring.ranked(scored, k, ["vec_id"]), scored.groupBy("query_id").agg(F.count("*").alias("scored"))
+def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int, most: int = MOST_NUMBERS) -> tuple[DataFrame, DataFrame]:
+    """Approximate nearest neighbours by cosine among the rows of each query's nearest cells; and one row `n`, how many pairs were
+    compared."""
+    among, dims = Cells(centres, probes), centres.shape[1]
+    return knn(vectors, queries, k, most=most, dims=dims, among=among), compared(vectors, queries, dims, among, most)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

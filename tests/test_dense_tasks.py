@@ -56,3 +56,26 @@ def test_no_pairs_of_buckets_are_joined(spark):
     """What is compared is not made into rows: the only join is of found and exact neighbours."""
     plan = catalog.queries()["lsh_recall"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "bucket" not in plan and plan.count("Join LeftOuter") == 1 and "Join Inner, (" not in plan
+
+
+@pytest.mark.parametrize("most", [0, dense.MOST_NUMBERS])
+def test_cells(spark, monkeypatch, most):
+    monkeypatch.setattr(dense, "ROWS", 37)
+    v = vectors(spark)
+    asked = v.where("vec_id % 9 = 0 or vec_id < 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = v.where("vec_id >= 0").orderBy("vec_id").collect()
+    ids, m = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    centres = dense.trained_cells(v, 64, 9)
+    near, scored = dense.cell_knn(v, asked, 4, centres, 3, most)
+    of = (m @ centres.T).argmax(1)
+    named = {ids[q]: np.isin(of, np.argsort(-(m[q] @ centres.T), kind="stable")[:3]) for q in range(len(ids)) if ids[q] % 9 == 0}
+    want = [(i, r + 1, x, -s) for i, n in named.items() for r, (s, x) in enumerate(best(ids.index(i), ids, m, n, 4))]
+    assert sorted(map(tuple, near.collect())) == sorted(want)
+    assert scored.first().n == sum(n.sum() - n[ids.index(i)] for i, n in named.items())
+    assert dense.cell_knn(v.limit(0), asked, 4, centres, 3)[0].count() == dense.cell_knn(v, asked.limit(0), 4, centres, 3)[1].first().n == 0
+
+
+def test_no_pairs_of_cells_are_joined(spark):
+    v = vectors(spark)
+    near, scored = dense.cell_knn(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), 4, np.eye(64)[:4], 2)
+    assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (near, scored))
