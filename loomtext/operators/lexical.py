@@ -116,6 +116,49 @@ class Cosine:
         return self.model.scores(c, value, np.maximum(np.sqrt(np.bincount(c.doc, value**2, len(c.length))), 1e-300))
 
 
+#: Terms, by hash, whose documents are counted in an array that every task holds; 12 bytes each.
+MOST_TERMS = 4_000_000
+
+
+@dataclass
+class HashedCosine:
+    """Cosine with idf, of tokens by hash: `n` documents, `hashes` in order and in how many documents each is; `common` for others."""
+
+    model: scoring.Model
+    n: int
+    hashes: np.ndarray
+    df: np.ndarray
+    common: int
+
+    @classmethod
+    def of(cls, whole: Collection, weights: DataFrame, most: int) -> HashedCosine | None:
+        """None if two terms have one hash or if more than `most` terms are in another number of documents than most terms are."""
+        terms = saved(whole.terms.select(F.xxhash64("term").alias("h"), F.col("df").cast("int").alias("df")))
+        common = terms.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "df").first()
+        other = terms.where(F.col("df") != (common.df if common else 0))
+        if not is_small(other, most) or terms.count() != terms.select("h").distinct().count():
+            return None
+        rows = other.toArrow()
+        h, df = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        order = np.argsort(h)
+        asked = weights.select("query_id", F.xxhash64("term").alias("term"), "w").toArrow()
+        return cls(scoring.Model.of_table(asked), whole.n, h[order], df[order], common.df if common else 0)
+
+    def __call__(self, lists) -> np.ndarray:
+        key, known, tf, length = scoring.counted(lists)
+        many, h = max(1, len(known)), known.to_numpy(zero_copy_only=False)
+        doc, token = key // many, key % many
+        df = np.full(len(h), self.common)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            df = np.where(self.hashes[at] == h, self.df[at], df)
+        most = np.zeros(len(length))
+        np.maximum.at(most, doc, tf)
+        value = (tf / most[doc] + 1) * (np.log((self.n + 1) / (df + 1)) + 1)[token]
+        counts = scoring.Counts(doc, self.model.number(known)[token], tf.astype(float), length)
+        return self.model.scores(counts, value, np.maximum(np.sqrt(np.bincount(doc, value**2, len(length))), 1e-300))
+
+
 def _unit(weights: DataFrame) -> DataFrame:
     """(query_id, term, w) scaled to length 1."""
     size = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
@@ -199,9 +242,10 @@ def bow_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scor
     return scoring.search(docs, tokens("text"), Cosine(model), model.ids, k, ["doc_id"])
 
 
-def tfidf_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scoring.MOST_WEIGHTS) -> DataFrame:
+def tfidf_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = scoring.MOST_WEIGHTS, most_idf: int | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
     """Cosine of vectors with weights (tf / max tf + 1) idf, idf = ln((n + 1) / (df + 1)) + 1 over the documents. A document's
-    length needs the idf of all of its terms: they go to the tasks if they and the weights are few, else postings are joined."""
+    length needs the idf of all of its terms: they go to the tasks if the weights are few, up to `most_idf` of them (`most` if not
+    given) as they are, up to `most_terms` by hash; else postings are joined, which takes a multiple of the documents on disk."""
     whole = Collection.of(docs)
     idf = whole.idf()
 
@@ -210,7 +254,11 @@ def tfidf_cosine_top(docs: DataFrame, queries: DataFrame, k: int, most: int = sc
         return counts.join(most_often, key).join(idf, "term").select(key, "term", ((F.col("tf") / F.col("most") + 1) * F.col("idf")).alias("w"))
 
     weights = saved(_unit(weighted(query_terms(queries).withColumnRenamed("qtf", "tf"), "query_id")))
-    if not (is_small(weights, most) and is_small(idf, most)):
+    few = is_small(weights, most)
+    if few and not (known := is_small(idf, most if most_idf is None else most_idf)):
+        if (hashed := HashedCosine.of(whole, weights, most_terms)) is not None:
+            return scoring.search(docs, F.transform(tokens("text"), lambda t: F.xxhash64(t)), hashed, hashed.model.ids, k, ["doc_id"])
+    if not (few and known):
         return top(cosine_by_impact(weighted(postings(docs), "doc_id"), weights, k).scores, k)
     known = {r.term: r.idf for r in idf.collect()}
     model = scoring.Model.of(weights.collect(), list(known))
